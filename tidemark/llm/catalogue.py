@@ -1,5 +1,5 @@
 """The query modules of this subpackage."""
 
-from tidemark.llm import basics
+from tidemark.llm import basics, texts
 
-MODULES = [basics]
+MODULES = [basics, texts]

@@ -1,4 +1,4 @@
-"""Queries of problem 7."""
+"""Queries of problems 7 and 10."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.lookalike import letter_bigrams, record_texts, unify
+from tidemark.llm.residue import exclude_residue
 from tidemark.session import read_table
 
 
@@ -25,5 +26,17 @@ def p7_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _unified(spark, sf_dir).select(F.col("id").alias("extraction_id"), "field", "pos", "form").distinct()
 
 
-QUERIES = {"p7_found": p7_found, "p7_forms": p7_forms}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold template residue, filler, error pages or script notices instead of content."""
+    found = exclude_residue(read_table(spark, sf_dir, "documents"), "doc_id", "text", "url")
+    return found.select(F.col("id").alias("doc_id"))
+
+
+def p10_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents to exclude, each with the reason."""
+    found = exclude_residue(read_table(spark, sf_dir, "documents"), "doc_id", "text", "url")
+    return found.select(F.col("id").alias("doc_id"), "reason")
+
+
+QUERIES = {"p7_found": p7_found, "p7_forms": p7_forms, "p10_found": p10_found, "p10_reasons": p10_reasons}
 ORACLE_SQL: dict[str, str] = {}

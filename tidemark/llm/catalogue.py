@@ -1,5 +1,5 @@
 """The query modules of this subpackage."""
 
-from tidemark.llm import basics, texts
+from tidemark.llm import basics, pages, texts
 
-MODULES = [basics, texts]
+MODULES = [basics, texts, pages]

@@ -1,5 +1,5 @@
 """The query modules of this subpackage."""
 
-from tidemark.llm import basics, pages, texts
+from tidemark.llm import basics, pages, texts, vectors
 
-MODULES = [basics, texts, pages]
+MODULES = [basics, vectors, texts, pages]

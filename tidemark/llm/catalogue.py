@@ -1,5 +1,5 @@
 """The query modules of this subpackage."""
 
-from tidemark.llm import basics, pages, texts, vectors
+from tidemark.llm import basics, mixes, pages, texts, vectors
 
-MODULES = [basics, vectors, texts, pages]
+MODULES = [basics, vectors, texts, pages, mixes]

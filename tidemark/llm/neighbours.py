@@ -1,11 +1,11 @@
 """The most similar vectors of every vector: NN-descent over a graph seeded by small cells.
 
 Vectors are encoded once: equal directions share one code and become one node, so copies never crowd
-a cell. Nodes are placed in cells of bounded size by two independent sets of centres over a
-64-dimensional random projection; inside a cell all nodes are compared exactly. The lists of both
-sets make the first graph. NN-descent then joins neighbours of neighbours, keeps pairs that no cell
-has compared and whose projected similarity can still matter, and compares those exactly, until no
-list changes. ``greedy_search`` answers queries by walking that graph.
+a cell. Nodes are placed in cells of bounded size around centres fitted in a random projection; a node
+near a border goes to both cells. Inside a cell all nodes are compared exactly: these lists are the
+first graph. NN-descent then joins neighbours of neighbours, keeps pairs that no cell has compared and
+whose projected similarity can still matter, and compares those exactly, until lists stop changing.
+``greedy_search`` answers queries by walking the graph.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,14 +22,17 @@ from pyspark.sql.types import ArrayType, LongType
 
 from tidemark.session import cut
 
-#: Cells hold about so many nodes; a cell of more than twice as many is split by hyperplanes.
-CELL = 512
-#: Centres are fitted on at most so many projected vectors, brought to the driver (64 bytes each).
+#: Cells hold about so many nodes; one of more than four times as many is split by hyperplanes.
+CELL = 1024
+#: A node goes to its second cell too when that centre is at most so many times as far.
+BORDER = 1.05
+#: Centres are fitted on at most so many projected vectors, brought to the driver (128 bytes each).
 SAMPLE = 20_000
 CENTRES = 2_048
-SKETCH = 64
-TREES = 2
+SKETCH = 128
+#: Neighbours kept a node while the graph is built.
 LIST = 10
+NEAR = "array<struct<b:bigint,sim:double,cells:array<bigint>>>"
 
 
 def projection(dims: int) -> np.ndarray:
@@ -53,21 +57,18 @@ def encode(x: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     return codes, np.clip(np.rint(unit_length @ projection(x.shape[1]) * 254), -127, 127).astype(np.int8)
 
 
-def decode(codes: list[bytes], dims: int) -> np.ndarray:
-    """Rows of unit length; equal codes give equal rows."""
-    x = np.stack([np.frombuffer(c, np.int8 if len(c) == dims else np.int16) for c in codes]).astype(np.float32)
-    return x / np.linalg.norm(x.astype(np.float64), axis=1)[:, None].astype(np.float32)
+def read_codes(codes: list[bytes], dims: int, kind=np.float32) -> np.ndarray:
+    return np.stack([np.frombuffer(c, np.int8 if len(c) == dims else np.int16) for c in codes]).astype(kind)
 
 
 def exact_cosine(a: list[bytes], b: list[bytes], dims: int) -> np.ndarray:
-    """Cosines in double precision, row by row."""
-    read = lambda codes: np.stack([np.frombuffer(c, np.int8 if len(c) == dims else np.int16) for c in codes]).astype(np.float64)
-    x, y = read(a), read(b)
+    """Cosines row by row; the sums are sums of whole numbers, so equal pairs give equal results anywhere."""
+    x, y = read_codes(a, dims, np.float64), read_codes(b, dims, np.float64)
     return np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
 
 
 def encode_vectors(vectors: DataFrame, id_col: str, vector_col: str, dims: int) -> DataFrame:
-    """(id, node, sketch, code) of every usable vector: ``dims`` elements, none null, NaN or infinite, not all zero."""
+    """(id, hash, sketch, code) of every usable vector: ``dims`` elements, none null, NaN or infinite, not all zero."""
     rows = vectors.where(F.col(id_col).isNotNull() & (F.size(vector_col) == dims)).select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")
     )
@@ -86,9 +87,9 @@ def encode_vectors(vectors: DataFrame, id_col: str, vector_col: str, dims: int)
                     pa.array(part.column(0).to_numpy(zero_copy_only=False)[ok], pa.int64()),
                     pa.array([hashlib.blake2b(c, digest_size=16).digest() for c in codes], pa.binary()),
                     pa.array([s.tobytes() for s in sketches], pa.binary()), pa.array(codes, pa.binary()),
-                ], ["id", "node", "sketch", "code"])
+                ], ["id", "hash", "sketch", "code"])
 
-    return rows.mapInArrow(run, "id long, node binary, sketch binary, code binary")
+    return rows.mapInArrow(run, "id long, hash binary, sketch binary, code binary")
 
 
 def fit_centres(sketches: np.ndarray, count: int, seed: int, rounds: int = 6) -> np.ndarray:
@@ -110,74 +111,93 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.concatenate([(x[i:i + 4096] @ centres.T - half).argmax(axis=1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
 
 
-def _placer(centres: list[np.ndarray], bits: list[np.ndarray] | None):
-    """A UDF from sketch to the cell in each set: set, centre and as many hyperplane signs as the cell needs."""
-
-    def place(sketches):
-        import pandas as pd
-
-        x = np.stack([np.frombuffer(s, np.int8) for s in sketches]).astype(np.float32) if len(sketches) else np.zeros((0, SKETCH), np.float32)
-        cells = np.zeros((len(x), len(centres)), np.int64)
-        for t, c in enumerate(centres):
-            nearest = _nearest(x, c)
-            signs = np.zeros(len(x), np.int64)
-            if bits is not None and bits[t].any() and len(x):
-                planes = np.random.default_rng(100 + t).standard_normal((SKETCH, 30)).astype(np.float32)
-                side = ((x - c[nearest]) @ planes > 0).astype(np.int64)
-                used = np.arange(30)[None, :] < bits[t][nearest][:, None]
-                signs = ((side << np.arange(30)) * used).sum(axis=1)
-            cells[:, t] = (t << 56) | (nearest << 32) | signs
-        return pd.Series(list(cells))
+def _placer(centres: np.ndarray, bits: np.ndarray | None, border: float):
+    """A UDF from sketch to one or two cells: a centre and as many hyperplane signs as its cell needs."""
+
+    def place(sketches: pd.Series) -> pd.Series:
+        if not len(sketches):
+            return pd.Series([], dtype=object)
+        x = np.stack([np.frombuffer(s, np.int8) for s in sketches]).astype(np.float32)
+        half, own = (centres**2).sum(axis=1), (x**2).sum(axis=1)
+        cells: list[list[int]] = []
+        planes = np.random.default_rng(100).standard_normal((SKETCH, 30)).astype(np.float32) if bits is not None and bits.any() else None
+        for at in range(0, len(x), 4096):
+            part = x[at:at + 4096]
+            far = np.sqrt(np.maximum(own[at:at + 4096, None] - 2 * part @ centres.T + half, 0))
+            two = np.argsort(far, axis=1, kind="stable")[:, :2] if len(centres) < 3 else np.argpartition(far, 1, axis=1)[:, :2]
+            d = np.take_along_axis(far, two, axis=1)
+            order = np.argsort(d, axis=1, kind="stable")
+            two, d = np.take_along_axis(two, order, axis=1), np.take_along_axis(d, order, axis=1)
+            for i in range(len(part)):
+                picked = [int(two[i, 0])]
+                if two.shape[1] > 1 and border > 0 and d[i, 1] <= border * d[i, 0]:
+                    picked.append(int(two[i, 1]))
+                if planes is not None:
+                    picked = [(c << 32) | (int((((part[i] - centres[c]) @ planes[:, : bits[c]] > 0).astype(np.int64) << np.arange(bits[c])).sum()) if bits[c] else 0) for c in picked]
+                else:
+                    picked = [c << 32 for c in picked]
+                cells.append(picked)
+        return pd.Series(cells)
 
     return F.pandas_udf(place, ArrayType(LongType()))
 
 
 def _compare_cell(dims: int, keep: int):
-    """All nodes of one cell against each other: (a, b, sim) of the ``keep`` best of each."""
+    """All nodes of one cell against each other: of each the ``keep`` best, with where those live."""
 
     def run(table: pa.Table) -> pa.Table:
-        by_node = dict(zip(table["node"].to_pylist(), table["code"].to_pylist()))
-        nodes, codes = list(by_node), list(by_node.values())
-        schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("sim", pa.float64())])
-        if len(nodes) < 2:
+        schema = pa.schema([("a", pa.int64()), ("a_cells", pa.list_(pa.int64())), ("near", pa.list_(pa.struct([("b", pa.int64()), ("sim", pa.float64()), ("cells", pa.list_(pa.int64()))])))])
+        # rows of one code are copies: the smallest id stands for them
+        order = np.argsort(table["id"].to_numpy(), kind="stable")
+        ids, hashes, codes, cells = (table[c].take(pa.array(order)).to_pylist() for c in ("id", "hash", "code", "cells"))
+        first: dict[bytes, int] = {}
+        for i, h in enumerate(hashes):
+            first.setdefault(h, i)
+        at = list(first.values())
+        n = len(at)
+        if n < 2:
             return schema.empty_table()
-        x = decode(codes, dims)
-        left, right, sims = [], [], []
-        take = min(keep, len(nodes) - 1)
-        for at in range(0, len(nodes), 1024):
-            s = x[at:at + 1024] @ x.T
-            s[np.arange(len(s)), at + np.arange(len(s))] = -2
-            best = np.argpartition(-s, take - 1, axis=1)[:, :take]
-            left.append(np.repeat(at + np.arange(len(s)), take))
-            right.append(best.ravel())
-            sims.append(np.take_along_axis(s, best, axis=1).ravel())
-        a, b = np.concatenate(left), np.concatenate(right)
-        return pa.table([pa.array([nodes[i] for i in a], pa.binary()), pa.array([nodes[i] for i in b], pa.binary()), pa.array(np.concatenate(sims).astype(np.float64))], schema=schema)
+        ids, codes, cells = np.array([ids[i] for i in at]), [codes[i] for i in at], [cells[i] for i in at]
+        x = read_codes(codes, dims)
+        squares = np.einsum("ij,ij->i", x, x, dtype=np.float64)
+        # whole numbers whose sums stay under 2^24 are exact in single precision, in any order
+        exact = squares < 2**24
+        take = min(keep, n - 1)
+        scale = (1 / np.sqrt(squares)).astype(np.float32)
+        best, sims = np.empty((n, take), np.int64), np.empty((n, take))
+        for lo in range(0, n, 1024):
+            dots = x[lo:lo + 1024] @ x.T
+            score = dots * scale
+            score[np.arange(len(score)), lo + np.arange(len(score))] = -np.inf
+            top = np.argpartition(-score, take - 1, axis=1)[:, :take]
+            best[lo:lo + 1024] = top
+            sims[lo:lo + 1024] = np.take_along_axis(dots, top, axis=1).astype(np.float64) / np.sqrt(squares[lo:lo + 1024, None] * squares[top])
+        for i in np.flatnonzero(~exact[:, None].repeat(take, 1).any(axis=1) | ~exact[best].all(axis=1)):
+            sims[i] = exact_cosine([codes[i]] * take, [codes[j] for j in best[i]], dims)
+        flat = best.ravel()
+        near = pa.StructArray.from_arrays([pa.array(ids[flat], pa.int64()), pa.array(sims.ravel()), pa.array([cells[j] for j in flat], pa.list_(pa.int64()))], ["b", "sim", "cells"])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * take + 1, take), pa.int32()), near)
+        return pa.table([pa.array(ids, pa.int64()), pa.array(cells, pa.list_(pa.int64())), lists], schema=schema)
 
     return run
 
 
-def _best(edges: DataFrame, keep: int) -> DataFrame:
-    """The ``keep`` most similar b of every a; repeated pairs count once."""
-    once = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= keep)
-
-
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("a", "b", "sim").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+def _trim(near, keep: int):
+    """The ``keep`` best of a list, ties to the smaller id, each once."""
+    keyed = F.array_distinct(F.transform(near, lambda s: F.struct((-s["sim"]).alias("far"), s["b"].alias("b"), s["cells"].alias("cells"))))
+    return F.transform(F.slice(F.array_sort(keyed), 1, keep), lambda s: F.struct(s["b"].alias("b"), (-s["far"]).alias("sim"), s["cells"].alias("cells")))
 
 
 class Graph:
-    """nodes(node, sketch, cells, code), members(id, node), edges(a, b, sim, rank), and what fitted it."""
+    """near(a, a_cells, near), light(node, sketch, cells), groups(node, ids, copies), encoded, and how it was built."""
 
-    def __init__(self, nodes: DataFrame, members: DataFrame, edges: DataFrame, dims: int, rounds: int):
-        self.nodes, self.members, self.edges, self.dims, self.rounds = nodes, members, edges, dims, rounds
+    def __init__(self, near: DataFrame, light: DataFrame, groups: DataFrame, encoded: DataFrame, dims: int, rounds: list[tuple[int, int]]):
+        self.near, self.light, self.groups, self.encoded, self.dims, self.rounds = near, light, groups, encoded, dims, rounds
 
 
 def build_graph(
-    vectors: DataFrame, id_col: str, vector_col: str, dims: int, k: int = 5, cell: int = CELL, margin: float = 0.25,
-    rounds: int = 4, least: float = 0.001,
+    vectors: DataFrame, id_col: str, vector_col: str, dims: int, k: int = 5, cell: int = CELL, border: float = BORDER,
+    margin: float = 0.2, rounds: int = 4, least: float = 0.001,
 ) -> Graph:
     """The neighbour graph of all usable vectors.
 
@@ -185,62 +205,80 @@ def build_graph(
     ``least`` of the k-lists. An empty input gives empty tables.
     """
     encoded = cut(encode_vectors(vectors, id_col, vector_col, dims))
-    members = encoded.groupBy("id").agg(F.min("node").alias("node"))
-    total = encoded.count()
+    part = F.pmod(F.xxhash64("id"), F.lit(32))
+    some = encoded.select("id", "hash", "sketch").groupBy("hash", part.alias("part")).agg(
+        F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"), F.count_distinct("id").alias("copies"), F.first("sketch").alias("sketch")
+    )
+    groups = some.groupBy("hash").agg(
+        F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"), F.sum("copies").alias("copies"), F.first("sketch").alias("sketch")
+    )
+    groups = cut(groups.select(F.col("ids")[0].alias("node"), "hash", "ids", "copies", "sketch"))
+    total = groups.count()
     count = max(1, min(CENTRES, total // cell))
-    sample = encoded.select("sketch")
+    sample = groups.select("sketch")
     if total > SAMPLE:
         sample = sample.sample(min(1.0, 1.2 * SAMPLE / total), seed=11).limit(SAMPLE)
     sketches = np.array([np.frombuffer(r["sketch"], np.int8) for r in sample.collect()]).reshape(-1, SKETCH)
-    if not len(sketches):
-        sketches = np.zeros((1, SKETCH), np.int8)
-    centres = [fit_centres(sketches, count, seed) for seed in range(TREES)]
-
-    placed = encoded.withColumn("cells", _placer(centres, None)(F.col("sketch")))
-    sizes = placed.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect()  # one row per centre and set
-    bits = [np.zeros(len(c), np.int64) for c in centres]
+    centres = fit_centres(sketches if len(sketches) else np.zeros((1, SKETCH), np.int8), count, 0)
+    sizes = groups.select(F.explode(_placer(centres, None, border)("sketch")).alias("cell")).groupBy("cell").count().collect()  # one row a centre
+    bits = np.zeros(len(centres), np.int64)
     for row in sizes:
-        if row["count"] > 2 * cell:
-            bits[row["cell"] >> 56][(row["cell"] >> 32) & 0xFFFFFF] = int(np.ceil(np.log2(row["count"] / (2 * cell))))
-    nodes = encoded.withColumn("cells", _placer(centres, bits)(F.col("sketch"))).select("node", "sketch", "cells", "code")
-
-    # a node that recurs in one task leaves it once for each cell
-    spread = nodes.select("node", "code", F.explode("cells").alias("cell"))
-    compared = spread.groupBy("cell").applyInArrow(_compare_cell(dims, LIST), "a binary, b binary, sim double")
-    edges = cut(_best(compared, LIST))
-    light = cut(nodes.select("node", "sketch", "cells").dropDuplicates(["node"]))
-    done, tried = 0, None
-    while done < rounds:
-        done += 1
-        fresh = cut(_descend(edges, light, k, margin, tried))
+        if row["count"] > 4 * cell:
+            bits[row["cell"] >> 32] = int(np.ceil(np.log2(row["count"] / (4 * cell))))
+    placer = _placer(centres, bits, border)
+    light = cut(groups.select("node", "sketch", placer("sketch").alias("cells")))
+
+    spread = encoded.select("id", "hash", "code", placer("sketch").alias("cells")).withColumn("cell", F.explode("cells"))
+    compared = spread.groupBy("cell").applyInArrow(_compare_cell(dims, LIST), f"a long, a_cells array<long>, near {NEAR}")
+    near = cut(compared.groupBy("a").agg(F.first("a_cells").alias("a_cells"), F.flatten(F.collect_list("near")).alias("near")).select("a", "a_cells", _trim(F.col("near"), LIST).alias("near")))
+    log: list[tuple[int, int]] = []
+    tried: DataFrame | None = None
+    while len(log) < rounds:
+        fresh = cut(_descend(near, light, k, margin, tried))
         wanted = fresh.count()
         if not wanted:
+            log.append((0, 0))
             break
-        tried = fresh if tried is None else cut(tried.unionByName(fresh))
-        scored = _score_pairs(fresh, nodes, dims, wanted)
-        worst = edges.where(F.col("rank") == k).select("a", F.col("sim").alias("worst"))
-        new = cut(_both_ways(scored))
-        changed = new.join(worst, "a", "left").where(F.col("worst").isNull() | (F.col("sim") > F.col("worst"))).select("a").distinct().count()
-        edges = cut(_best(edges.select("a", "b", "sim").unionByName(new), LIST))
+        tried = fresh if tried is None else tried.unionByName(fresh)
+        scored = cut(_score_pairs(fresh, encoded, dims, wanted))
+        where = light.select(F.col("node").alias("b"), "cells")
+        ends = scored.select("a", "b", "sim").unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+        new = ends.join(where, "b").groupBy("a").agg(F.collect_list(F.struct("b", "sim", "cells")).alias("new"))
+        own = near.join(new, "a", "left").select(
+            "a", "a_cells", _trim(F.concat("near", F.coalesce("new", F.array().cast(NEAR))), LIST).alias("near"),
+            F.coalesce(F.exists("new", lambda s: s["sim"] > F.coalesce(F.get("near", F.lit(k - 1))["sim"], F.lit(-2.0))), F.lit(False)).alias("changed"),
+        )
+        # a node that was alone in its cells has no list yet
+        lone = new.join(near.select("a"), "a", "left_anti").join(light.select(F.col("node").alias("a"), F.col("cells").alias("a_cells")), "a").select(
+            "a", "a_cells", _trim(F.col("new"), LIST).alias("near"), F.lit(True).alias("changed")
+        )
+        near = cut(own.unionByName(lone))
+        changed = near.where("changed").count()
+        near = near.drop("changed")
+        log.append((wanted, changed))
         if changed < least * total:
             break
-    return Graph(nodes, members, edges, dims, done)
+    return Graph(near, light, groups, encoded, dims, log)
 
 
-def _descend(edges: DataFrame, light: DataFrame, k: int, margin: float, tried: DataFrame | None) -> DataFrame:
+def _descend(near: DataFrame, light: DataFrame, k: int, margin: float, tried: DataFrame | None) -> DataFrame:
     """(a, c): neighbours of one node that no cell has compared and that may still enter a k-list.
 
-    Lists hold at most LIST nodes either way, so a node of high degree stays small here.
+    Each node looks at its LIST best neighbours either way, so one of high degree stays small here.
     """
-    cells = light.select(F.col("node").alias("b"), F.col("cells").alias("cells"))
-    around = _best(_both_ways(edges), LIST).select("a", "b").join(cells, "b")
-    left = around.select("a", F.col("b").alias("x"), F.col("cells").alias("x_cells"))
-    right = around.select("a", F.col("b").alias("y"), F.col("cells").alias("y_cells"))
-    apart = left.join(right, "a").where((F.col("x") < F.col("y")) & ~F.arrays_overlap("x_cells", "y_cells"))
-    pairs = apart.select(F.col("x").alias("a"), F.col("y").alias("c")).distinct()
+    links = near.select("a", "a_cells", F.explode("near").alias("s")).select("a", "a_cells", F.col("s.b").alias("b"), F.col("s.sim").alias("sim"), F.col("s.cells").alias("b_cells"))
+    both = links.select(F.col("a").alias("centre"), F.struct(F.col("b").alias("n"), F.col("b_cells").alias("cells")).alias("e"), "sim").unionByName(
+        links.select(F.col("b").alias("centre"), F.struct(F.col("a").alias("n"), F.col("a_cells").alias("cells")).alias("e"), "sim")
+    )
+    rank = F.row_number().over(Window.partitionBy("centre").orderBy(F.desc("sim"), F.col("e.n")))
+    around = both.withColumn("rank", rank).where(F.col("rank") <= 2 * LIST).groupBy("centre").agg(F.collect_set("e").alias("es"))
+    pairs = F.flatten(F.transform("es", lambda x: F.transform(
+        F.filter("es", lambda y: (x["n"] < y["n"]) & ~F.arrays_overlap(x["cells"], y["cells"])), lambda y: F.struct(x["n"].alias("a"), y["n"].alias("c"))
+    )))
+    apart = around.select(F.explode(pairs).alias("p")).select("p.a", "p.c").distinct()
     if tried is not None:
-        pairs = pairs.join(tried, ["a", "c"], "left_anti")
-    worst = edges.where(F.col("rank") == k).select(F.col("a").alias("node"), F.col("sim").alias("worst"))
+        apart = apart.join(tried, ["a", "c"], "left_anti")
+    worst = near.select(F.col("a").alias("node"), F.coalesce(F.get("near", F.lit(k - 1))["sim"], F.lit(-1.0)).alias("worst"))
     known = light.select("node", "sketch").join(worst, "node", "left").select("node", "sketch", F.coalesce("worst", F.lit(-1.0)).alias("worst"))
     one = known.select(F.col("node").alias("a"), F.col("sketch").alias("a_sketch"), F.col("worst").alias("a_worst"))
     two = known.select(F.col("node").alias("c"), F.col("sketch").alias("c_sketch"), F.col("worst").alias("c_worst"))
@@ -249,56 +287,61 @@ def _descend(edges: DataFrame, light: DataFrame, k: int, margin: float, tried: D
         for batch in batches:
             if not batch.num_rows:
                 continue
-            read = lambda i: np.stack([np.frombuffer(s, np.int8) for s in batch.column(i).to_pylist()]).astype(np.float32)
+            read = lambda i: np.frombuffer(b"".join(batch.column(i).to_pylist()), np.int8).reshape(-1, SKETCH).astype(np.float32)
             x, y = read(2), read(3)
             cosine = (x * y).sum(axis=1) / np.maximum(np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1), 1e-9)
             worst = np.minimum(batch.column(4).to_numpy(), batch.column(5).to_numpy())
-            keep = pa.array(cosine >= worst - margin)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "c"]).filter(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "c"]).filter(pa.array(cosine >= worst - margin))
 
-    attached = pairs.join(one, "a").join(two, "c").select("a", "c", "a_sketch", "c_sketch", "a_worst", "c_worst")
-    return attached.mapInArrow(likely, "a binary, c binary")
+    attached = apart.join(one, "a").join(two, "c").select("a", "c", "a_sketch", "c_sketch", "a_worst", "c_worst")
+    return attached.mapInArrow(likely, "a long, c long")
 
 
-def _score_pairs(pairs: DataFrame, nodes: DataFrame, dims: int, count: int, broadcast_limit: int = 200_000) -> DataFrame:
+def _score_pairs(pairs: DataFrame, encoded: DataFrame, dims: int, count: int, broadcast_limit: int = 200_000) -> DataFrame:
     """(a, b, sim): the exact cosine of every pair. Codes travel only for the nodes that occur in a pair;
-    their keys are broadcast while there are at most ``broadcast_limit`` pairs, and joined beyond that."""
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("c").alias("node"))).distinct()
+    their ids are broadcast while there are at most ``broadcast_limit`` pairs, and joined beyond that."""
+    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("c").alias("id"))).distinct()
     if count <= broadcast_limit:
         needed = F.broadcast(needed)
-    codes = nodes.select("node", "code").join(needed, "node", "left_semi").dropDuplicates(["node"])
-    both = pairs.join(codes.select(F.col("node").alias("a"), F.col("code").alias("x")), "a").join(
-        codes.select(F.col("node").alias("c"), F.col("code").alias("y")), "c"
-    ).select("a", "c", "x", "y")
+    codes = encoded.select("id", "code").join(needed, "id", "left_semi").dropDuplicates(["id"])
+    # all pairs of one a are scored in one place: its code is sent there once, and that of each partner once
+    place = F.pmod(F.xxhash64("a"), F.lit(64))
+    placed = pairs.withColumn("place", place)
+    wanted = placed.select("place", F.col("a").alias("id")).unionByName(placed.select("place", F.col("c").alias("id"))).distinct()
+    sent = wanted.join(codes, "id").select(F.col("place").alias("spot"), "id", "code")
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                sims = exact_cosine(part.column(2).to_pylist(), part.column(3).to_pylist(), dims)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sims)], ["a", "b", "sim"])
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64())])
+        codes = dict(zip(right["id"].to_pylist(), right["code"].to_pylist()))
+        a, c = left["a"].to_pylist(), left["c"].to_pylist()
+        sims = [exact_cosine([codes[i] for i in a[at:at + 1000]], [codes[i] for i in c[at:at + 1000]], dims) for at in range(0, len(a), 1000)]
+        return pa.table([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(np.concatenate(sims) if sims else np.zeros(0))], schema=schema)
 
-    return both.mapInArrow(score, "a binary, b binary, sim double")
+    return placed.groupBy("place").cogroup(sent.groupBy("spot")).applyInArrow(score, "a long, b long, sim double")
 
 
-def nearest_ids(graph: Graph, k: int = 5) -> DataFrame:
+def nearest_ids(graph: Graph, k: int = 5, broadcast_limit: int = 100_000) -> DataFrame:
     """(id, other, sim, place): the k nearest ids of every id; ties go to the smaller id, itself is left out.
 
-    Copies of one vector are each other's nearest. Each node carries its k + 1 smallest ids only, so
-    a vector with very many copies costs one row a copy.
+    Copies of one vector are each other's nearest. A node carries its k + 1 smallest ids only, so a
+    vector with very many copies costs one row a copy.
     """
-    smallest = graph.members.withColumn("r", F.row_number().over(Window.partitionBy("node", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id"))).where(F.col("r") <= k + 1)
-    groups = smallest.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("ids"))
-    others = graph.edges.where(F.col("rank") <= LIST).join(groups.select(F.col("node").alias("b"), F.col("ids").alias("b_ids")), "b")
-    flat = others.select("a", "sim", F.explode("b_ids").alias("other"))
-    lists = flat.groupBy("a").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("far"), F.col("other")))), 1, k).alias("lists")
+    many = cut(graph.groups.where("copies > 1").select("node", "hash", "ids"))
+    small = many.count() <= broadcast_limit
+    lend = F.broadcast if small else (lambda df: df)
+    far = graph.near.select("a", F.explode(F.slice("near", 1, LIST)).alias("s")).select("a", F.col("s.b").alias("b"), (-F.col("s.sim")).alias("far"))
+    spelled = far.join(lend(many.select(F.col("node").alias("b"), F.col("ids").alias("b_ids"))), "b", "left").select(
+        "a", "far", F.explode(F.coalesce("b_ids", F.array("b"))).alias("other")
     )
-    per_node = groups.join(lists, groups["node"] == lists["a"], "left").select(
-        "node", F.concat(F.transform("ids", lambda i: F.struct(F.lit(-1.0).alias("far"), i.alias("other"))),
-                         F.coalesce("lists", F.array().cast("array<struct<far:double,other:bigint>>"))).alias("all"),
+    lists = spelled.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "other"))), 1, k).alias("lists"))
+    none = F.array().cast("array<struct<far:double,other:bigint>>")
+    full = lists.join(lend(many.select(F.col("node").alias("a"), "hash", "ids")), "a", "full").select(
+        F.col("a").alias("node"), "hash",
+        F.concat(F.coalesce(F.transform("ids", lambda i: F.struct(F.lit(-1.0).alias("far"), i.alias("other"))), none), F.coalesce("lists", none)).alias("all"),
     )
-    mine = graph.members.join(per_node, "node").select("id", F.slice(F.filter("all", lambda s: s["other"] != F.col("id")), 1, k).alias("best"))
+    alone = full.where("hash is null").select(F.col("node").alias("id"), "all")
+    copies = graph.encoded.select("id", "hash").distinct().join(lend(full.where("hash is not null").select("hash", "all")), "hash").select("id", "all")
+    mine = alone.unionByName(copies).select("id", F.slice(F.filter("all", lambda s: s["other"] != F.col("id")), 1, k).alias("best"))
     return mine.select("id", F.posexplode("best").alias("place", "s")).select(
         "id", F.col("s.other").alias("other"), (-F.col("s.far")).alias("sim"), (F.col("place") + 1).alias("place")
     )

@@ -1,4 +1,4 @@
-"""Parent-child rows to full hierarchies by pointer doubling, and the two- and all-level taxonomies.
+"""Parent-child rows to full hierarchies by pointer doubling.
 
 ``resolve_hierarchy`` never recurses level by level: every round replaces each node's pointer by
 its pointer's pointer, so trees of depth d take about log2(d) joins, each on (owner, node).
@@ -135,67 +135,3 @@ def category_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("z_pk").cast("string").alias("node_id"), F.col("zparent").cast("string").alias("parent_id"),
     )
     return normalise_links(flat.unionByName(desk).unionByName(core))
-
-
-# --- taxonomies: three semantics kept apart -------------------------------------------------
-
-
-def axes_all_levels(categories: DataFrame) -> DataFrame:
-    """(axis, tag): every descendant of a parentless row is a tag of its axis, found breadth first.
-
-    Input: id, name, parent_id. Rows with a blank id or name are dropped first, rows whose parent is
-    unknown belong to no axis, and an axis without descendants is its own only tag.
-    """
-    rows = categories.where(
-        F.col("id").isNotNull() & (F.trim("id") != "") & F.col("name").isNotNull() & (F.trim("name") != "")
-    )
-    known = rows.select(F.col("id").alias("k_id")).distinct()
-    attached = rows.where(F.col("parent_id").isNull()).unionByName(
-        rows.join(known, F.col("parent_id") == F.col("k_id"), "left_semi")
-    )
-    links = attached.select(
-        F.lit("t").alias("src"), F.lit("t").alias("owner"), F.col("id").alias("node_id"), "parent_id"
-    )
-    # dropping a row detaches its children: they must not become roots, so the parentless rows decide
-    resolved = resolve_hierarchy(normalise_links(links)).where(~F.col("in_cycle"))
-    roots = rows.where(F.col("parent_id").isNull()).select(F.col("id").alias("root_id"), F.col("name").alias("axis"))
-    members = resolved.select("node_id", "root_id", "depth").join(roots, "root_id")
-    tags = members.join(rows.select(F.col("id").alias("node_id"), F.col("name").alias("tag")), "node_id")
-    leafy = tags.where("depth > 0").select("root_id", "axis", "tag")
-    alone = roots.join(leafy.select("root_id").distinct(), "root_id", "left_anti").select("root_id", "axis", F.col("axis").alias("tag"))
-    return leafy.unionByName(alone).select("axis", "tag")
-
-
-def axes_two_levels(categories: DataFrame) -> DataFrame:
-    """(axis, tag) from direct children only; unknown parents drop the row, a childless root is its own tag."""
-    roots = categories.where(F.col("parent_id").isNull()).select(F.col("id").alias("r_id"), F.col("name").alias("axis"))
-    kids = categories.where(F.col("parent_id").isNotNull()).select("parent_id", F.col("name").alias("tag"))
-    return roots.join(kids, F.col("parent_id") == F.col("r_id"), "left").select(
-        "axis", F.coalesce("tag", "axis").alias("tag")
-    )
-
-
-def parents_with_children(categories: DataFrame) -> DataFrame:
-    """(name, pos, children): roots in order with their distinct direct children; orphans become roots.
-
-    Input: id, name, parent_id, pos, status. Deleted and nameless rows are dropped, grandchildren
-    are dropped, roots of the same name merge.
-    """
-    rows = categories.where(
-        (F.col("status").isNull() | (F.col("status") != "deleted")) & F.col("name").isNotNull() & (F.col("name") != "")
-    )
-    ids = rows.select(F.col("id").alias("p_id"), F.col("name").alias("p_name"), F.col("parent_id").alias("p_parent"))
-    joined = rows.join(ids, F.col("parent_id") == F.col("p_id"), "left")
-    is_root = F.col("parent_id").isNull() | (F.col("parent_id") == "") | F.col("p_id").isNull()
-    roots = joined.where(is_root).groupBy("name").agg(F.min("pos").alias("pos"), F.collect_set("id").alias("ids"))
-    root_ids = roots.select("name", F.explode("ids").alias("root_id"))
-    kids = (
-        joined.where(~is_root)
-        .select(F.col("parent_id").alias("root_id"), F.col("name").alias("child"), F.col("pos").alias("c_pos"))
-        .join(root_ids, "root_id")
-        .groupBy("name", "child").agg(F.min("c_pos").alias("c_pos"))
-        .groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("c_pos", "child"))), lambda s: s["child"]).alias("children"))
-    )
-    return roots.select("name", "pos").join(kids, "name", "left").select(
-        "name", "pos", F.coalesce("children", F.array().cast("array<string>")).alias("children")
-    )

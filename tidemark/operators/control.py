@@ -19,7 +19,7 @@ TRANSITIONS = {
 def request_window(starts: DataFrame, seconds: int = 60, limit: int = 60) -> DataFrame:
     """``starts`` (key, ts, id) with ``in_window``, the starts of the key in the last ``seconds`` with its own,
     and ``over``, whether they exceed ``limit``. A start exactly ``seconds`` old no longer counts."""
-    micros = F.unix_micros("ts")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
     window = Window.partitionBy("key").orderBy(micros).rangeBetween(-(seconds * 1_000_000 - 1), 0)
     counted = F.count(F.lit(1)).over(window)
     return starts.withColumn("in_window", counted).withColumn("over", F.col("in_window") > limit)

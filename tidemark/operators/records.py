@@ -33,10 +33,12 @@ def keep_allowed_tags(grid: Column, allowed: dict[str, list[str]]) -> Column:
     empty = F.from_json(F.lit("{}"), "map<string,array<string>>")
     if not allowed:
         return empty
-    parts = [
-        F.struct(F.lit(axis).alias("key"), F.filter(F.coalesce(F.try_element_at(grid, F.lit(axis)), F.array().cast("array<string>")), lambda t, ok=tuple(tags): t.isin(*ok) if ok else F.lit(False)).alias("value"))
-        for axis, tags in allowed.items()
-    ]
+
+    def chosen(axis: str, tags: list[str]) -> Column:
+        picked = F.coalesce(F.try_element_at(grid, F.lit(axis)), F.array().cast("array<string>"))
+        return F.struct(F.lit(axis).alias("key"), F.filter(picked, lambda t: t.isin(*tags) if tags else F.lit(False)).alias("value"))
+
+    parts = [chosen(axis, tags) for axis, tags in allowed.items()]
     return F.map_filter(F.map_from_entries(F.array(*parts)), lambda _, v: F.size(v) > 0)
 
 

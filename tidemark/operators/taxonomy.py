@@ -48,16 +48,14 @@ def parents_with_children(categories: DataFrame) -> DataFrame:
     Input: owner, id, name, parent_id, pos, status. Orphans become top level, grandchildren are
     dropped, top-level rows of the same name merge. Children come in order of position, then name.
     """
-    rows = live_rows(categories)
-    parents = rows.select("owner", F.col("id").alias("p_id"), F.col("parent_id").alias("p_parent"), F.col("name").alias("p_name")).dropDuplicates(["owner", "p_id"])
-    joined = rows.join(parents, (rows["owner"] == parents["owner"]) & (rows["parent_id"] == parents["p_id"]), "left").select(
-        rows["owner"], "id", "name", "pos", "parent_id", "p_id", "p_name", "p_parent"
-    )
-    known = rows.select("owner", F.col("id").alias("g_id")).distinct()
+    rows = live_rows(categories).select("owner", "id", "name", "parent_id", "pos")
+    parents = rows.select(F.col("owner").alias("p_owner"), F.col("id").alias("p_id"), F.col("parent_id").alias("p_parent"), F.col("name").alias("p_name")).dropDuplicates(["p_owner", "p_id"])
+    joined = rows.join(parents, (F.col("owner") == F.col("p_owner")) & (F.col("parent_id") == F.col("p_id")), "left").drop("p_owner")
+    known = parents.select(F.col("p_owner").alias("g_owner"), F.col("p_id").alias("g_id"))
     top = F.col("parent_id").isNull() | (F.col("parent_id") == "") | F.col("p_id").isNull()
     tops = joined.where(top).groupBy("owner", "name").agg(F.min("pos").alias("pos"))
-    below = joined.where(~top).join(known, ["owner"], "left_semi")
-    grand = below.join(known.withColumnRenamed("g_id", "p_parent"), ["owner", "p_parent"], "left_anti")
+    # a row whose parent has a known parent itself is a grandchild
+    grand = joined.where(~top).join(known, (F.col("owner") == F.col("g_owner")) & (F.col("p_parent") == F.col("g_id")), "left_anti")
     children = (
         grand.groupBy("owner", F.col("p_name").alias("parent"), F.col("name").alias("child")).agg(F.min("pos").alias("pos"))
         .groupBy("owner", F.col("parent").alias("name"))

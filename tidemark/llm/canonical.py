@@ -38,8 +38,12 @@ def _composed(lines: Column) -> Column:
 
 
 def _fold_case(text: Column) -> Column:
-    """Full case folding: upper case first turns sharp s into SS; dotless i is kept apart from i."""
-    return F.replace(F.lower(F.upper(F.replace(text, F.lit("\u0131"), F.lit("\ue131")))), F.lit("\ue131"), F.lit("\u0131"))
+    """Full case folding: upper case first turns sharp s into SS; dotless i is kept apart from i.
+
+    The replacement between the two also keeps the optimizer from reducing lower(upper(x)) to lower(x).
+    """
+    upper = F.upper(F.replace(text, F.lit("\u0131"), F.lit("\ue131")))
+    return F.lower(F.replace(upper, F.lit("\ue131"), F.lit("\u0131")))
 
 
 def canonical_text(text: Column) -> Column:

@@ -113,7 +113,7 @@ def exclude_residue(
     Content is any segment of at least ``min_words`` words that is not evidence, furniture,
     boilerplate (a line seen on ``min_lines`` pages of its host or more, ``boilerplate_share`` of them
     with evidence) or filler (six in ten words from the filler vocabulary: words of which
-    ``lexicon_share`` of the pages, and two at least, announce filler). A text of one segment
+    ``lexicon_share`` of the pages, and two at least, announce filler). A text of one sentence
     repeated three times or more is filler too. Null and blank texts have no evidence and stay;
     repeated ids count once. Counts run over all documents; only pages with evidence are taken apart.
     """
@@ -125,7 +125,8 @@ def exclude_residue(
     )
     placeholder = docs.where(has_placeholder(F.col("text"))).select("id", F.lit("placeholder").alias("reason"))
     rest = docs.where(~has_placeholder(F.col("text"))).withColumn("segments", _segments(F.col("text")))
-    rest = rest.withColumn("repeated", (F.size("segments") > 2) & (F.size(F.array_distinct("segments")) == 1)).withColumn(
+    sentences = F.filter(F.transform(F.split("text", r"\R+|(?<=[.!?…])\s+"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
+    rest = rest.withColumn("repeated", (F.size(sentences) > 2) & (F.size(F.array_distinct(sentences)) == 1)).withColumn(
         "evidence", F.exists("segments", lambda s: s.rlike(_EVIDENCE)) | F.col("repeated")
     )
 

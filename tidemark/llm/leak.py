@@ -34,11 +34,11 @@ def words_of(text: str | None) -> list[str]:
 class LeakIndex:
     """BM25 weights of one shard of test items, by word and by block of items."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], run: int = 12, block: int = 32, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, items: list[tuple[int, list[str]]], run: int = 12, block: int = 16, k1: float = 1.2, b: float = 0.75):
         self.run, self.block = run, block
         items = [(key, w) for key, w in items if len(w) >= run]
         self.keys = [key for key, _ in items]
-        self.grams = [{tuple(w[i:i + run]) for i in range(len(w) - run + 1)} for _, w in items]
+        self.words = [w for _, w in items]
         frequency = Counter(t for _, w in items for t in set(w))
         self.terms = {t: i for i, t in enumerate(frequency)}
         n, mean = len(items), sum(len(w) for _, w in items) / max(len(items), 1)
@@ -50,51 +50,81 @@ class LeakIndex:
                 t: math.log(1 + (n - frequency[t] + 0.5) / (frequency[t] + 0.5)) * c * (k1 + 1) / (c + k1 * (1 - b + b * len(w) / mean))
                 for t, c in tf.items()
             }
-            least = min(sum(score[t] for t in set(g)) for g in self.grams[j])
+            least = min(sum(score[t] for t in set(w[i:i + run])) for i in range(len(w) - run + 1))
             for t, s in score.items():
                 weights[self.terms[t], j] = s / least
-        self.weights = weights.reshape(len(self.terms) + 1, self.blocks, block)
-        self.maxima = self.weights.max(axis=2)
-
-    def retrieve(self, documents: list[list[str]], passage: int = 96) -> list[tuple[int, int]]:
+        # one table per block, so that scoring a block touches its own columns only
+        self.weights = [np.ascontiguousarray(weights[:, k * block:(k + 1) * block]) for k in range(self.blocks)]
+        self.maxima = np.stack([w.max(axis=1) for w in self.weights], axis=1) if self.blocks else np.zeros((len(self.terms) + 1, 0), np.float32)
+        self.grams = [set(h.tolist()) for h, _ in (self.run_hashes([self.encode(w)]) for w in self.words)]
+
+    def encode(self, words: list[str]) -> np.ndarray:
+        """Words as numbers; all words that no item has share the last one."""
+        unknown = len(self.terms)
+        get = self.terms.get
+        return np.fromiter((get(w, unknown) for w in words), np.int64, len(words))
+
+    def run_hashes(self, documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, document) of every run of ``run`` known words, in order."""
+        unknown = len(self.terms)
+        gap = np.array([unknown], np.int64)
+        flat = np.concatenate([x for d in documents for x in (d, gap)] or [gap])
+        owner = np.repeat(np.arange(len(documents)), [len(d) + 1 for d in documents]) if documents else np.zeros(1, np.int64)
+        n = len(flat) - self.run + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        mixed = (flat.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        total = np.zeros(n, np.uint64)
+        for j in range(self.run):
+            total = total * np.uint64(0xD6E8FEB86659FD93) + mixed[j:j + n]
+        bad = np.concatenate(([0], np.cumsum(flat == unknown)))
+        good = bad[self.run:self.run + n] == bad[:n]
+        return total[good], owner[:n][good]
+
+    def retrieve(self, documents: list[np.ndarray], passage: int = 32) -> list[tuple[int, int]]:
         """(document, item) positions whose BM25 score reaches the threshold in some passage."""
-        unknown, step = len(self.terms), passage - self.run + 1
-        docs, tokens, sizes = [], [], []
-        for d, words in enumerate(documents):
-            ids = [self.terms.get(w, unknown) for w in words]
-            for a in range(0, max(len(ids) - self.run + 1, 0), step):
-                known = set(ids[a:a + passage])
-                known.discard(unknown)
-                if known:
+        unknown, step, run = len(self.terms), passage - self.run + 1, self.run
+        docs, parts = [], []
+        for d, ids in enumerate(documents):
+            for a in range(0, max(len(ids) - run + 1, 0), step):
+                known = np.unique(ids[a:a + passage])
+                if len(known) and known[-1] == unknown:
+                    known = known[:-1]
+                if len(known):
                     docs.append(d)
-                    tokens.extend(known)
-                    sizes.append(len(known))
+                    parts.append(known)
         if not docs:
             return []
-        tokens, docs = np.array(tokens), np.array(docs)
+        tokens, docs = np.concatenate(parts), np.array(docs)
+        sizes = np.array([len(p) for p in parts])
         begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        owner = np.repeat(np.arange(len(docs)), sizes)
         bound = np.add.reduceat(self.maxima[tokens], begin, axis=0)
         found: set[tuple[int, int]] = set()
         for k in range(self.blocks):
-            alive = np.flatnonzero(bound[:, k] >= 0.999)
-            if not len(alive):
+            alive = bound[:, k] >= 0.999
+            if not alive.any():
                 continue
-            keep = np.isin(owner, alive)
-            scores = np.add.reduceat(self.weights[tokens[keep], k], np.concatenate(([0], np.cumsum(np.array(sizes)[alive])[:-1])), axis=0)
+            keep = np.repeat(alive, sizes)
+            scores = np.add.reduceat(self.weights[k][tokens[keep]], np.concatenate(([0], np.cumsum(sizes[alive])[:-1])), axis=0)
             p, j = np.nonzero(scores >= 0.999)
-            found.update(zip(docs[alive[p]].tolist(), (j + k * self.block).tolist()))
+            found.update(zip(docs[np.flatnonzero(alive)[p]].tolist(), (j + k * self.block).tolist()))
         return sorted(found)
 
-    def verify(self, words: list[str], item: int) -> bool:
-        """Whether the document holds a run of ``run`` consecutive words of the item."""
-        grams, run = self.grams[item], self.run
-        return any(tuple(words[i:i + run]) in grams for i in range(len(words) - run + 1))
+    def verify(self, found: list[tuple[int, int]], encoded: list[np.ndarray], texts: list[list[str]]) -> list[tuple[int, int]]:
+        """Those of the pairs that share a run of words: by the runs' hashes, then word by word."""
+        asked = sorted({d for d, _ in found})
+        hashes, owner = self.run_hashes([encoded[d] for d in asked])
+        edges = np.searchsorted(owner, np.arange(len(asked) + 1))
+        runs = {d: set(hashes[edges[i]:edges[i + 1]].tolist()) for i, d in enumerate(asked)}
+        near = [(d, j) for d, j in found if not self.grams[j].isdisjoint(runs[d])]
+        grams = lambda w: {tuple(w[i:i + self.run]) for i in range(len(w) - self.run + 1)}
+        return [(d, j) for d, j in near if not grams(self.words[j]).isdisjoint(grams(texts[d]))]
 
 
 def find_leaks(
     documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str,
-    run: int = 12, passage: int = 96, shard_words: int = SHARD_WORDS,
+    run: int = 12, passage: int = 32, shard_words: int = SHARD_WORDS,
 ) -> DataFrame:
     """(item_id, doc_id) for every document that shares ``run`` consecutive words with a test item.
 
@@ -121,7 +151,8 @@ def find_leaks(
                 for part in range(0, batch.num_rows, 500):
                     piece = batch.slice(part, 500)
                     keys, texts = piece.column(0).to_pylist(), [words_of(t) for t in piece.column(1).to_pylist()]
-                    pairs = [(at.keys[j], keys[d]) for d, j in at.retrieve(texts, passage) if at.verify(texts[d], j)]
+                    encoded = [at.encode(w) for w in texts]
+                    pairs = [(at.keys[j], keys[d]) for d, j in at.verify(at.retrieve(encoded, passage), encoded, texts)]
                     if pairs:
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["item_id", "doc_id"]

@@ -4,8 +4,12 @@ from tidemark.llm.leak import LeakIndex, find_leaks, words_of
 
 
 def brute(docs, items, run):
-    grams = lambda t: {tuple(words_of(t)[i:i + run]) for i in range(len(words_of(t)) - run + 1)}
-    return sorted((i, d) for i, a in items for d, b in docs if a and b and grams(a) & grams(b))
+    def grams(text):
+        words = words_of(text)
+        return {tuple(words[i:i + run]) for i in range(len(words) - run + 1)}
+
+    d, i = [(k, grams(t)) for k, t in docs], [(k, grams(t)) for k, t in items]
+    return sorted((a, b) for a, x in i for b, y in d if x & y)
 
 
 def corpus(seed):

@@ -79,9 +79,13 @@ _SEED = "(?ium)^\\W*(?:lorem ipsum|(?:recipe |content )?coming soon|próximament
 _PLACEHOLDER = "|".join(f"(?:{p})" for p in PLACEHOLDERS)
 
 
+#: Every placeholder has one of these; texts without are not looked at any closer.
+_MARKS = r"[{<@$]|\[|%|__|&lt;"
+
+
 def has_placeholder(text: Column) -> Column:
     """Whether the text holds an unfilled placeholder; filled tokens and image markers are none."""
-    return text.rlike(_PLACEHOLDER)
+    return text.rlike(_MARKS) & text.rlike(_PLACEHOLDER)
 
 
 def _segments(text: Column) -> Column:

@@ -3,9 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the library to the executors, once per application: their Python need not have it installed."""
+    context = spark.sparkContext
+    package = Path(__file__).resolve().parent
+    if context.applicationId in _shipped or not package.is_dir():
+        return
+    _shipped.add(context.applicationId)
+    path = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, f"tidemark/{source.relative_to(package)}")
+    context.addPyFile(str(path))
+
 #: Settings of a session that this library builds itself; a session handed in is never reconfigured.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -27,6 +45,7 @@ def build_session(master: str = "local[*]", **conf: str) -> SparkSession:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of a data directory (a file or a folder of part files)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -50,5 +69,6 @@ def cut(df: DataFrame) -> DataFrame:
 
     Unlike a local checkpoint this survives the loss of any executor.
     """
+    ship(df.sparkSession)
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

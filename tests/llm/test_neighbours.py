@@ -1,6 +1,6 @@
 import numpy as np
 
-from tidemark.llm.neighbours import build_graph, encode, exact_cosine, nearest_ids
+from tidemark.llm.neighbours import build_graph, greedy_search, encode, exact_cosine, nearest_ids
 
 DIMS = 32
 
@@ -60,3 +60,15 @@ def test_codes():
     assert len(codes[0]) == DIMS and codes[0] == codes[1] and len(codes[2]) == 2 * DIMS
     true = float(x[2].astype(float) @ x[3].astype(float) / np.linalg.norm(x[2]) / np.linalg.norm(x[3]))
     assert abs(exact_cosine([codes[2]], [codes[3]], DIMS)[0] - true) < 1e-4
+
+
+def test_greedy_search(spark):
+    rows = vectors(800, 40)
+    graph = build_graph(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), "vec_id", "embedding", DIMS, cell=128)
+    queries = graph.encoded.where("id % 10 = 0").join(graph.light.withColumnRenamed("node", "id").select("id", "cells"), "id").selectExpr("id as q", "code", "sketch", "cells")
+    got = {}
+    for r in greedy_search(graph, queries, 6).collect():
+        got.setdefault(r["q"], set()).add(r["node"])
+    want = brute(rows, 5)
+    assert sum(len(set(want[q]) & got[q]) for q in got) >= 0.9 * 5 * len(got) and len(got) == 80
+    assert greedy_search(graph, queries.limit(0)).count() == 0

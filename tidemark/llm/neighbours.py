@@ -345,3 +345,70 @@ def nearest_ids(graph: Graph, k: int = 5, broadcast_limit: int = 100_000) -> Dat
     return mine.select("id", F.posexplode("best").alias("place", "s")).select(
         "id", F.col("s.other").alias("other"), (-F.col("s.far")).alias("sim"), (F.col("place") + 1).alias("place")
     )
+
+
+def greedy_search(graph: Graph, queries: DataFrame, k: int = 5, beam: int = 12, starts: int = 8, steps: int = 12) -> DataFrame:
+    """(q, node, sim, place): the k nearest nodes of every query (q BIGINT, code BINARY, sketch BINARY, cells ARRAY<BIGINT>), by walking the graph.
+
+    Groups of similar vectors need not be linked to each other, so a walk starts at the ``starts`` nodes of
+    the query's own cells that look nearest in the projection. Each step looks at the neighbours, either
+    way, of the ``beam`` best nodes seen so far and keeps the best; it ends for all queries when a step
+    brings none of them anything new, or after ``steps``. A query whose cells hold no node finds nothing.
+    """
+    dims = graph.dims
+
+    def enter(nodes: pa.Table, asks: pa.Table) -> pa.Table:
+        schema = pa.schema([("q", pa.int64()), ("node", pa.int64())])
+        if not nodes.num_rows or not asks.num_rows:
+            return schema.empty_table()
+        read = lambda column: np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, SKETCH).astype(np.float32)
+        x, ids, asked = read(nodes["sketch"]), nodes["node"].to_numpy(), asks["q"].to_numpy()
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        take, q, n = min(starts, len(x)), [], []
+        y = read(asks["asked_sketch"])
+        for at in range(0, len(y), 1024):
+            best = np.argpartition(-(y[at:at + 1024] @ x.T), take - 1, axis=1)[:, :take]
+            q.append(np.repeat(asked[at:at + 1024], take))
+            n.append(ids[best.ravel()])
+        return pa.table([pa.array(np.concatenate(q)), pa.array(np.concatenate(n))], schema=schema)
+
+    places = graph.light.select("node", "sketch", F.explode("cells").alias("cell"))
+    asks = queries.select("q", F.col("sketch").alias("asked_sketch"), F.explode("cells").alias("asked_cell"))
+    fresh = places.groupBy("cell").cogroup(asks.groupBy("asked_cell")).applyInArrow(enter, "q long, node long").distinct()
+    links = graph.near.select("a", F.explode("near.b").alias("b"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    # a node is walked by at most 2 LIST of its links: lists are short, so hubs must be too
+    hubs = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b")))
+    around = cut(both.withColumn("r", hubs).where(F.col("r") <= 2 * LIST).groupBy("a").agg(F.collect_list("b").alias("near")))
+    seen = None
+    for _ in range(steps):
+        scored = _score_queries(fresh, queries, graph.encoded, dims).withColumn("walked", F.lit(False))
+        seen = cut(scored if seen is None else seen.unionByName(scored))
+        rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "node"))
+        best = seen.withColumn("r", rank)
+        frontier = best.where((F.col("r") <= beam) & ~F.col("walked")).select("q", "node")
+        step = frontier.join(around, F.col("node") == F.col("a")).select("q", F.explode("near").alias("node")).distinct()
+        fresh = cut(step.join(seen.select("q", "node"), ["q", "node"], "left_anti"))
+        seen = best.withColumn("walked", F.col("walked") | (F.col("r") <= beam)).drop("r")
+        if fresh.isEmpty():
+            break
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "node"))
+    return seen.withColumn("place", rank).where(F.col("place") <= k).select("q", "node", "sim", "place")
+
+
+def _score_queries(pairs: DataFrame, queries: DataFrame, encoded: DataFrame, dims: int) -> DataFrame:
+    """(q, node, sim) of (q, node) pairs; each code goes once to each of the places that score it."""
+    place = F.pmod(F.xxhash64("q"), F.lit(64))
+    placed = pairs.withColumn("place", place)
+    wanted = placed.select("place", F.col("node").alias("id")).distinct()
+    nodes = wanted.join(encoded.select("id", "code"), "id").dropDuplicates(["place", "id"]).select(F.col("place").alias("spot"), F.lit(False).alias("asks"), "id", "code")
+    asks = queries.select(place.alias("spot"), F.lit(True).alias("asks"), F.col("q").alias("id"), "code")
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("q", pa.int64()), ("node", pa.int64()), ("sim", pa.float64())])
+        codes = dict(zip(zip(right["asks"].to_pylist(), right["id"].to_pylist()), right["code"].to_pylist()))
+        q, node = left["q"].to_pylist(), left["node"].to_pylist()
+        sims = [exact_cosine([codes[True, i] for i in q[at:at + 1000]], [codes[False, i] for i in node[at:at + 1000]], dims) for at in range(0, len(q), 1000)]
+        return pa.table([pa.array(q, pa.int64()), pa.array(node, pa.int64()), pa.array(np.concatenate(sims) if sims else np.zeros(0))], schema=schema)
+
+    return placed.groupBy("place").cogroup(nodes.unionByName(asks).groupBy("spot")).applyInArrow(score, "q long, node long, sim double")

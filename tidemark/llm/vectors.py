@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.neighbours import build_graph, nearest_ids
+from tidemark.llm.neighbours import build_graph, greedy_search, nearest_ids
 from tidemark.session import read_table
 
 DIMS = 1536
@@ -24,5 +24,21 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("id", "other").alias("vec_a"), F.greatest("id", "other").alias("vec_b")).distinct()
 
 
-QUERIES = {"p2_found": p2_found}
+def p2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50, found by walking the graph.
+
+    Copies of one vector are one answer, under their smallest id; the query's own vector is left out.
+    """
+    graph = build_graph(all_vectors(spark, sf_dir), "vec_id", "embedding", DIMS)
+    members = graph.encoded.select("id", "hash").where("id % 50 = 0").distinct()
+    cells = graph.light.select("node", "sketch", "cells")
+    codes = graph.encoded.select("id", "code").where("id % 50 = 0").dropDuplicates(["id"])
+    queries = members.join(graph.groups.select("hash", "node"), "hash").join(cells, "node").join(codes, "id").select(F.col("id").alias("q"), "code", "sketch", "cells", "node")
+    # the query's own node is found first: one more place is asked for and itself left out
+    found = greedy_search(graph, queries, 6).join(queries.select("q", F.col("node").alias("own")), "q").where("node <> own")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "node"))
+    return found.withColumn("place", rank).where("place <= 5").select(F.col("q").alias("vec_id"), F.col("node").alias("nearest"), F.round("sim", 6).alias("sim"), "place")
+
+
+QUERIES = {"p2_found": p2_found, "p2_search": p2_search}
 ORACLE_SQL: dict[str, str] = {}

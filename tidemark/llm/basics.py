@@ -49,7 +49,20 @@ _GRAMS = """
        unnest(range(1, len(w) - 10)) AS r(i)
 """
 
+_SPACES = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_TOKENS = "regexp_extract_all(regexp_replace(regexp_replace(lower(upper(nfc_normalize({t}))), '[\\x{{FE00}}-\\x{{FE0F}}\\x{{034F}}]', '', 'g'), '" + _SPACES.replace("{", "{{").replace("}", "}}") + "', ' ', 'g'), '[\\p{{L}}\\p{{N}}\\p{{Mn}}\\p{{Mc}}]+|[^\\p{{L}}\\p{{N}}\\p{{Mn}}\\p{{Mc}}]+')"
+_KEY = r"array_to_string(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN regexp_matches(left(w[i], 1), '[\p{L}\p{N}\p{Mn}\p{Mc}]') THEN w[i] WHEN i > 1 AND i < len(w) AND regexp_matches(right(w[i - 1], 1), '\p{N}') AND regexp_matches(left(w[i + 1], 1), '\p{N}') THEN w[i] ELSE '' END), '')"
+_GROUPS = f"""
+r AS (SELECT extraction_id, any_value(name) AS name, any_value(ingredients) AS ingredients FROM recipe_extractions WHERE name IS NOT NULL AND ingredients IS NOT NULL GROUP BY extraction_id),
+l AS (SELECT extraction_id, {_KEY} AS k FROM (SELECT extraction_id, {_TOKENS.format(t='line')} AS w FROM (SELECT extraction_id, unnest(ingredients) AS line FROM r) WHERE line IS NOT NULL)),
+k AS (SELECT r.extraction_id, n.k AS name, list(l.k ORDER BY l.k) AS lines FROM r JOIN l USING (extraction_id)
+  JOIN (SELECT extraction_id, {_KEY} AS k FROM (SELECT extraction_id, {_TOKENS.format(t='name')} AS w FROM r)) n USING (extraction_id) WHERE l.k <> '' AND n.k <> '' GROUP BY ALL)
+"""
+
 ORACLE_SQL = {
+    "p1_found": f"""WITH {_GROUPS}, g AS (SELECT *, min(extraction_id) OVER (PARTITION BY name, lines) AS keep_id FROM k)
+SELECT keep_id, extraction_id AS copy_id FROM g WHERE extraction_id <> keep_id""",
+    "p1_counts": f"""WITH {_GROUPS} SELECT min(extraction_id) AS keep_id, count(*) AS copies FROM k GROUP BY name, lines""",
     "p4_found": r"""
 WITH big AS (SELECT chunk_id, any_value(trim(text)) AS text FROM chunks WHERE length(text) > 30000 GROUP BY chunk_id),
 longest AS (

@@ -39,4 +39,12 @@ def p10_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_forms": p7_forms, "p10_found": p10_found, "p10_reasons": p10_reasons}
-ORACLE_SQL: dict[str, str] = {}
+#: For these data: characters by range, composition, and words of two scripts; no joiners of other scripts occur.
+ORACLE_SQL = {
+    "p7_found": r"""
+WITH r AS (SELECT extraction_id, any_value(name) AS name, any_value(ingredients) AS ingredients FROM recipe_extractions GROUP BY extraction_id),
+t AS (SELECT extraction_id, 'name' AS field, 0 AS pos, name AS text FROM r
+  UNION ALL SELECT extraction_id, 'ingredients', CAST(i AS INTEGER), ingredients[i] FROM (SELECT *, unnest(range(1, len(ingredients) + 1)) AS i FROM r))
+SELECT extraction_id, field, pos FROM t WHERE regexp_matches(text, '[\x{00AD}\x{00A0}\x{1680}\x{2000}-\x{200F}\x{202F}\x{205F}\x{2060}-\x{2064}\x{3000}\x{FEFF}\x{FF01}-\x{FF5E}\x{FB00}-\x{FB06}\x{1D400}-\x{1D7FF}\x{2044}\x{2215}]')
+  OR nfc_normalize(text) <> text OR regexp_matches(text, '\p{Latin}\p{L}*[\p{Cyrillic}\p{Greek}]|[\p{Cyrillic}\p{Greek}]\p{L}*\p{Latin}')""",
+}

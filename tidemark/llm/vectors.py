@@ -41,4 +41,11 @@ def p2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_search": p2_search}
-ORACLE_SQL: dict[str, str] = {}
+#: Exact, so only for small tables; the operator compares all pairs there too, as one cell holds them.
+ORACLE_SQL = {
+    "p2_found": """
+WITH v AS (SELECT vec_id, any_value(embedding) AS e FROM (SELECT vec_id, embedding FROM cayenne_recipes UNION ALL SELECT vec_id, embedding FROM embed_responses) GROUP BY vec_id),
+u AS (SELECT vec_id, CAST(e AS DOUBLE[]) AS e FROM v WHERE len(e) = 1536 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.e, b.e), 11) DESC, b.vec_id) AS r FROM u a JOIN u b ON a.vec_id <> b.vec_id)
+SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM p WHERE r <= 5""",
+}

@@ -77,6 +77,8 @@ def title_key(line: str) -> tuple[str, list[str], str | None] | None:
     t = line.strip()
     if not t or len(t) > 90 or _IMAGE.match(t):
         return None
+    if (m := _PAGE.fullmatch(t)) and page_value(m[1]):
+        return None
     number = None
     for pattern in (_LEADING, _TRAILING):
         if (m := pattern.search(t)) and page_value(m[1]):
@@ -201,7 +203,7 @@ def _body_words(line: str) -> tuple[list[str], bool]:
 
 
 _LONE = re.compile(r"\s*([IlZSOB|])(?:\s+[^\W\d_]|\s*[½⅓⅔¼¾⅛])")
-_MIXED = re.compile(r"\s*[IlZSOB|]\s+\d+/\d+\s")
+_MIXED = re.compile(r"\s*[IlZSOB|]\s+(?:\d+/\d+\s|(?i:cups?|tsp|tbsp|teaspoons?|tablespoons?|oz|ounces?|fl|lbs?|pounds?|k?g|grams?|ml|cl|dl|l|litres?|liters?|sprigs?|cloves?|pinch)\b)")
 _AMOUNT = re.compile(r"\s*(?:[\dIlZSOB|]+[\d./,IlZSOB ]*|a pinch|half|salt\b)")
 
 
@@ -291,8 +293,9 @@ def label_pages(pages: DataFrame) -> DataFrame:
                     if not bad and _MIXED.match(line) and i not in taken:
                         bad = True
                     elif not bad and _LONE.match(line) and i not in taken:
-                        near = [lines[j] for j in (i - 1, i + 1) if 0 <= j < len(lines)]
-                        bad = any(_AMOUNT.match(x) and not _LONE.match(x) for x in near) and not line.rstrip().endswith(".")
+                        at = body.index(i)
+                        near = [lines[j] for j in body[max(at - 2, 0):at + 3] if j != i]
+                        bad = any(_AMOUNT.match(x) and not x.rstrip().endswith(".") for x in near) and not line.rstrip().endswith(".")
                     out.append((chunk, i + 1, label, words, bad, *cuts.get(i, (None, None, None))))
             if out:
                 cols = list(zip(*out))

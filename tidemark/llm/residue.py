@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 _NAME = r"[A-Za-z][\w .\-]*"
 _TAGS = "a|b|i|u|p|s|br|hr|em|li|ol|ul|td|th|tr|tt|dd|dl|dt|h[1-6]|img|div|pre|sub|sup|body|code|font|form|head|html|link|meta|span|table|tbody|thead|strong|script|style|title|center|small|input|label|blockquote"
 
@@ -111,6 +113,7 @@ def _words(text: Column) -> Column:
 def exclude_residue(
     documents: DataFrame, id_col: str, text_col: str, url_col: str, min_words: int = 4,
     min_lines: int = 3, boilerplate_share: float = 0.5, lexicon_share: float = 0.02,
+    broadcast_limit: int = 1_000_000,
 ) -> DataFrame:
     """(id, reason) of the documents to exclude; reason is 'placeholder' or 'no content'.
 
@@ -118,14 +121,14 @@ def exclude_residue(
     boilerplate (a line seen on ``min_lines`` pages of its host or more, ``boilerplate_share`` of them
     with evidence) or filler (six in ten words from the filler vocabulary: words of which
     ``lexicon_share`` of the pages, and two at least, announce filler). A text of one sentence
-    repeated three times or more is filler too. Null and blank texts have no evidence and stay;
-    repeated ids count once. Counts run over all documents; only pages with evidence are taken apart.
+    repeated three times or more is filler too. Null and blank texts have no evidence and stay; an id
+    comes out once, whatever rows repeat it. Counts run over all documents, in narrow passes with small
+    keys; only pages with evidence are taken apart. The ids of pages with filler words are broadcast while
+    there are at most ``broadcast_limit`` of them, and joined beyond that.
     """
-    docs = (
-        documents.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-        .groupBy(F.col(id_col).cast("long").alias("id"))
-        .agg(F.min(F.struct(F.col(text_col).alias("t"), F.col(url_col).alias("u"))).alias("r"))
-        .select("id", F.col("r.t").alias("text"), F.coalesce(F.lower(F.regexp_extract("r.u", r"^\w+://([^/:?#]+)", 1)), F.lit("")).alias("host"))
+    docs = documents.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+        F.coalesce(F.lower(F.regexp_extract(url_col, r"^\w+://([^/:?#]+)", 1)), F.lit("")).alias("host"),
     )
     placeholder = docs.where(has_placeholder(F.col("text"))).select("id", F.lit("placeholder").alias("reason"))
     rest = docs.where(~has_placeholder(F.col("text"))).withColumn("segments", _segments(F.col("text")))
@@ -146,7 +149,11 @@ def exclude_residue(
     )
     fillers = seeded.join(lexicon, "word").groupBy("id").agg(F.count(F.lit(1)).alias("hits"))
 
-    suspects = rest.join(fillers.where("hits >= 5"), "id", "left").where("evidence or hits is not null")
+    # whole texts are shuffled for suspects only: the pages with evidence, and those with filler words
+    filled_ids = cut(fillers.where("hits >= 5").select("id"))
+    few = filled_ids.count() <= broadcast_limit
+    filled = rest.join(F.broadcast(filled_ids) if few else filled_ids, "id", "left_semi")
+    suspects = rest.where("evidence").unionByName(filled).dropDuplicates(["id"])
     parts = suspects.select("id", "host", "repeated", F.posexplode("segments").alias("pos", "segment")).select(
         "id", "host", "repeated", "pos", _key(F.col("segment")).alias("key"), F.col("segment").rlike(_EVIDENCE).alias("evidence"),
         F.col("segment").rlike(_any(FURNITURE)).alias("furniture"), _words(F.col("segment")).alias("words"),
@@ -164,4 +171,5 @@ def exclude_residue(
     empty = counted.groupBy("id").agg(
         F.count_if(content).alias("content"), F.count_if(F.col("evidence") | F.col("repeated") | filler).alias("evidence")
     ).where("content = 0 and evidence > 0")
-    return placeholder.unionByName(empty.select("id", F.lit("no content").alias("reason")))
+    both = placeholder.unionByName(empty.select("id", F.lit("no content").alias("reason")))
+    return both.groupBy("id").agg(F.max("reason").alias("reason"))

@@ -110,6 +110,11 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
 
 
+def _lender(df: DataFrame, limit: int):
+    """Marks ``df`` for broadcast if it has at most ``limit`` rows; leaves it as it is beyond that."""
+    return F.broadcast if df.count() <= limit else (lambda other: other)
+
+
 def exclude_residue(
     documents: DataFrame, id_col: str, text_col: str, url_col: str, min_words: int = 4,
     min_lines: int = 3, boilerplate_share: float = 0.5, lexicon_share: float = 0.02,
@@ -123,37 +128,41 @@ def exclude_residue(
     ``lexicon_share`` of the pages, and two at least, announce filler). A text of one sentence
     repeated three times or more is filler too. Null and blank texts have no evidence and stay; an id
     comes out once, whatever rows repeat it. Counts run over all documents, in narrow passes with small
-    keys; only pages with evidence are taken apart. The ids of pages with filler words are broadcast while
-    there are at most ``broadcast_limit`` of them, and joined beyond that.
+    keys; only pages with evidence are taken apart. The ids of flagged pages and the filler words
+    are broadcast while there are at most ``broadcast_limit`` of them, and joined beyond that.
     """
     docs = documents.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
         F.coalesce(F.lower(F.regexp_extract(url_col, r"^\w+://([^/:?#]+)", 1)), F.lit("")).alias("host"),
     )
-    placeholder = docs.where(has_placeholder(F.col("text"))).select("id", F.lit("placeholder").alias("reason"))
-    rest = docs.where(~has_placeholder(F.col("text"))).withColumn("segments", _segments(F.col("text")))
+    # the patterns run over every text once; later passes know the few flagged pages by id
+    segments = _segments(F.col("text"))
     sentences = F.filter(F.transform(F.split("text", r"\R+|(?<=[.!?…])\s+"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
-    rest = rest.withColumn("repeated", (F.size(sentences) > 2) & (F.size(F.array_distinct(sentences)) == 1)).withColumn(
-        "evidence", F.exists("segments", lambda s: s.rlike(_EVIDENCE)) | F.col("repeated")
+    repeated = (F.size(sentences) > 2) & (F.size(F.array_distinct(sentences)) == 1)
+    flagged = cut(
+        docs.select("id", has_placeholder(F.col("text")).alias("placeholder"), (F.exists(segments, lambda s: s.rlike(_EVIDENCE)) | repeated).alias("evidence"))
+        .where("placeholder or evidence").groupBy("id").agg(F.max("placeholder").alias("placeholder"), F.max("evidence").alias("evidence"))
     )
+    lend = _lender(flagged, broadcast_limit)
+    placeholder = flagged.where("placeholder").select("id", F.lit("placeholder").alias("reason"))
+    rest = docs.join(lend(flagged), "id", "left").where("placeholder is null or not placeholder").withColumn("evidence", F.coalesce("evidence", F.lit(False)))
 
-    lines = rest.select("host", "evidence", F.explode(F.array_distinct(F.transform("segments", _key))).alias("key"))
+    lines = rest.select("host", "evidence", F.explode(F.array_distinct(F.transform(segments, _key))).alias("key"))
     boilerplate = (
         lines.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"), F.count_if("evidence").alias("bad"))
         .where((F.col("n") >= min_lines) & (F.col("bad") >= boilerplate_share * F.col("n"))).select("host", "key", F.lit(True).alias("boilerplate"))
     )
     seeded = rest.select("id", F.col("text").rlike(_SEED).alias("seed"), F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
-    lexicon = (
+    lexicon = cut(
         seeded.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if("seed").alias("seeds"))
         .where((F.col("seeds") >= 2) & (F.col("seeds") >= lexicon_share * F.col("n"))).select("word", F.lit(True).alias("filler"))
     )
-    fillers = seeded.join(lexicon, "word").groupBy("id").agg(F.count(F.lit(1)).alias("hits"))
+    fillers = seeded.join(_lender(lexicon, broadcast_limit)(lexicon), "word").groupBy("id").agg(F.count(F.lit(1)).alias("hits")).where("hits >= 5")
 
     # whole texts are shuffled for suspects only: the pages with evidence, and those with filler words
-    filled_ids = cut(fillers.where("hits >= 5").select("id"))
-    few = filled_ids.count() <= broadcast_limit
-    filled = rest.join(F.broadcast(filled_ids) if few else filled_ids, "id", "left_semi")
-    suspects = rest.where("evidence").unionByName(filled).dropDuplicates(["id"])
+    wanted = cut(flagged.where("evidence and not placeholder").select("id").unionByName(fillers.select("id")).distinct())
+    found = docs.join(_lender(wanted, broadcast_limit)(wanted), "id", "left_semi").dropDuplicates(["id"])
+    suspects = found.select("id", "host", segments.alias("segments"), repeated.alias("repeated"))
     parts = suspects.select("id", "host", "repeated", F.posexplode("segments").alias("pos", "segment")).select(
         "id", "host", "repeated", "pos", _key(F.col("segment")).alias("key"), F.col("segment").rlike(_EVIDENCE).alias("evidence"),
         F.col("segment").rlike(_any(FURNITURE)).alias("furniture"), _words(F.col("segment")).alias("words"),

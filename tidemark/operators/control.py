@@ -16,23 +16,54 @@ TRANSITIONS = {
 }
 
 
-def request_window(starts: DataFrame, seconds: int = 60, limit: int = 60) -> DataFrame:
+def request_window(starts: DataFrame, seconds: int = 60, limit: int = 60, stretch: int | None = None) -> DataFrame:
     """``starts`` (key, ts, id) with ``in_window``, the starts of the key in the last ``seconds`` with its own,
-    and ``over``, whether they exceed ``limit``. A start exactly ``seconds`` old no longer counts."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    window = Window.partitionBy("key").orderBy(micros).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    counted = F.count(F.lit(1)).over(window)
-    return starts.withColumn("in_window", counted).withColumn("over", F.col("in_window") > limit)
+    and ``over``, whether they exceed ``limit``. A start exactly ``seconds`` old no longer counts.
 
-
-def error_runs(events: DataFrame, pause_after: int = 3) -> DataFrame:
-    """``events`` (key, ts, id, is_error) with ``run``, errors in a row up to here, and ``pause`` from ``pause_after`` on."""
-    line = Window.partitionBy("key").orderBy("ts", "id")
-    resets = F.sum(F.when(F.col("is_error"), 0).otherwise(1)).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    marked = events.withColumn("_island", resets)
-    island = Window.partitionBy("key", "_island").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
-    run = F.sum(F.col("is_error").cast("int")).over(island)
-    return marked.withColumn("run", run).withColumn("pause", F.col("run") >= pause_after).drop("_island")
+    Each task sees one stretch of time of one key (``stretch`` seconds, 60 windows by default) and the
+    starts of the last window before it, so a key of any size spreads over many tasks.
+    """
+    width, reach = (stretch or 60 * seconds) * 1_000_000, seconds * 1_000_000
+    if width < reach:
+        raise ValueError("a stretch must be at least as long as the window")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    placed = starts.withColumn("_at", at).withColumn("_own", F.floor(F.col("_at") / width))
+    late = F.col("_at") > (F.col("_own") + 1) * width - reach
+    spread = placed.withColumn("_part", F.explode(F.when(late, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
+    window = Window.partitionBy("key", "_part").orderBy("_at").rangeBetween(-(reach - 1), 0)
+    counted = spread.withColumn("in_window", F.count(F.lit(1)).over(window)).where(F.col("_part") == F.col("_own"))
+    return counted.withColumn("over", F.col("in_window") > limit).drop("_at", "_own", "_part")
+
+
+def error_runs(events: DataFrame, pause_after: int = 3, stretch: int = 86_400) -> DataFrame:
+    """``events`` (key, ts, id, is_error) with ``run``, errors in a row up to here, and ``pause`` from ``pause_after`` on.
+
+    Runs are counted within stretches of ``stretch`` seconds of a key; what a stretch hands on to the next is
+    summed over one row a stretch. A null is_error is no error.
+    """
+    part = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (stretch * 1_000_000))
+    placed = events.withColumn("_part", part).withColumn("_error", F.coalesce("is_error", F.lit(False)))
+    line = Window.partitionBy("key", "_part").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
+    marked = placed.withColumn("_island", F.sum(F.when(F.col("_error"), 0).otherwise(1)).over(line))
+    island = Window.partitionBy("key", "_part", "_island").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
+    local = marked.withColumn("run", F.sum(F.col("_error").cast("long")).over(island))
+
+    ends = placed.groupBy("key", "_part").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.when(~F.col("_error"), F.struct("ts", "id"))).alias("last"),
+    )
+    after = placed.join(ends.select(F.col("key").alias("k"), F.col("_part").alias("p"), "last"), F.col("key").eqNullSafe(F.col("k")) & (F.col("_part") == F.col("p"))).where(
+        F.col("last").isNotNull() & (F.struct("ts", "id") > F.col("last"))
+    ).groupBy("key", "_part").agg(F.count(F.lit(1)).alias("tail"))
+    handed = ends.join(after.select(F.col("key").alias("k"), F.col("_part").alias("p"), "tail"), F.col("key").eqNullSafe(F.col("k")) & (F.col("_part") == F.col("p")), "left").select(
+        "key", "_part", F.col("last").isNotNull().alias("broken"), F.when(F.col("last").isNull(), F.col("n")).otherwise(F.coalesce("tail", F.lit(0))).alias("out")
+    )
+    parts = Window.partitionBy("key").orderBy("_part")
+    grouped = handed.withColumn("_g", F.sum(F.col("broken").cast("int")).over(parts.rowsBetween(Window.unboundedPreceding, 0)))
+    carried = grouped.withColumn("_sum", F.sum("out").over(Window.partitionBy("key", "_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)))
+    carry = carried.select(F.col("key").alias("k"), F.col("_part").alias("p"), F.coalesce(F.lag("_sum").over(parts), F.lit(0)).alias("_carry"))
+    joined = local.join(carry, F.col("key").eqNullSafe(F.col("k")) & (F.col("_part") == F.col("p"))).drop("k", "p")
+    run = F.col("run") + F.when(F.col("_island") == 0, F.col("_carry")).otherwise(0)
+    return joined.withColumn("run", run).withColumn("pause", F.col("run") >= pause_after).drop("_island", "_part", "_error", "_carry")
 
 
 def next_state(state: Column, event: Column) -> Column:
@@ -48,17 +79,17 @@ def transition_map() -> Column:
     return F.create_map(*(F.lit(x) for (old, name), new in TRANSITIONS.items() for x in (f"{old}/{name}", new)))
 
 
-def compose_replay(events: DataFrame, block: int = 1000) -> DataFrame:
+def compose_replay(events: DataFrame, stretch: int = 3_600) -> DataFrame:
     """(key, state, ignored): the state of every key after all its events (key, ts, id, event), and how many were illegal.
 
-    A key's events are folded in blocks of ``block`` in time order: each block becomes a table from
-    state before to (state after, ignored), blocks are then chained. No task holds all events of a
-    key, only its blocks. A key starts idle.
+    A key's events are folded in stretches of ``stretch`` seconds: each stretch becomes a table from state
+    before to (state after, ignored), and the tables are then chained. No task holds all events of a
+    key, only its tables. A key starts idle.
     """
     states = sorted({old for old, _ in TRANSITIONS})
-    place = F.row_number().over(Window.partitionBy("key").orderBy("ts", "id"))
-    blocks = events.select("key", "event", (place - 1).alias("place")).groupBy("key", F.floor(F.col("place") / block).alias("block")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("place", "event"))), lambda s: s["event"]).alias("events")
+    part = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (stretch * 1_000_000))
+    blocks = events.groupBy("key", part.alias("block")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("ts", "id", "event"))), lambda s: s["event"]).alias("events")
     )
     table = transition_map()
     kind = "struct<state:string,ignored:bigint>"

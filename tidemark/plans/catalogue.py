@@ -464,7 +464,7 @@ def fsm_replay(spark: SparkSession, d: str) -> DataFrame:
     """The state of every user's job after all events, mapped onto job events by id."""
     event = F.element_at(F.array(*(F.lit(e) for e in _FSM)), (F.col("event_id") % 8 + 1).cast("int"))
     events = read_table(spark, d, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"), event.alias("event"))
-    return control.compose_replay(events, block=50).select(F.col("key").alias("user_id"), "state", "ignored")
+    return control.compose_replay(events, stretch=43_200).select(F.col("key").alias("user_id"), "state", "ignored")
 
 
 @query("""SELECT user_id AS job_id, arg_max(event_type, ts::VARCHAR || '/' || lpad(event_id::VARCHAR, 12, '0')) AS status FROM events GROUP BY user_id""")

@@ -77,6 +77,10 @@ def _any(patterns: list[str]) -> str:
 
 
 _EVIDENCE = _any(ERRORS + SCRIPTS + FILLERS)
+#: The same at the beginning of any line or sentence of a whole text.
+_EVIDENCE_ANYWHERE = "(?ium)(?:^|(?<=[.!?…])\\s)\\W*(?:" + "|".join(ERRORS + SCRIPTS + FILLERS) + ")"
+#: One sentence or line three times or more and nothing else.
+_REPEATED = r"^\s*(\S[^\n]{2,400}?(?:[.!?…]|(?=\n)))\s+\1\s+\1(?:\s+\1)*\s*$"
 _SEED = "(?ium)^\\W*(?:lorem ipsum|(?:recipe |content )?coming soon|próximamente|contenu à venir|hier entsteht|this (?:recipe|page) has no content)"
 _PLACEHOLDER = "|".join(f"(?:{p})" for p in PLACEHOLDERS)
 
@@ -91,10 +95,9 @@ def has_placeholder(text: Column) -> Column:
 
 
 def _segments(text: Column) -> Column:
-    """Lines, and the sentences of lines of more than 12 words; blank ones are left out."""
-    lines = F.split(text, r"\R+")
+    """Lines, and the sentences of lines of more than 70 characters; blank ones are left out."""
     parts = F.flatten(
-        F.transform(lines, lambda s: F.when(F.regexp_count(s, F.lit(r"\p{L}+")) > 12, F.split(s, r"(?<=[.!?…])\s+")).otherwise(F.array(s)))
+        F.transform(F.split(text, r"\R+"), lambda s: F.when(F.length(s) > 70, F.split(s, r"(?<=[.!?…])\s+")).otherwise(F.array(s)))
     )
     return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
 
@@ -137,22 +140,24 @@ def exclude_residue(
     )
     # the patterns run over every text once; later passes know the few flagged pages by id
     segments = _segments(F.col("text"))
-    sentences = F.filter(F.transform(F.split("text", r"\R+|(?<=[.!?…])\s+"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
-    repeated = (F.size(sentences) > 2) & (F.size(F.array_distinct(sentences)) == 1)
-    flagged = cut(
-        docs.select("id", has_placeholder(F.col("text")).alias("placeholder"), (F.exists(segments, lambda s: s.rlike(_EVIDENCE)) | repeated).alias("evidence"))
-        .where("placeholder or evidence").groupBy("id").agg(F.max("placeholder").alias("placeholder"), F.max("evidence").alias("evidence"))
+    repeated = F.col("text").rlike(_REPEATED)
+    # no filter before the grouping: it would be pushed down and run the patterns a second time
+    flags = docs.select(
+        "id", has_placeholder(F.col("text")).alias("placeholder"), (F.col("text").rlike(_EVIDENCE_ANYWHERE) | repeated).alias("evidence"), F.col("text").rlike(_SEED).alias("seed")
     )
+    flagged = cut(flags.groupBy("id").agg(*(F.max(c).alias(c) for c in ("placeholder", "evidence", "seed"))).where("placeholder or evidence or seed"))
     lend = _lender(flagged, broadcast_limit)
     placeholder = flagged.where("placeholder").select("id", F.lit("placeholder").alias("reason"))
-    rest = docs.join(lend(flagged), "id", "left").where("placeholder is null or not placeholder").withColumn("evidence", F.coalesce("evidence", F.lit(False)))
+    rest = docs.join(lend(flagged), "id", "left").where("placeholder is null or not placeholder").select(
+        "id", "text", "host", F.coalesce("evidence", F.lit(False)).alias("evidence"), F.coalesce("seed", F.lit(False)).alias("seed")
+    )
 
     lines = rest.select("host", "evidence", F.explode(F.array_distinct(F.transform(segments, _key))).alias("key"))
     boilerplate = (
         lines.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"), F.count_if("evidence").alias("bad"))
         .where((F.col("n") >= min_lines) & (F.col("bad") >= boilerplate_share * F.col("n"))).select("host", "key", F.lit(True).alias("boilerplate"))
     )
-    seeded = rest.select("id", F.col("text").rlike(_SEED).alias("seed"), F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
+    seeded = rest.select("id", "seed", F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
     lexicon = cut(
         seeded.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if("seed").alias("seeds"))
         .where((F.col("seeds") >= 2) & (F.col("seeds") >= lexicon_share * F.col("n"))).select("word", F.lit(True).alias("filler"))

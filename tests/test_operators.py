@@ -122,7 +122,7 @@ def test_tags_and_routes(spark):
     assert got == {"Meal": ["Soup", "Soup"]}
     assert df.select(records.keep_allowed_tags(F.col("grid"), {})).first()[0] == {}
     assert df.select(F.size(records.flat_tags(F.col("grid")))).first()[0] == 4
-    kinds = spark.createDataFrame([("PAPRIKA_CAYENNE", [0.1]), ("PAPRIKA_CAYENNE", []), ("PAPRIKA_CAYENNE", None), ("PDF", None)], "k string, e array<float>")
+    kinds = spark.createDataFrame([("ARCHIVE_RECORD", [0.1]), ("ARCHIVE_RECORD", []), ("ARCHIVE_RECORD", None), ("PDF", None)], "k string, e array<float>")
     routes = [r[0] for r in kinds.select(records.route(F.col("k"), F.col("e"))).collect()]
     assert routes == ["ASSEMBLE", "ASSEMBLE", "EMBED,ASSEMBLE", "EXTRACT,REFINE,CATEGORIZE,EMBED,ASSEMBLE"]
 

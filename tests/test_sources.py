@@ -34,8 +34,8 @@ def test_reading_archives(spark, tmp_path):
     assert entries.where("error is null").count() == 5 and entries.where("error is not null").count() == 1
     parsed = archives.parse_entries(entries.where("error is null"))
     kinds = {r["member_no"]: (r["input_type"], r["text"], r["embedding"]) for r in archives.entry_chunks(parsed).collect()}
-    assert kinds[0] == ("PAPRIKA_CAYENNE", "", [0.5, 0.25]) and kinds[2][0] == "PAPRIKA_CAYENNE"
-    assert kinds[1] == ("PAPRIKA_LEGACY", "Old\n\nIngredients:\nsalt\n\nDirections:\nmix", None) and kinds[3][0] == "PAPRIKA_LEGACY"
+    assert kinds[0] == ("ARCHIVE_RECORD", "", [0.5, 0.25]) and kinds[2][0] == "ARCHIVE_RECORD"
+    assert kinds[1] == ("ARCHIVE_TEXT", "Old\n\nIngredients:\nsalt\n\nDirections:\nmix", None) and kinds[3][0] == "ARCHIVE_TEXT"
     photos = archives.with_images(parsed, archives.read_images(spark, path)).where("name = 'Old'").first()
     assert bytes(photos["photo_data"]) == b"image"
     whole, rest = restore(archives.entry_chunks(parsed))

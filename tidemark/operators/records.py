@@ -68,7 +68,7 @@ def junction_rows(tags: DataFrame, ids: DataFrame) -> DataFrame:
 
 def route(input_type: Column, embedding: Column) -> Column:
     """The stages a chunk goes through: restored recipes skip what they have already."""
-    restored = input_type == "PAPRIKA_CAYENNE"
+    restored = input_type == "ARCHIVE_RECORD"
     return F.when(restored & embedding.isNotNull(), "ASSEMBLE").when(restored, "EMBED,ASSEMBLE").otherwise("EXTRACT,REFINE,CATEGORIZE,EMBED,ASSEMBLE")
 
 

@@ -364,7 +364,7 @@ def category_junction(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT vec_id, CASE WHEN embedding IS NOT NULL THEN 'ASSEMBLE' ELSE 'EMBED,ASSEMBLE' END AS stages, CASE WHEN embedding IS NOT NULL THEN 0 ELSE 1 END AS calls
 FROM (SELECT vec_id, any_value(embedding) AS embedding FROM cayenne_recipes GROUP BY vec_id)""")
 def stage_routing(spark: SparkSession, d: str) -> DataFrame:
-    stages = records.route(F.lit("PAPRIKA_CAYENNE"), F.col("embedding"))
+    stages = records.route(F.lit("ARCHIVE_RECORD"), F.col("embedding"))
     return recipes_once(spark, d).select("vec_id", stages.alias("stages"), records.provider_calls(stages, F.lit(1), F.lit(False)).alias("calls"))
 
 

@@ -58,7 +58,7 @@ def run_pipeline(chunks: DataFrame, axes: dict[str, list[str]] | None = None, pr
                 try:
                     if not (text or "").strip():
                         raise ValueError("blank chunk")
-                    plain = kind == "PAPRIKA_LEGACY"
+                    plain = kind == "ARCHIVE_TEXT"
                     upper = text.upper()
                     if not plain and ("BAKER" in upper and any(f"BAKER{c}S {e}" in upper for c in "'’`" for e in ("%", "PERCENTAGE"))):
                         text = provider.normalise_table(text) or text

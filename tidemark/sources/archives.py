@@ -101,7 +101,7 @@ def entry_chunks(parsed: DataFrame) -> DataFrame:
         F.coalesce("name", F.lit("")), F.lit("\n\nIngredients:\n"), F.coalesce("ingredients", F.lit("")), F.lit("\n\nDirections:\n"), F.coalesce("directions", F.lit(""))
     )
     return parsed.select(
-        "archive", "member_no", F.when(restored, "PAPRIKA_CAYENNE").otherwise("PAPRIKA_LEGACY").alias("input_type"),
+        "archive", "member_no", F.when(restored, "ARCHIVE_RECORD").otherwise("ARCHIVE_TEXT").alias("input_type"),
         F.when(restored, "").otherwise(text).alias("text"), F.col("meta").alias("pre_parsed"), F.col("meta.embedding").alias("embedding"),
     )
 

@@ -47,6 +47,21 @@ def test_range_maximum(text, data):
         assert (strength[0], where[0]) == (values[best], best)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab.! \n", max_size=300), st.integers(10, 60), st.integers(0, 4))
+def test_cuts_are_the_strongest_of_the_whole_window(text, limit, overlap):
+    index = BoundaryIndex(text)
+    bounds = [(int(s) // (len(index.begins) + 1), int(at)) for s, at in zip(index.table[0], index.begins)]
+    for start, end, strength in split_text(text, limit, overlap)[:-1]:
+        window = [(s, at) for s, at in bounds if start + overlap < at <= start + limit]
+        assert (strength, end) == max(window, default=(0, start + limit))
+
+
+def test_a_paragraph_break_early_in_the_window_is_cut_at():
+    text = "a b. " * 2_000 + "\n\n" + "c d. " * 5_000
+    assert cut_level(text, 30_000) == 4 and [p[2] for p in split_text(text)] == [4, 5]
+
+
 def test_mixed_line_ends():
     words = "abc " * 9
     assert cut_level(f"{words}\r\n{words}", 40) == 3 and cut_level(f"{words}\r\n \r\n{words}", 40) == 4

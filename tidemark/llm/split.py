@@ -82,16 +82,17 @@ def cut_level(text: str, limit: int) -> int:
 def split_text(text: str, limit: int = 30_000, overlap: int = 500) -> list[tuple[int, int, int]]:
     """(start, end, strength of the cut at its end) of pieces of at most ``limit`` that overlap by ``overlap``.
 
-    The pieces cover the whole text in order. Each cut is the strongest boundary in the second half
-    of the permissible window, the rightmost of equals, else a hard cut at the limit (strength 0).
-    The last piece has strength 5. A text within the limit is one piece; an empty one is one empty piece.
+    The pieces cover the whole text in order. Each cut is the strongest boundary of the permissible
+    window (start + overlap, start + limit], the rightmost of equals, else a hard cut at the limit
+    (strength 0). The last piece has strength 5. A text within the limit is one piece; an empty one is
+    one empty piece.
     """
     if not 0 <= overlap < limit // 2:
         raise ValueError("overlap must be at least 0 and under half the limit")
     index, n, start, pieces = None, len(text), 0, []
     while n - start > limit:
         index = index or BoundaryIndex(text)
-        lo = np.searchsorted(index.begins, start + limit // 2, side="left")
+        lo = np.searchsorted(index.begins, start + overlap, side="right")
         hi = np.searchsorted(index.begins, start + limit, side="right")
         strength, where = index.strongest(np.array([lo]), np.array([hi]))
         end = int(index.begins[where[0]]) if strength[0] else start + limit

@@ -1,6 +1,6 @@
 import pytest
 
-from tidemark.llm.scan import candidates, find_noise, page_value, rebuild_text, repair, roman, title_key
+from tidemark.llm.scan import candidates, find_noise, page_value, read_number, rebuild_text, repair, roman, title_key
 
 CHUNKS = "chunk_id bigint, source_id string, chunk_no int, text string, input_type string, label string, word string"
 CLEAN = " ".join(["Add the flour and the butter to a cast-iron pan, then season with salt. Melt one part of the self-raising flour before serving."] * 30)
@@ -49,3 +49,24 @@ def test_small_parts():
     for wrong, right in (("rnore", "more"), ("vvith", "with"), ("s@lt", "salt"), ("uritil", "until"), ("garhc", "garlic"), ("moclerate", "moderate"), ("fhree", "three"), ("h0ur5", "hours")):
         assert right in candidates(wrong)
     assert rebuild_text("a\n\nb", set(), {}) == "a\n\nb"
+
+
+def test_every_line_with_misread_characters_is_repaired(spark):
+    rows = PAGES + [
+        page(5, "Pear Tart", "", "l 1/2 tsp salt", "25O g flour", "I cup butter", "16oz flour", "I 1/Z cups flour, 2S0 ml", "", "Add the f1-", "our and season with but-", "tcr. Serve se1f-", "raising f1our", "", "5"),
+        page(6, "Melt the flo-", "ur and the 8ut-", "ter with the fl0-", "ur. Season the bu-", "", "Add butter and sea-", "s0n with the flo-", "ur."),
+    ]
+    df, got = noise(spark, rows)
+    fixes = {(r["chunk_id"], r["line_no"]) for r in find_noise(df)[1].collect() if r["word"] != r["right"]}
+    assert {k for k, kinds in got.items() if "char" in kinds} == fixes
+    text = {r["chunk_id"]: r["text"] for r in repair(df).collect()}
+    assert text[3] == "Pear Tart\n\n120 g flour\n\n1/4 cup salt\n\n24\n\n1 tsp salt\n\n2 cups butter"
+    assert text[5].split("\n\n") == [
+        "Pear Tart", "1 1/2 tsp salt", "250 g flour", "1 cup butter", "16oz flour", "1 1/2 cups flour, 250 ml", "Add the flour and season with butter. Serve self-raising flour",
+    ]
+    assert text[6] == "Melt the flour and the butter with the flour. Season the bu\n\nAdd butter and season with the flour."
+
+
+@pytest.mark.parametrize("read,printed", [("l/2", "1/2"), ("25O", "250"), ("1Z0", "120"), ("I,S", "1,5"), ("25Ol", "250l"), ("16oz", "16oz"), ("1/2lb", "1/2lb"), ("1/l", "1/1"), ("B6|", "861")])
+def test_numbers(read, printed):
+    assert read_number(read) == printed

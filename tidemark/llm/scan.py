@@ -26,6 +26,9 @@ CONFUSIONS = {
 }
 _LETTER_DIGITS = "IlOoSsZzBb|"
 _NUMBER_MISREAD = re.compile(rf"(?=[^/.,]*[\d/.,])(?=.*[{_LETTER_DIGITS}])[\d{_LETTER_DIGITS}]+(?:[/.,][\d{_LETTER_DIGITS}]+)*")
+_AS_DIGITS = str.maketrans(_LETTER_DIGITS, "11005522861")
+_WITH_UNIT = re.compile(rf"([\d{_LETTER_DIGITS}/.,]+?)(lbs?|oz|l)")
+_NUMBER = re.compile(r"\d+(?:[/.,]\d+)*")
 _LITRES = re.compile(r"\d+(?:[.,/]\d+)?l")
 _WORD = re.compile(r"[^\W_]+(?:[@$|'’][^\W_]+)*(?:-[^\W_]+(?:[@$|'’][^\W_]+)*)*@?|@[^\W_]+(?:-[^\W_]+)*")
 _NUMERIC = re.compile(r"[\w|]+(?:[/.,][\w|]+)*")
@@ -188,17 +191,24 @@ def candidates(word: str) -> set[str]:
     return found
 
 
-def _body_words(line: str) -> tuple[list[str], bool]:
-    """(lower-case words, whether a number in the line is misread)."""
-    misread = False
+def read_number(token: str) -> str:
+    """A misread number as printed: digits for the letters read in their place; a unit set close to it stays."""
+    if (m := _WITH_UNIT.fullmatch(token)) and _NUMBER.fullmatch(head := m[1].translate(_AS_DIGITS)):
+        return head + m[2]
+    return token.translate(_AS_DIGITS)
+
+
+def _body_words(line: str) -> tuple[list[str], list[tuple[int, str, str]]]:
+    """(lower-case words, misread numbers: where each begins, as read, as printed)."""
+    misread = []
     for m in _NUMERIC.finditer(line):
         t = m.group()
         if _NUMBER_MISREAD.fullmatch(t) and any(c.isdigit() for c in t) and not _LITRES.fullmatch(t):
             letters = [c for c in t if c.isalpha()]
             digits = [c for c in t if c.isdigit()]
             # a word such as 0il or 5o is a word's affair: a number starts or goes on as one
-            if len(digits) >= len(letters) or "/" in t or "." in t or "," in t:
-                misread = True
+            if (len(digits) >= len(letters) or "/" in t or "." in t or "," in t) and read_number(t) != t:
+                misread.append((m.start(), t, read_number(t)))
     return [w.lower() for w in _WORD.findall(line)], misread
 
 
@@ -258,9 +268,10 @@ def title_features(pages: DataFrame) -> DataFrame:
 
 def label_pages(pages: DataFrame) -> DataFrame:
     """One row per line that is not blank: chunk_id, line_no from 1, label, the words of body lines,
-    whether a number in it is misread, and for a line that ends in a cut the halves and the mark."""
+    the misread numbers in it with what was printed, and for a line that ends in a cut the halves, where
+    they begin in this line and the next, whether the word is capitalised, and the mark."""
     known = pages.join(title_features(pages), "chunk_id", "left").select("chunk_id", "chunk_no", "text", "features")
-    schema = "chunk_id long, line_no int, label string, words array<string>, bad_number boolean, left string, right string, mark string"
+    schema = "chunk_id long, line_no int, label string, words array<string>, numbers array<struct<at:int,word:string,right:string>>, left string, right string, left_at int, right_at int, capital boolean, mark string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,32 +288,38 @@ def label_pages(pages: DataFrame) -> DataFrame:
                     m = _CUT.search(lines[i])
                     if m and not _IMAGE.match(lines[i]):
                         right = _FIRST.match(lines[follows[i]]) if i in follows else None
-                        cuts[i] = (m[1].lower(), right[1].lower() if right else None, m[2])
+                        cuts[i] = (m[1].lower(), right[1].lower() if right else None, m.start(1), right.start(1) if right else None, m[1][0].isupper(), m[2])
                         if right:
                             taken.add(follows[i])
                 for i, label in labels.items():
                     if label != "body" or _IMAGE.match(lines[i]):
-                        out.append((chunk, i + 1, label, None, False, None, None, None))
+                        out.append((chunk, i + 1, label, None, None, *[None] * 6))
                         continue
-                    line = lines[i]
+                    line, before = lines[i], 0
                     if i in cuts:
                         line = line[: _CUT.search(line).start()]
-                    if i in taken:
-                        line = line[_FIRST.match(line).end():] if _FIRST.match(line) else line
-                    words, bad = _body_words(line)
-                    if not bad and _MIXED.match(line) and i not in taken:
-                        bad = True
-                    elif not bad and _LONE.match(line) and i not in taken:
+                    if i in taken and (m := _FIRST.match(line)):
+                        line, before = line[m.end():], m.end()
+                    words, numbers = _body_words(line)
+                    for at, t, right in numbers:
+                        line = line[:at] + right + line[at + len(t):]
+                    lone, mixed = _LONE.match(line), _MIXED.match(line)
+                    if lone and not mixed:
                         at = body.index(i)
                         near = [lines[j] for j in body[max(at - 2, 0):at + 3] if j != i]
-                        bad = any(_AMOUNT.match(x) and not x.rstrip().endswith(".") for x in near) and not line.rstrip().endswith(".")
-                    out.append((chunk, i + 1, label, words, bad, *cuts.get(i, (None, None, None))))
+                        if not any(_AMOUNT.match(x) and not x.rstrip().endswith(".") for x in near) or line.rstrip().endswith("."):
+                            lone = None
+                    if (lone or mixed) and i not in taken:
+                        at = len(line) - len(line.lstrip())
+                        numbers.append((at, line[at], line[at].translate(_AS_DIGITS)))
+                    out.append((chunk, i + 1, label, words, [dict(zip(("at", "word", "right"), (before + x[0], *x[1:]))) for x in numbers], *cuts.get(i, (None,) * 6)))
             if out:
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.list_(pa.string())),
-                    pa.array(cols[4], pa.bool_()), pa.array(cols[5], pa.string()), pa.array(cols[6], pa.string()), pa.array(cols[7], pa.string()),
-                ], ["chunk_id", "line_no", "label", "words", "bad_number", "left", "right", "mark"])
+                    pa.array(cols[4], pa.list_(pa.struct([("at", pa.int32()), ("word", pa.string()), ("right", pa.string())]))), pa.array(cols[5], pa.string()),
+                    pa.array(cols[6], pa.string()), pa.array(cols[7], pa.int32()), pa.array(cols[8], pa.int32()), pa.array(cols[9], pa.bool_()), pa.array(cols[10], pa.string()),
+                ], ["chunk_id", "line_no", "label", "words", "numbers", "left", "right", "left_at", "right_at", "capital", "mark"])
 
     return known.mapInArrow(run, schema)
 
@@ -363,9 +380,11 @@ def correct_words(wanted: DataFrame, counts: DataFrame, ratio: int = 8, trusted:
 def find_noise(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(found, fixes) over the PDF pages of chunks(chunk_id, source_id, chunk_no, text, input_type).
 
-    found: chunk_id, line_no, kind in header, page, hyphen, char. fixes: chunk_id, line_no, word, right
-    for every misread word. Null texts give nothing, rows delivered twice count once; chunks of any
-    other input type only lend their words.
+    found: chunk_id, line_no, kind in header, page, hyphen, char. fixes: chunk_id, line_no, at, word, right:
+    every misread word (at null: wherever it stands in the line), misread number and misread half of a
+    word cut at a line end (at: where it begins in the line; the halves together give the right word).
+    Every line of kind char has a fix. Null texts give nothing, rows delivered twice count once; chunks
+    of any other input type only lend their words.
     """
     lines = cut(label_pages(_pages(chunks, "PDF")))
     other = chunks.where(F.col("text").isNotNull() & (F.coalesce(F.upper("input_type"), F.lit("")) != "PDF"))
@@ -373,7 +392,7 @@ def find_noise(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     furniture = lines.where("label <> 'body'").select("chunk_id", "line_no", F.col("label").alias("kind"))
     cuts = lines.where("mark is not null").select(
-        "chunk_id", "line_no", "left", "right", "mark", F.concat("left", "right").alias("joined"), F.concat("left", F.lit("-"), "right").alias("spelled")
+        "chunk_id", "line_no", "left", "right", "left_at", "right_at", "capital", "mark", F.concat("left", "right").alias("joined"), F.concat("left", F.lit("-"), "right").alias("spelled")
     )
     halves = cuts.where("right is not null").select(F.explode(F.array("joined", "spelled")).alias("word"))
     rare = counts.where("n_clean < 2").select("word")
@@ -381,30 +400,37 @@ def find_noise(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     wrong = readings.where("word <> right").select("word", "right")
     misread = lines.select("chunk_id", "line_no", F.explode(F.array_distinct("words")).alias("word")).join(wrong, "word")
-    fixes = misread.select("chunk_id", "line_no", "word", "right")
+    numbers = lines.select("chunk_id", "line_no", F.explode("numbers").alias("s")).select("chunk_id", "line_no", "s.at", "s.word", "s.right")
+    fixes = misread.select("chunk_id", "line_no", F.lit(None).cast("int").alias("at"), "word", "right").unionByName(numbers)
 
     one = readings.select(F.col("word").alias("joined"), F.col("right").alias("j_right"), F.col("n_right").alias("j_n"))
     two = readings.select(F.col("word").alias("spelled"), F.col("right").alias("s_right"), F.col("n_right").alias("s_n"))
     judged = cuts.join(one, "joined", "left").join(two, "spelled", "left").select(
-        "chunk_id", "line_no", "left", "right", "mark",
+        "chunk_id", "line_no", "left", "right", "left_at", "right_at", "capital",
         ((F.col("mark") != "-") | (F.coalesce("j_n", F.lit(0)) >= F.coalesce("s_n", F.lit(0)))).alias("is_cut"), "j_right", "s_right",
     )
-    whole = F.when(F.col("is_cut"), F.col("j_right")).otherwise(F.col("s_right"))
-    parts = judged.withColumn("whole", whole)
-    bad_left = parts.where(~F.startswith("whole", "left")).select("chunk_id", "line_no")
-    bad_right = parts.where(~F.endswith("whole", "right")).select("chunk_id", (F.col("line_no") + 1).alias("line_no"))
     hyphens = judged.where("is_cut").select("chunk_id", "line_no", F.lit("hyphen").alias("kind"))
-    chars = (
-        fixes.select("chunk_id", "line_no").unionByName(lines.where("bad_number").select("chunk_id", "line_no")).unionByName(bad_left).unionByName(bad_right)
-    ).select("chunk_id", "line_no", F.lit("char").alias("kind"))
+    # the right word is parted where the read one was; a hyphen that belongs to it stays in its line
+    whole = judged.withColumn("whole", F.when(F.col("is_cut"), F.col("j_right")).otherwise(F.col("s_right"))).where("whole is not null")
+    keep = F.when(F.endswith("whole", "right"), F.length("whole") - F.length("right")).when(F.startswith("whole", "left"), F.length("left")).otherwise(F.least(F.length("left"), F.length("whole") - 1))
+    hyphen = F.length(F.expr("substring_index(whole, '-', size(split(left, '-')))"))
+    parted = whole.withColumn("k", F.when(F.col("is_cut"), keep).otherwise(hyphen)).withColumn("new_left", F.expr("left(whole, k)")).withColumn(
+        "new_right", F.expr("substring(whole, k + if(is_cut, 1, 2))")
+    )
+    cased = F.when(F.col("capital"), F.concat(F.upper(F.left("new_left", F.lit(1))), F.expr("substring(new_left, 2)"))).otherwise(F.col("new_left"))
+    halves = parted.where("new_left <> left").select("chunk_id", "line_no", F.col("left_at").alias("at"), F.col("left").alias("word"), cased.alias("right")).unionByName(
+        parted.where("new_right <> right").select("chunk_id", (F.col("line_no") + 1).alias("line_no"), F.col("right_at").alias("at"), F.col("right").alias("word"), F.col("new_right").alias("right"))
+    )
+    fixes = fixes.unionByName(halves)
+    chars = fixes.select("chunk_id", "line_no", F.lit("char").alias("kind"))
     return furniture.unionByName(hyphens).unionByName(chars).distinct(), fixes.distinct()
 
 
 def repair(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, text): the pages as continuous paragraphs, without furniture, cuts and misread words."""
+    """(chunk_id, text): the pages as continuous paragraphs, without furniture, cuts, misread words and misread numbers."""
     found, fixes = find_noise(chunks)
     marks = found.where("kind <> 'char'").groupBy("chunk_id").agg(F.collect_list(F.struct("line_no", "kind")).alias("marks"))
-    words = fixes.groupBy("chunk_id").agg(F.collect_list(F.struct("line_no", "word", "right")).alias("fixes"))
+    words = fixes.groupBy("chunk_id").agg(F.collect_list(F.struct("line_no", "at", "word", "right")).alias("fixes"))
     rows = _pages(chunks, "PDF").join(marks, "chunk_id", "left").join(words, "chunk_id", "left").select("chunk_id", "text", "marks", "fixes")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,15 +438,23 @@ def repair(chunks: DataFrame) -> DataFrame:
             keys, texts = [], []
             for chunk, text, marks, fixes in zip(*(c.to_pylist() for c in batch.columns)):
                 keys.append(chunk)
-                texts.append(rebuild_text(text, {(m["line_no"], m["kind"]) for m in marks or []}, {(f["line_no"], f["word"]): f["right"] for f in fixes or []}))
+                texts.append(rebuild_text(text, {(m["line_no"], m["kind"]) for m in marks or []}, {(f["line_no"], f["word"] if f["at"] is None else (f["at"], f["word"])): f["right"] for f in fixes or []}))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.string())], ["chunk_id", "text"])
 
     return rows.mapInArrow(rebuild, "chunk_id long, text string")
 
 
-def rebuild_text(text: str, marks: set[tuple[int, str]], fixes: dict[tuple[int, str], str]) -> str:
-    """Paragraphs of one page: prose lines run on, list lines and titles keep their own line."""
+def rebuild_text(text: str, marks: set[tuple[int, str]], fixes: dict[tuple[int, str | tuple[int, str]], str]) -> str:
+    """Paragraphs of one page: prose lines run on, list lines and titles keep their own line.
+
+    ``fixes``: (line number, word) -> right for every use of a word in the line, (line number, (at, word))
+    -> right for what begins at that place of it.
+    """
     paragraphs: list[str] = []
+    placed: dict[int, list[tuple[int, int, str]]] = {}
+    for (no, word), right in fixes.items():
+        if isinstance(word, tuple):
+            placed.setdefault(no, []).append((word[0], word[0] + len(word[1]), right))
     open_, glue = False, ""
     for no, line in enumerate(lines_of(text), 1):
         if (no, "header") in marks or (no, "page") in marks:
@@ -429,16 +463,21 @@ def rebuild_text(text: str, marks: set[tuple[int, str]], fixes: dict[tuple[int,
             open_ = False
             continue
 
-        def fixed(m: re.Match) -> str:
+        edits = placed.get(no, [])
+        for m in _WORD.finditer(line):
             right = fixes.get((no, m.group().lower()))
-            return m.group() if right is None else right.capitalize() if m.group()[0].isupper() else right
-
-        part = _WORD.sub(fixed, line.strip())
+            if right is not None and not any(a < m.end() and m.start() < b for a, b, _ in placed.get(no, [])):
+                edits = edits + [(*m.span(), right.capitalize() if m.group()[0].isupper() else right)]
+        part = line
+        for a, b, right in sorted(edits, reverse=True):
+            part = part[:a] + right + part[b:]
+        part = part.strip()
         cut_here = (no, "hyphen") in marks
         if cut_here:
             part = re.sub(r"[-‐¬\xad]\s*$", "", part)
         lone = title_key(line) is not None or _AMOUNT.match(line) is not None or _IMAGE.match(line.strip()) is not None
-        if open_ and paragraphs and not (lone and not glue):
+        # the second half of a cut word goes on with it, whatever its line looks like
+        if open_ and paragraphs and not (lone and not glue and not _FIRST.match(part)):
             paragraphs[-1] += (glue if glue != " " else " ") + part if not paragraphs[-1].endswith("-") or glue == "" else part
         else:
             paragraphs.append(part)

@@ -1,6 +1,6 @@
 import numpy as np
 
-from tidemark.llm.neighbours import build_graph, greedy_search, encode, exact_cosine, nearest_ids
+from tidemark.llm.neighbours import build_graph, greedy_search, encode, exact_cosine, nearest_ids, node_rows
 
 DIMS = 32
 
@@ -72,3 +72,13 @@ def test_greedy_search(spark):
     want = brute(rows, 5)
     assert sum(len(set(want[q]) & got[q]) for q in got) >= 0.9 * 5 * len(got) and len(got) == 80
     assert greedy_search(graph, queries.limit(0)).count() == 0
+
+
+def test_copies_are_dropped_before_the_cells(spark):
+    rows = vectors(40, 4)
+    hot = rows + [(1000 + i, rows[0][1]) for i in range(300)] + [rows[7]] * 50
+    df = spark.createDataFrame([(i, v) for i, v in hot], "vec_id bigint, embedding array<float>")
+    graph = build_graph(df, "vec_id", "embedding", DIMS)
+    assert graph.encoded.count() == 390
+    for limit in (0, 1000):
+        assert sorted(r["id"] for r in node_rows(graph.encoded, graph.groups, 40, limit).collect()) == list(range(40))

@@ -204,15 +204,15 @@ def build_graph(
     Stops after ``rounds`` joins of neighbours of neighbours, or once a round changes fewer than
     ``least`` of the k-lists. An empty input gives empty tables.
     """
-    encoded = cut(encode_vectors(vectors, id_col, vector_col, dims))
+    encoded = cut(encode_vectors(vectors, id_col, vector_col, dims).withColumn("row", F.monotonically_increasing_id()))
     part = F.pmod(F.xxhash64("id"), F.lit(32))
-    some = encoded.select("id", "hash", "sketch").groupBy("hash", part.alias("part")).agg(
-        F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"), F.count_distinct("id").alias("copies"), F.first("sketch").alias("sketch")
+    some = encoded.select("id", "hash", "sketch", "row").groupBy("hash", part.alias("part")).agg(
+        F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"), F.count_distinct("id").alias("copies"), F.first("sketch").alias("sketch"), F.min(F.struct("id", "row")).alias("first")
     )
     groups = some.groupBy("hash").agg(
-        F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"), F.sum("copies").alias("copies"), F.first("sketch").alias("sketch")
+        F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"), F.sum("copies").alias("copies"), F.first("sketch").alias("sketch"), F.min("first").alias("first")
     )
-    groups = cut(groups.select(F.col("ids")[0].alias("node"), "hash", "ids", "copies", "sketch"))
+    groups = cut(groups.select(F.col("ids")[0].alias("node"), F.col("first.row").alias("row"), "hash", "ids", "copies", "sketch"))
     total = groups.count()
     count = max(1, min(CENTRES, total // cell))
     sample = groups.select("sketch")
@@ -228,7 +228,7 @@ def build_graph(
     placer = _placer(centres, bits, border)
     light = cut(groups.select("node", "sketch", placer("sketch").alias("cells")))
 
-    spread = encoded.select("id", "hash", "code", placer("sketch").alias("cells")).withColumn("cell", F.explode("cells"))
+    spread = node_rows(encoded, groups, total).select("id", "hash", "code", placer("sketch").alias("cells")).withColumn("cell", F.explode("cells"))
     compared = spread.groupBy("cell").applyInArrow(_compare_cell(dims, LIST), f"a long, a_cells array<long>, near {NEAR}")
     near = cut(compared.groupBy("a").agg(F.first("a_cells").alias("a_cells"), F.flatten(F.collect_list("near")).alias("near")).select("a", "a_cells", _trim(F.col("near"), LIST).alias("near")))
     log: list[tuple[int, int]] = []
@@ -261,6 +261,13 @@ def build_graph(
     return Graph(near, light, groups, encoded, dims, log)
 
 
+def node_rows(encoded: DataFrame, groups: DataFrame, count: int, broadcast_limit: int = 1_000_000) -> DataFrame:
+    """The one row of ``encoded`` that stands for each node, so copies never reach a cell. The row numbers are
+    broadcast while there are at most ``broadcast_limit`` of the ``count`` nodes, and joined beyond that."""
+    firsts = groups.select("row")
+    return encoded.join(F.broadcast(firsts) if count <= broadcast_limit else firsts, "row", "left_semi")
+
+
 def _descend(near: DataFrame, light: DataFrame, k: int, margin: float, tried: DataFrame | None) -> DataFrame:
     """(a, c): neighbours of one node that no cell has compared and that may still enter a k-list.
 

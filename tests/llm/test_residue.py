@@ -44,3 +44,13 @@ def test_recurrent_lines_of_error_pages_are_no_content(spark):
     rows = [(i, f"404 Not Found\n{line}") for i in range(5)] + [(50, f"{REAL}\nNote: the video needs JavaScript.")]
     df = spark.createDataFrame([(i, t, "https://a.example/x") for i, t in rows], "doc_id bigint, text string, url string")
     assert {r["id"] for r in exclude_residue(df, "doc_id", "text", "url").collect()} == set(range(5))
+
+
+def test_navigation_of_a_host_is_no_content(spark):
+    nav = "Recipes Menus Shop Newsletter"
+    rows = [(i, f"{nav}\nWe baked loaf number {'x' * i} for the whole village today.") for i in range(60)]
+    rows += [(100 + i, f"{nav}\n404 Not Found") for i in range(5)]
+    # copies of one real page, some with a notice, are content
+    rows += [(200 + i, REAL + ("\nPlease enable JavaScript to view this recipe." if i < 3 else ""), "https://b.example/x") for i in range(8)]
+    df = spark.createDataFrame([(*r, "https://a.example/x")[:3] for r in rows], "doc_id bigint, text string, url string")
+    assert {r["id"] for r in exclude_residue(df, "doc_id", "text", "url").collect()} == set(range(100, 105))

@@ -2,8 +2,8 @@
 
 A text is excluded when it holds an unfilled placeholder anywhere, or when nothing but evidence is
 left of it: its lines and sentences are labelled by patterns as error, script notice, filler or page
-furniture; lines that recur, by host, on pages with such evidence are counted and subtracted as
-boilerplate; filler vocabulary is learnt from the pages that announce filler. What remains is content.
+furniture; lines that recur, by host, on pages with such evidence or on most pages of the host are
+counted and subtracted as boilerplate; filler vocabulary is learnt from the pages that announce filler. What remains is content.
 """
 
 from __future__ import annotations
@@ -121,13 +121,14 @@ def _lender(df: DataFrame, limit: int):
 def exclude_residue(
     documents: DataFrame, id_col: str, text_col: str, url_col: str, min_words: int = 4,
     min_lines: int = 3, boilerplate_share: float = 0.5, lexicon_share: float = 0.02,
-    broadcast_limit: int = 1_000_000,
+    broadcast_limit: int = 1_000_000, host_share: float = 0.5,
 ) -> DataFrame:
     """(id, reason) of the documents to exclude; reason is 'placeholder' or 'no content'.
 
     Content is any segment of at least ``min_words`` words that is not evidence, furniture,
     boilerplate (a line seen on ``min_lines`` pages of its host or more, ``boilerplate_share`` of them
-    with evidence) or filler (six in ten words from the filler vocabulary: words of which
+    with evidence; or, whatever their evidence, on ``min_lines`` different texts and ``host_share`` of the
+    host's pages, which copies of one text or pages without a host do not make) or filler (six in ten words from the filler vocabulary: words of which
     ``lexicon_share`` of the pages, and two at least, announce filler). A text of one sentence
     repeated three times or more is filler too. Null and blank texts have no evidence and stay; an id
     comes out once, whatever rows repeat it. Counts run over all documents, in narrow passes with small
@@ -148,15 +149,19 @@ def exclude_residue(
     flagged = cut(flags.groupBy("id").agg(*(F.max(c).alias(c) for c in ("placeholder", "evidence", "seed"))).where("placeholder or evidence or seed"))
     lend = _lender(flagged, broadcast_limit)
     placeholder = flagged.where("placeholder").select("id", F.lit("placeholder").alias("reason"))
-    rest = docs.join(lend(flagged), "id", "left").where("placeholder is null or not placeholder").select(
+    rest = docs.join(lend(flagged), "id", "left").select(
         "id", "text", "host", F.coalesce("evidence", F.lit(False)).alias("evidence"), F.coalesce("seed", F.lit(False)).alias("seed")
     )
 
-    lines = rest.select("host", "evidence", F.explode(F.array_distinct(F.transform(segments, _key))).alias("key"))
-    boilerplate = (
-        lines.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"), F.count_if("evidence").alias("bad"))
-        .where((F.col("n") >= min_lines) & (F.col("bad") >= boilerplate_share * F.col("n"))).select("host", "key", F.lit(True).alias("boilerplate"))
-    )
+    # a bit for each of 64 kinds of texts: as many bits as min_lines need as many different texts at least
+    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(text), 64) as int))")
+    lines = rest.select("host", "evidence", bit.alias("bit"), F.explode(F.array_distinct(F.transform(segments, _key))).alias("key"))
+    pages = docs.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    recurrent = lines.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"), F.count_if("evidence").alias("bad"), F.bit_count(F.bit_or("bit")).alias("texts")).where(F.col("n") >= min_lines)
+    on_host = (F.col("texts") >= min_lines) & (F.col("n") >= host_share * F.col("pages"))
+    boilerplate = recurrent.join(pages, "host", "left").where(
+        (F.col("bad") >= boilerplate_share * F.col("n")) | F.coalesce(on_host, F.lit(False))
+    ).select("host", "key", F.lit(True).alias("boilerplate"))
     seeded = rest.select("id", "seed", F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
     lexicon = cut(
         seeded.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if("seed").alias("seeds"))
@@ -165,7 +170,7 @@ def exclude_residue(
     fillers = seeded.join(_lender(lexicon, broadcast_limit)(lexicon), "word").groupBy("id").agg(F.count(F.lit(1)).alias("hits")).where("hits >= 5")
 
     # whole texts are shuffled for suspects only: the pages with evidence, and those with filler words
-    wanted = cut(flagged.where("evidence and not placeholder").select("id").unionByName(fillers.select("id")).distinct())
+    wanted = cut(flagged.where("evidence and not placeholder").select("id").unionByName(fillers.join(placeholder, "id", "left_anti").select("id")).distinct())
     found = docs.join(_lender(wanted, broadcast_limit)(wanted), "id", "left_semi").dropDuplicates(["id"])
     suspects = found.select("id", "host", segments.alias("segments"), repeated.alias("repeated"))
     parts = suspects.select("id", "host", "repeated", F.posexplode("segments").alias("pos", "segment")).select(

@@ -54,3 +54,9 @@ def test_navigation_of_a_host_is_no_content(spark):
     rows += [(200 + i, REAL + ("\nPlease enable JavaScript to view this recipe." if i < 3 else ""), "https://b.example/x") for i in range(8)]
     df = spark.createDataFrame([(*r, "https://a.example/x")[:3] for r in rows], "doc_id bigint, text string, url string")
     assert {r["id"] for r in exclude_residue(df, "doc_id", "text", "url").collect()} == set(range(100, 105))
+
+
+def test_a_long_sentence_repeated_is_filler(spark):
+    line = "Zubor kelim " + "nator " * 165 + "fin."
+    df = spark.createDataFrame([(1, " ".join([line] * 3), None), (2, line, None), (3, "\n".join([line[:-1]] * 4), None)], "doc_id bigint, text string, url string")
+    assert {r["id"] for r in exclude_residue(df, "doc_id", "text", "url").collect()} == {1, 3}

@@ -80,7 +80,7 @@ _EVIDENCE = _any(ERRORS + SCRIPTS + FILLERS)
 #: The same at the beginning of any line or sentence of a whole text.
 _EVIDENCE_ANYWHERE = "(?ium)(?:^|(?<=[.!?…])\\s)\\W*(?:" + "|".join(ERRORS + SCRIPTS + FILLERS) + ")"
 #: One sentence or line three times or more and nothing else.
-_REPEATED = r"^\s*(\S[^\n]{2,400}?(?:[.!?…]|(?=\n)))\s+\1\s+\1(?:\s+\1)*\s*$"
+_REPEATED = r"^\s*(\S[^\n]{2,}?(?:[.!?…]|(?=\n)))\s+\1\s+\1(?:\s+\1)*\s*$"
 _SEED = "(?ium)^\\W*(?:lorem ipsum|(?:recipe |content )?coming soon|próximamente|contenu à venir|hier entsteht|this (?:recipe|page) has no content)"
 _PLACEHOLDER = "|".join(f"(?:{p})" for p in PLACEHOLDERS)
 

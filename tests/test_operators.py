@@ -1,3 +1,4 @@
+import hashlib
 from datetime import datetime, timedelta
 
 import pytest
@@ -132,3 +133,14 @@ def test_verify_rows(spark):
     expected = spark.createDataFrame([("a", "A", 2), ("b", "X", 2), ("c", "C", 1), ("d", "D", 0)], "recipe_id string, title string, ingredients int")
     got = {r["recipe_id"]: r["errors"] for r in records.verify_rows(stored, expected).collect()}
     assert got == {"a": [], "b": ["title", "ingredient count", "embedding missing"], "c": ["embedding length"], "d": ["not found"]}
+
+
+def test_hashes_cover_long_and_multibyte_texts(spark, tmp_path):
+    from tidemark.plans.catalogue import content_hashes
+
+    texts = ["short", "", "x" * 65_536, "x" * 70_000, "é" * 40_000, "a" + "é" * 40_000]
+    rows = [(i, "s", i, t, "PDF") for i, t in enumerate([*texts, None])]
+    spark.createDataFrame(rows, "chunk_id bigint, source_id string, chunk_no int, text string, input_type string").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {r["chunk_id"]: (r["content_hash"], r["file_id"]) for r in content_hashes(spark, str(tmp_path)).collect()}
+    want = [hashlib.sha256(t.encode()[:65_536]).hexdigest() for t in texts]
+    assert got == {i: (f"sha256:{h}", h[:16]) for i, h in enumerate(want)}

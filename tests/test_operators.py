@@ -144,3 +144,11 @@ def test_hashes_cover_long_and_multibyte_texts(spark, tmp_path):
     got = {r["chunk_id"]: (r["content_hash"], r["file_id"]) for r in content_hashes(spark, str(tmp_path)).collect()}
     want = [hashlib.sha256(t.encode()[:65_536]).hexdigest() for t in texts]
     assert got == {i: (f"sha256:{h}", h[:16]) for i, h in enumerate(want)}
+
+
+def test_merge_takes_every_language(spark, tmp_path):
+    from tidemark.plans.catalogue import merge_archives
+
+    rows = [(1, "Pear Tart", "es"), (2, "pear  tart", "fr"), (3, "Flan", "es"), (4, "flan", None), (5, "Soup", None), (6, None, "en"), (7, "Soup", "en")]
+    spark.createDataFrame(rows, "doc_id bigint, title string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in merge_archives(spark, str(tmp_path)).collect()} == {(2, 2), (3, 3), (0, 7)}

@@ -173,8 +173,10 @@ def dedupe_unicode(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT archive_no, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY archive_no, doc_id) AS r FROM
   (SELECT CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 END AS archive_no, doc_id, lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) AS k FROM documents WHERE lang IN ('en', 'de', 'fr') AND title IS NOT NULL)) WHERE r = 1""")
 def merge_archives(spark: SparkSession, d: str) -> DataFrame:
+    """English, German, French and, last, all other documents as archives; the SQL knows only the first three."""
     docs = read_table(spark, d, "documents").where("title is not null").select(F.col("doc_id").alias("member_no"), "title", "lang")
-    merged = dedupe.merge_archives([docs.where(F.col("lang") == x) for x in ("en", "de", "fr")], text.match_key(F.col("title")))
+    archives = [docs.where(F.col("lang") == x) for x in ("en", "de", "fr")] + [docs.where("lang is null or lang not in ('en', 'de', 'fr')")]
+    merged = dedupe.merge_archives(archives, text.match_key(F.col("title")))
     return merged.select("archive_no", F.col("member_no").alias("doc_id"))
 
 

@@ -1,6 +1,6 @@
 import numpy as np
 
-from tidemark.llm.neighbours import build_graph, greedy_search, encode, exact_cosine, nearest_ids, node_rows
+from tidemark.llm.neighbours import build_graph, encode, encode_vectors, exact_cosine, greedy_search, nearest_ids, node_rows
 
 DIMS = 32
 
@@ -65,7 +65,7 @@ def test_codes():
 def test_greedy_search(spark):
     rows = vectors(800, 40)
     graph = build_graph(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), "vec_id", "embedding", DIMS, cell=128)
-    queries = graph.encoded.where("id % 10 = 0").join(graph.light.withColumnRenamed("node", "id").select("id", "cells"), "id").selectExpr("id as q", "code", "sketch", "cells")
+    queries = graph.codes().where("id % 10 = 0").join(graph.light.withColumnRenamed("node", "id").select("id", "cells", "sketch"), "id").selectExpr("id as q", "code", "sketch", "cells")
     got = {}
     for r in greedy_search(graph, queries, 6).collect():
         got.setdefault(r["q"], set()).add(r["node"])
@@ -79,6 +79,25 @@ def test_copies_are_dropped_before_the_cells(spark):
     hot = rows + [(1000 + i, rows[0][1]) for i in range(300)] + [rows[7]] * 50
     df = spark.createDataFrame([(i, v) for i, v in hot], "vec_id bigint, embedding array<float>")
     graph = build_graph(df, "vec_id", "embedding", DIMS)
-    assert graph.encoded.count() == 390
+    assert graph.members.count() == 390
+    once = graph.light.selectExpr("node as id", "hash", "cells", "explode(cells) as cell")
     for limit in (0, 1000):
-        assert sorted(r["id"] for r in node_rows(graph.encoded, graph.groups, 40, limit).collect()) == list(range(40))
+        kept = node_rows(encode_vectors(df, "vec_id", "embedding", DIMS), once, 40, limit)
+        assert sorted(r["id"] for r in kept.collect()) == list(range(40))
+
+
+def test_joins_raise_the_recall_from_a_random_graph(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((20, 1536))
+    x = centres[rng.integers(20, size=600)] + 0.5 * rng.standard_normal((600, 1536))  # on no grid of integers
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id bigint, embedding array<float>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -2)
+    want = np.argsort(-sims, axis=1)[:, :5]
+    recall = []
+    for kw in ({"rounds": 0, "check": False}, {"check": False}, {}):
+        graph = build_graph(df, "vec_id", "embedding", 1536, **kw)
+        lists = {r["a"]: [s["b"] for s in r["near"][:5]] for r in graph.near.collect()}
+        recall.append(np.mean([len(set(want[i]) & set(lists.get(i, []))) / 5 for i in range(600)]))
+    assert recall[0] < 0.2 and recall[1] >= 0.95 and recall[2] >= 0.99

@@ -1,11 +1,14 @@
-"""The most similar vectors of every vector: NN-descent over a graph seeded by small cells.
-
-Vectors are encoded once: equal directions share one code and become one node, so copies never crowd
-a cell. Nodes are placed in cells of bounded size around centres fitted in a random projection; a node
-near a border goes to both cells. Inside a cell all nodes are compared exactly: these lists are the
-first graph. NN-descent then joins neighbours of neighbours, keeps pairs that no cell has compared and
-whose projected similarity can still matter, and compares those exactly, until lists stop changing.
-``greedy_search`` answers queries by walking the graph.
+"""The most similar vectors of every vector: NN-descent from a random graph, by joins of neighbours of neighbours.
+
+Vectors are encoded once: equal directions share one code and become one node. Nodes are placed in
+cells around centres fitted in a random projection, so that the codes of vectors that may be similar
+lie together; a node near a border lies in both cells. The codes are written once, by cell, and stay
+there. The first graph links every node to a few random nodes of its cells. Each round then joins the
+links of either direction at every node, compares there the pairs of its neighbours of which one is
+new, and merges what is better into both lists, until the lists stop changing. Pairs that share no
+cell are judged by their projections first; where they can still matter, the code of one travels to
+the cell of the other. A check follows: pairs of one cell that no list holds, but whose projections say
+they might belong into one, are compared. ``greedy_search`` answers queries by walking the graph.
 """
 
 from __future__ import annotations
@@ -24,15 +27,18 @@ from tidemark.session import cut
 
 #: Cells hold about so many nodes; one of more than four times as many is split by hyperplanes.
 CELL = 1024
-#: A node goes to its second cell too when that centre is at most so many times as far.
+#: Cells of fewer nodes join the next: lists start inside a cell.
+LEAST = 32
+#: A node lies in its second cell too when that centre is at most so many times as far.
 BORDER = 1.05
 #: Centres are fitted on at most so many projected vectors, brought to the driver (128 bytes each).
 SAMPLE = 20_000
 CENTRES = 2_048
 SKETCH = 128
 #: Neighbours kept a node while the graph is built.
-LIST = 10
-NEAR = "array<struct<b:bigint,sim:double,cells:array<bigint>>>"
+LIST = 16
+NEAR = "array<struct<b:bigint,sim:double,fresh:boolean,cells:array<bigint>>>"
+_NEAR = pa.list_(pa.struct([("b", pa.int64()), ("sim", pa.float64()), ("fresh", pa.bool_()), ("cells", pa.list_(pa.int64()))]))
 
 
 def projection(dims: int) -> np.ndarray:
@@ -42,14 +48,14 @@ def projection(dims: int) -> np.ndarray:
 def encode(x: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     """(codes, projections as int8) of usable rows of a float32 matrix.
 
-    A row that is a multiple of small integers is coded by them, a byte each, without loss but for its
-    length; any other row by 16 bits an element, relative to its largest.
+    A row that is a multiple of small integers, but for the rounding of single precision, is coded by them,
+    a byte each, without loss but for its length; any other row by 16 bits an element, relative to its largest.
     """
     size = np.abs(x)
     unit = np.where(size > 0, size, np.inf).min(axis=1)
     ratio = x / unit[:, None]
     whole = np.rint(ratio)
-    exact = (np.abs(ratio - whole).max(axis=1) < 2e-3) & (np.abs(whole).max(axis=1) <= 127)
+    exact = (np.abs(ratio - whole) <= 5e-7 * np.maximum(size / unit[:, None], 1)).all(axis=1) & (np.abs(whole).max(axis=1) <= 127)
     wide = np.rint(x.astype(np.float64) / size.max(axis=1)[:, None] * 32767).astype(np.int16)
     narrow = np.where(exact[:, None], whole, 0).astype(np.int8)
     codes = [narrow[i].tobytes() if exact[i] else wide[i].tobytes() for i in range(len(x))]
@@ -111,8 +117,10 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.concatenate([(x[i:i + 4096] @ centres.T - half).argmax(axis=1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
 
 
-def _placer(centres: np.ndarray, bits: np.ndarray | None, border: float):
-    """A UDF from sketch to one or two cells: a centre and as many hyperplane signs as its cell needs."""
+def _placer(centres: np.ndarray, bits: np.ndarray | None, border: float, moved: dict[int, int] | None = None):
+    """A UDF from sketch to one or two cells: a centre and as many hyperplane signs as its cell needs.
+    ``moved`` sends cells of too few nodes to another one of their centre."""
+    moved = moved or {}
 
     def place(sketches: pd.Series) -> pd.Series:
         if not len(sketches):
@@ -136,83 +144,240 @@ def _placer(centres: np.ndarray, bits: np.ndarray | None, border: float):
                     picked = [(c << 32) | (int((((part[i] - centres[c]) @ planes[:, : bits[c]] > 0).astype(np.int64) << np.arange(bits[c])).sum()) if bits[c] else 0) for c in picked]
                 else:
                     picked = [c << 32 for c in picked]
-                cells.append(picked)
+                cells.append([moved.get(c, c) for c in picked])
         return pd.Series(cells)
 
     return F.pandas_udf(place, ArrayType(LongType()))
 
 
-def _compare_cell(dims: int, keep: int):
-    """All nodes of one cell against each other: of each the ``keep`` best, with where those live."""
-
-    def run(table: pa.Table) -> pa.Table:
-        schema = pa.schema([("a", pa.int64()), ("a_cells", pa.list_(pa.int64())), ("near", pa.list_(pa.struct([("b", pa.int64()), ("sim", pa.float64()), ("cells", pa.list_(pa.int64()))])))])
-        # rows of one code are copies: the smallest id stands for them
-        order = np.argsort(table["id"].to_numpy(), kind="stable")
-        ids, hashes, codes, cells = (table[c].take(pa.array(order)).to_pylist() for c in ("id", "hash", "code", "cells"))
-        first: dict[bytes, int] = {}
-        for i, h in enumerate(hashes):
-            first.setdefault(h, i)
-        at = list(first.values())
-        n = len(at)
-        if n < 2:
-            return schema.empty_table()
-        ids, codes, cells = np.array([ids[i] for i in at]), [codes[i] for i in at], [cells[i] for i in at]
-        x = read_codes(codes, dims)
-        squares = np.einsum("ij,ij->i", x, x, dtype=np.float64)
-        # whole numbers whose sums stay under 2^24 are exact in single precision, in any order
-        exact = squares < 2**24
-        take = min(keep, n - 1)
-        scale = (1 / np.sqrt(squares)).astype(np.float32)
-        best, sims = np.empty((n, take), np.int64), np.empty((n, take))
-        for lo in range(0, n, 1024):
-            dots = x[lo:lo + 1024] @ x.T
-            score = dots * scale
-            score[np.arange(len(score)), lo + np.arange(len(score))] = -np.inf
-            top = np.argpartition(-score, take - 1, axis=1)[:, :take]
-            best[lo:lo + 1024] = top
-            sims[lo:lo + 1024] = np.take_along_axis(dots, top, axis=1).astype(np.float64) / np.sqrt(squares[lo:lo + 1024, None] * squares[top])
-        for i in np.flatnonzero(~exact[:, None].repeat(take, 1).any(axis=1) | ~exact[best].all(axis=1)):
-            sims[i] = exact_cosine([codes[i]] * take, [codes[j] for j in best[i]], dims)
-        flat = best.ravel()
-        near = pa.StructArray.from_arrays([pa.array(ids[flat], pa.int64()), pa.array(sims.ravel()), pa.array([cells[j] for j in flat], pa.list_(pa.int64()))], ["b", "sim", "cells"])
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * take + 1, take), pa.int32()), near)
-        return pa.table([pa.array(ids, pa.int64()), pa.array(cells, pa.list_(pa.int64())), lists], schema=schema)
+class _Cell:
+    """The nodes of one cell as arrays: ids, positions, codes as numbers, squares of lengths, cells of each."""
+
+    def __init__(self, nodes: pa.Table, dims: int):
+        order = np.argsort(nodes["id"].to_numpy(), kind="stable")  # the same whatever order rows come in
+        nodes = nodes.take(pa.array(order))
+        self.dims, self.ids = dims, nodes["id"].to_numpy()
+        self.codes, self.sketches, self.cells = nodes["code"].to_pylist(), nodes["sketch"].to_pylist(), nodes["cells"].to_pylist()
+        self.at = {int(v): i for i, v in enumerate(self.ids)}
+        x = read_codes(self.codes, dims)
+        self.squares = np.einsum("ij,ij->i", x, x, dtype=np.float64)
+        # whole numbers whose sums stay under 2^24 are exact in single precision, in any order; others need double
+        self.x = x if (self.squares < 2**24).all() else read_codes(self.codes, dims, np.float64)
+
+    def cosines(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.empty(len(i))
+        for lo in range(0, len(i), 2000):
+            a, b = i[lo:lo + 2000], j[lo:lo + 2000]
+            out[lo:lo + 2000] = np.einsum("ij,ij->i", self.x[a], self.x[b]).astype(np.float64) / np.sqrt(self.squares[a] * self.squares[b])
+        return out
+
+
+def _lists(a: np.ndarray, b: np.ndarray, sim: np.ndarray, cells: list, schema: pa.Schema, keep: int, names: np.ndarray) -> pa.Table:
+    """One row (a, a_cells, near) a node: of the pairs (a, b) of positions, each once, the ``keep`` best, ties to the smaller id."""
+    if not len(a):
+        return schema.empty_table()
+    order = np.lexsort((names[b], -sim, a))
+    a, b, sim = a[order], b[order], sim[order]
+    same = np.concatenate(([False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])))
+    a, b, sim = a[~same], b[~same], sim[~same]
+    first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+    rank = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
+    a, b, sim = a[rank < keep], b[rank < keep], sim[rank < keep]
+    first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+    near = pa.StructArray.from_arrays(
+        [pa.array(names[b], pa.int64()), pa.array(sim), pa.array(np.ones(len(b), bool)), pa.array([cells[j] for j in b], pa.list_(pa.int64()))], ["b", "sim", "fresh", "cells"]
+    )
+    return pa.table([
+        pa.array(names[a[first]], pa.int64()), pa.array([cells[i] for i in a[first]], pa.list_(pa.int64())),
+        pa.ListArray.from_arrays(pa.array(np.append(first, len(a)), pa.int32()), near), pa.nulls(len(first), pa.list_(pa.int64())),
+    ], schema=schema)
+
+
+_OUT = pa.schema([("a", pa.int64()), ("a_cells", pa.list_(pa.int64())), ("near", _NEAR), ("far", pa.list_(pa.int64()))])
+_OUT_DDL = f"a long, a_cells array<long>, near {NEAR}, far array<long>"
+
+
+def _start_cell(dims: int, keep: int):
+    """The first graph: every node of a cell linked to ``keep`` random others of it."""
+
+    def run(nodes: pa.Table) -> pa.Table:
+        if nodes.num_rows < 2:
+            return _OUT.empty_table()
+        cell = _Cell(nodes, dims)
+        n = len(cell.ids)
+        rng = np.random.default_rng(int(nodes["cell"][0].as_py()) & 0xFFFFFFFF)
+        # numbers under n - 1 that step over the node itself; one drawn twice counts once
+        drawn = rng.integers(0, n - 1, (n, keep + 2)) if n > 2 * keep else np.tile(np.arange(n - 1), (n, 1))
+        a = np.repeat(np.arange(n), drawn.shape[1])
+        b = drawn.ravel() + (drawn.ravel() >= a)
+        return _lists(a, b, cell.cosines(a, b), cell.cells, _OUT, keep, cell.ids)
+
+    return run
+
+
+def _join_cell(dims: int, keep: int, margin: float, ship: bool):
+    """One round in one cell: pairs of neighbours of its nodes, and the pairs sent here to be compared.
+
+    Rows come in four kinds: 0 a node with its neighbours of either direction and what its list ends
+    with, 1 the projection of a neighbour that lies elsewhere, 2 a pair to compare, 3 a code for it.
+    Returns better neighbours by node, and as ``far`` the pairs without a common cell that may matter.
+    """
+
+    def run(nodes: pa.Table, rows: pa.Table) -> pa.Table:
+        if not nodes.num_rows or not rows.num_rows:
+            return _OUT.empty_table()
+        cell = _Cell(nodes, dims)
+        m = len(cell.ids)
+        kind = rows["kind"].to_numpy()
+        part = lambda k: rows.filter(pa.array(kind == k))
+        own, other = part(0), part(1)
+        other = other.take(pa.array(np.argsort(other["a"].to_numpy(), kind="stable")))
+        names = np.concatenate([cell.ids, other["a"].to_numpy()])
+        at = {int(v): i for i, v in enumerate(names)}
+        cells = cell.cells + other["cells"].to_pylist()
+        ends = np.full((2, len(names)), -2.0)  # what the k-list and the whole list end with
+        for k, t in ((0, own), (1, other)):
+            spots = np.array([at[v] for v in t["a"].to_pylist()], np.int64)
+            known = spots < m if k == 0 else spots >= m
+            ends[0, spots[known]] = t["worst_k"].to_numpy()[known]
+            ends[1, spots[known]] = t["worst_l"].to_numpy()[known]
+        sketch = np.frombuffer(b"".join(cell.sketches + other["sketch"].to_pylist()), np.int8).reshape(-1, SKETCH).astype(np.float32)
+        sketch /= np.maximum(np.linalg.norm(sketch, axis=1, keepdims=True), 1e-9)
+        where = np.full((len(names), 2), -1, np.int64)
+        for i, c in enumerate(cells):
+            where[i, : len(c)] = c[:2]
+        where[where[:, 1] < 0, 1] = -2 - np.flatnonzero(where[:, 1] < 0)  # no second cell equals another's
+
+        xs, ys, sims, far = [], [], [], []
+        lists = own["near"].drop_null().to_pylist()  # a node without new neighbours has none
+        lists.sort(key=len)
+        step = max(1, 24_000_000 // (2 * keep * dims * cell.x.itemsize))
+        for lo in range(0, len(lists), step):
+            batch = lists[lo:lo + step]
+            width = len(batch[-1])
+            spot = np.full((len(batch), width), -1, np.int64)
+            fresh = np.zeros((len(batch), width), bool)
+            for r, t in enumerate(batch):
+                for c, e in enumerate(t):
+                    spot[r, c] = at.get(e["n"], -1)
+                    fresh[r, c] = e["fresh"]
+            here = (spot >= 0) & (spot < m)
+            safe = np.where(here, spot, 0)
+            x = cell.x[safe]
+            dots = np.matmul(x, x.transpose(0, 2, 1)).astype(np.float64)
+            some = (fresh[:, :, None] | fresh[:, None, :]) & np.triu(np.ones((width, width), bool), 1)[None]
+            r, i, j = np.nonzero(some & here[:, :, None] & here[:, None, :])
+            a, b = spot[r, i], spot[r, j]
+            sim = dots[r, i, j] / np.sqrt(cell.squares[a] * cell.squares[b])
+            good = (sim > ends[1, a]) | (sim > ends[1, b])
+            xs.append(a[good]), ys.append(b[good]), sims.append(sim[good])
+            if ship and len(names) > m:
+                both = (spot >= 0)[:, :, None] & (spot >= 0)[:, None, :] & ~(here[:, :, None] & here[:, None, :])
+                r, i, j = np.nonzero(some & both)
+                a, b = spot[r, i], spot[r, j]
+                apart = (where[a][:, :, None] != where[b][:, None, :]).all(axis=(1, 2))
+                a, b = a[apart], b[apart]
+                likely = np.einsum("ij,ij->i", sketch[a], sketch[b]) >= np.minimum(ends[0, a], ends[0, b]) - margin
+                far.append(np.stack([np.minimum(names[a[likely]], names[b[likely]]), np.maximum(names[a[likely]], names[b[likely]])], axis=1))
+        pairs, codes = part(2), part(3)
+        if pairs.num_rows:
+            sent = dict(zip(codes["a"].to_pylist(), zip(codes["code"].to_pylist(), codes["cells"].to_pylist())))
+            left = np.array([cell.at.get(v, -1) for v in pairs["a"].to_pylist()], np.int64)
+            right = pairs["b"].to_pylist()
+            extra = {v: len(names) + i for i, v in enumerate(sorted({v for v in right if v in sent}))}
+            names = np.concatenate([names, np.array(list(extra), np.int64)])
+            cells = cells + [sent[v][1] for v in extra]
+            ends = np.concatenate([ends, np.full((2, len(extra)), -2.0)], axis=1)
+            good = [r for r in range(len(right)) if left[r] >= 0 and right[r] in sent]
+            for lo in range(0, len(good), 1000):
+                some = good[lo:lo + 1000]
+                sims.append(exact_cosine([cell.codes[left[r]] for r in some], [sent[right[r]][0] for r in some], dims))
+                xs.append(left[some])
+                ys.append(np.array([extra[right[r]] for r in some], np.int64))
+        out = []
+        if xs:
+            a, b, sim = np.concatenate(xs), np.concatenate(ys), np.concatenate(sims)
+            a, b, sim = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([sim, sim])
+            good = sim > ends[1, a]
+            out.append(_lists(a[good], b[good], sim[good], cells, _OUT, keep, names))
+        if far and sum(map(len, far)):
+            apart = np.unique(np.concatenate(far), axis=0)
+            n = len(apart)
+            out.append(pa.table([pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, _NEAR), pa.array(apart.tolist(), pa.list_(pa.int64()))], schema=_OUT))
+        return pa.concat_tables(out) if out else _OUT.empty_table()
+
+    return run
+
+
+def _check_cell(dims: int, keep: int, margin: float):
+    """The check after the last round: pairs of one cell whose projections say they may belong into a k-list, but are in none."""
+
+    def run(nodes: pa.Table, rows: pa.Table) -> pa.Table:
+        if nodes.num_rows < 2:
+            return _OUT.empty_table()
+        cell = _Cell(nodes, dims)
+        end, listed = np.full(len(cell.ids), -2.0), set()
+        for a, worst, near in zip(*(rows[c].to_pylist() for c in ("a", "worst", "near"))):
+            end[cell.at[a]] = worst
+            listed.update((cell.at[a], cell.at[b]) for b in near if b in cell.at)
+        x = np.frombuffer(b"".join(cell.sketches), np.int8).reshape(-1, SKETCH).astype(np.float32)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        parts = []
+        for lo in range(0, len(x), 512):
+            i, j = np.nonzero(x[lo:lo + 512] @ x.T >= np.minimum(end[lo:lo + 512, None], end[None]) - margin)
+            parts.append(np.stack([i + lo, j])[:, j > i + lo])
+        i, j = np.concatenate(parts, axis=1)
+        new = np.array([(a, b) not in listed or (b, a) not in listed for a, b in zip(i.tolist(), j.tolist())], bool)
+        i, j = i[new], j[new]
+        sim = cell.cosines(i, j)
+        a, b, sim = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([sim, sim])
+        good = sim >= end[a]
+        return _lists(a[good], b[good], sim[good], cell.cells, _OUT, keep, cell.ids)
 
     return run
 
 
 def _trim(near, keep: int):
     """The ``keep`` best of a list, ties to the smaller id, each once."""
-    keyed = F.array_distinct(F.transform(near, lambda s: F.struct((-s["sim"]).alias("far"), s["b"].alias("b"), s["cells"].alias("cells"))))
-    return F.transform(F.slice(F.array_sort(keyed), 1, keep), lambda s: F.struct(s["b"].alias("b"), (-s["far"]).alias("sim"), s["cells"].alias("cells")))
+    keyed = F.array_distinct(F.transform(near, lambda s: F.struct((-s["sim"]).alias("far"), s["b"].alias("b"), s["fresh"].alias("fresh"), s["cells"].alias("cells"))))
+    return F.transform(
+        F.slice(F.array_sort(keyed), 1, keep), lambda s: F.struct(s["b"].alias("b"), (-s["far"]).alias("sim"), s["fresh"].alias("fresh"), s["cells"].alias("cells"))
+    )
 
 
 class Graph:
-    """near(a, a_cells, near), light(node, sketch, cells), groups(node, ids, copies), encoded, and how it was built."""
+    """near(a, a_cells, near), light(node, sketch, cells), groups(node, hash, ids, copies), members(id, hash),
+    nodes(cell, id, code, sketch, cells: a row for each cell of a node) and how it was built:
+    rounds holds (pairs compared across cells, entries of k-lists changed) of each, the check last."""
+
+    def __init__(self, near, light, groups, members, nodes, dims: int, rounds: list[tuple[int, int]]):
+        self.near, self.light, self.groups, self.members, self.nodes, self.dims, self.rounds = near, light, groups, members, nodes, dims, rounds
 
-    def __init__(self, near: DataFrame, light: DataFrame, groups: DataFrame, encoded: DataFrame, dims: int, rounds: list[tuple[int, int]]):
-        self.near, self.light, self.groups, self.encoded, self.dims, self.rounds = near, light, groups, encoded, dims, rounds
+    def codes(self) -> DataFrame:
+        """(id, code) of every node once."""
+        return self.nodes.where(F.col("cell") == F.col("cells")[0]).select("id", "code")
 
 
 def build_graph(
     vectors: DataFrame, id_col: str, vector_col: str, dims: int, k: int = 5, cell: int = CELL, border: float = BORDER,
-    margin: float = 0.2, rounds: int = 4, least: float = 0.001,
+    margin: float = 0.1, least: float = 0.0005, rounds: int | None = None, keep: int = LIST, check: bool = True,
 ) -> Graph:
     """The neighbour graph of all usable vectors.
 
-    Stops after ``rounds`` joins of neighbours of neighbours, or once a round changes fewer than
-    ``least`` of the k-lists. An empty input gives empty tables.
+    Ends once a round changes fewer than ``least`` of the entries of all k-lists (lists only ever get
+    better, so this comes); ``rounds`` ends it earlier and without ``check`` the last comparison is left
+    out, for measurements. An empty input gives empty tables.
     """
-    encoded = cut(encode_vectors(vectors, id_col, vector_col, dims).withColumn("row", F.monotonically_increasing_id()))
+    encoded = encode_vectors(vectors, id_col, vector_col, dims)
+    members = cut(encoded.select("id", "hash", "sketch"))
     part = F.pmod(F.xxhash64("id"), F.lit(32))
-    some = encoded.select("id", "hash", "sketch", "row").groupBy("hash", part.alias("part")).agg(
-        F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"), F.count_distinct("id").alias("copies"), F.first("sketch").alias("sketch"), F.min(F.struct("id", "row")).alias("first")
+    some = members.groupBy("hash", part.alias("part")).agg(
+        F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"), F.count_distinct("id").alias("copies"), F.first("sketch").alias("sketch")
     )
     groups = some.groupBy("hash").agg(
-        F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"), F.sum("copies").alias("copies"), F.first("sketch").alias("sketch"), F.min("first").alias("first")
+        F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"), F.sum("copies").alias("copies"), F.first("sketch").alias("sketch")
     )
-    groups = cut(groups.select(F.col("ids")[0].alias("node"), F.col("first.row").alias("row"), "hash", "ids", "copies", "sketch"))
+    groups = cut(groups.select(F.col("ids")[0].alias("node"), "hash", "ids", "copies", "sketch"))
     total = groups.count()
     count = max(1, min(CENTRES, total // cell))
     sample = groups.select("sketch")
@@ -220,111 +385,125 @@ def build_graph(
         sample = sample.sample(min(1.0, 1.2 * SAMPLE / total), seed=11).limit(SAMPLE)
     sketches = np.array([np.frombuffer(r["sketch"], np.int8) for r in sample.collect()]).reshape(-1, SKETCH)
     centres = fit_centres(sketches if len(sketches) else np.zeros((1, SKETCH), np.int8), count, 0)
-    sizes = groups.select(F.explode(_placer(centres, None, border)("sketch")).alias("cell")).groupBy("cell").count().collect()  # one row a centre
+    placer = _placer(centres, None, border)
+    counts = lambda: {r["cell"]: r["count"] for r in groups.select(F.explode(placer("sketch")).alias("cell")).groupBy("cell").count().collect()}
+    sizes = counts()  # one row a centre
+    if len(centres) > 1 and any(sizes.get(c << 32, 0) < LEAST for c in range(len(centres))):
+        centres = centres[[c for c in range(len(centres)) if sizes.get(c << 32, 0) >= LEAST] or [0]]
+        placer = _placer(centres, None, border)
+        sizes = counts()
     bits = np.zeros(len(centres), np.int64)
-    for row in sizes:
-        if row["count"] > 4 * cell:
-            bits[row["cell"] >> 32] = int(np.ceil(np.log2(row["count"] / (4 * cell))))
-    placer = _placer(centres, bits, border)
-    light = cut(groups.select("node", "sketch", placer("sketch").alias("cells")))
-
-    spread = node_rows(encoded, groups, total).select("id", "hash", "code", placer("sketch").alias("cells")).withColumn("cell", F.explode("cells"))
-    compared = spread.groupBy("cell").applyInArrow(_compare_cell(dims, LIST), f"a long, a_cells array<long>, near {NEAR}")
-    near = cut(compared.groupBy("a").agg(F.first("a_cells").alias("a_cells"), F.flatten(F.collect_list("near")).alias("near")).select("a", "a_cells", _trim(F.col("near"), LIST).alias("near")))
+    for at, n in sizes.items():
+        if n > 4 * cell:
+            bits[at >> 32] = int(np.ceil(np.log2(n / (4 * cell))))
+    if bits.any():
+        placer = _placer(centres, bits, border)
+        sizes = counts()  # one row for every few thousand nodes
+        largest: dict[int, int] = {}
+        for at, n in sizes.items():
+            if n > sizes.get(largest.get(at >> 32, -1), 0):
+                largest[at >> 32] = at
+        placer = _placer(centres, bits, border, {at: largest[at >> 32] for at, n in sizes.items() if n < LEAST})
+    light = cut(groups.select("node", "hash", "sketch", F.array_distinct(placer("sketch")).alias("cells")))
+    # one row a node and cell, written once in order of cells: no round moves the codes again
+    parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // 20_000))
+    once = light.select(F.col("node").alias("id"), "hash", "cells", F.explode("cells").alias("cell"))
+    nodes = cut(node_rows(encoded, once, total).select("cell", "id", "code", "sketch", "cells").repartition(parts, "cell").sortWithinPartitions("cell"))
+    home = light.select("node", F.col("cells")[0].alias("home"))
+
+    start = nodes.groupBy("cell").applyInArrow(_start_cell(dims, keep), _OUT_DDL)
+    near = cut(start.groupBy("a").agg(F.first("a_cells").alias("a_cells"), F.flatten(F.collect_list("near")).alias("near")).select("a", "a_cells", _trim(F.col("near"), keep).alias("near")))
     log: list[tuple[int, int]] = []
-    tried: DataFrame | None = None
-    while len(log) < rounds:
-        fresh = cut(_descend(near, light, k, margin, tried))
-        wanted = fresh.count()
-        if not wanted:
-            log.append((0, 0))
+    waiting: DataFrame | None = None
+    while rounds is None or len(log) < rounds:
+        rows = _round_rows(near, light, nodes, home, waiting, k, keep)
+        # the first lists are random: pairs across cells are looked at once they tell something
+        worked = cut(nodes.groupBy("cell").cogroup(rows.groupBy("cell")).applyInArrow(_join_cell(dims, keep, margin, bool(log)), _OUT_DDL))
+        near, changed = _merge(near, worked, k, keep)
+        sent = 0
+        if log:
+            waiting = worked.where("far is not null").select(F.col("far")[0].alias("x"), F.col("far")[1].alias("y")).distinct()
+            waiting = cut(waiting)
+            sent = waiting.count()
+        log.append((sent, changed))
+        if len(log) > 1 and changed < max(1, least * k * total) and sent < max(1, least * k * total):
             break
-        tried = fresh if tried is None else tried.unionByName(fresh)
-        scored = cut(_score_pairs(fresh, encoded, dims, wanted))
-        where = light.select(F.col("node").alias("b"), "cells")
-        ends = scored.select("a", "b", "sim").unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-        new = ends.join(where, "b").groupBy("a").agg(F.collect_list(F.struct("b", "sim", "cells")).alias("new"))
-        own = near.join(new, "a", "left").select(
-            "a", "a_cells", _trim(F.concat("near", F.coalesce("new", F.array().cast(NEAR))), LIST).alias("near"),
-            F.coalesce(F.exists("new", lambda s: s["sim"] > F.coalesce(F.get("near", F.lit(k - 1))["sim"], F.lit(-2.0))), F.lit(False)).alias("changed"),
-        )
-        # a node that was alone in its cells has no list yet
-        lone = new.join(near.select("a"), "a", "left_anti").join(light.select(F.col("node").alias("a"), F.col("cells").alias("a_cells")), "a").select(
-            "a", "a_cells", _trim(F.col("new"), LIST).alias("near"), F.lit(True).alias("changed")
-        )
-        near = cut(own.unionByName(lone))
-        changed = near.where("changed").count()
-        near = near.drop("changed")
-        log.append((wanted, changed))
-        if changed < least * total:
-            break
-    return Graph(near, light, groups, encoded, dims, log)
+    if check:
+        lists = near.select(F.explode("a_cells").alias("cell"), "a", F.coalesce(F.get("near", F.lit(k - 1))["sim"], F.lit(-2.0)).alias("worst"), F.col("near.b").alias("near"))
+        near, changed = _merge(near, nodes.groupBy("cell").cogroup(lists.groupBy("cell")).applyInArrow(_check_cell(dims, keep, margin), _OUT_DDL), k, keep)
+        log.append((0, changed))
+    return Graph(near, light, groups, members, nodes, dims, log)
 
 
-def node_rows(encoded: DataFrame, groups: DataFrame, count: int, broadcast_limit: int = 1_000_000) -> DataFrame:
-    """The one row of ``encoded`` that stands for each node, so copies never reach a cell. The row numbers are
-    broadcast while there are at most ``broadcast_limit`` of the ``count`` nodes, and joined beyond that."""
-    firsts = groups.select("row")
-    return encoded.join(F.broadcast(firsts) if count <= broadcast_limit else firsts, "row", "left_semi")
+def _merge(near: DataFrame, worked: DataFrame, k: int, keep: int) -> tuple[DataFrame, int]:
+    """The lists with the new entries of a round, which are marked fresh, and how many of them the k-lists got."""
+    new = worked.where("a is not null").groupBy("a").agg(F.first("a_cells").alias("new_cells"), F.flatten(F.collect_list("near")).alias("new"))
+    none = F.array().cast(NEAR)
+    aged = F.transform(F.coalesce("near", none), lambda s: F.struct(s["b"].alias("b"), s["sim"].alias("sim"), F.lit(False).alias("fresh"), s["cells"].alias("cells")))
+    better = F.filter(F.coalesce("new", none), lambda s: ~F.exists(F.coalesce("near", none), lambda t: t["b"] == s["b"]))
+    near = cut(near.join(new, "a", "full").select("a", F.coalesce("a_cells", "new_cells").alias("a_cells"), _trim(F.concat(aged, better), keep).alias("near")))
+    return near, near.select(F.sum(F.size(F.filter(F.slice("near", 1, k), lambda s: s["fresh"])))).first()[0] or 0
 
 
-def _descend(near: DataFrame, light: DataFrame, k: int, margin: float, tried: DataFrame | None) -> DataFrame:
-    """(a, c): neighbours of one node that no cell has compared and that may still enter a k-list.
+def _lend(df: DataFrame, count: int, limit: int) -> DataFrame:
+    """``df`` for broadcast while it has at most ``limit`` narrow rows, as it is beyond that."""
+    return F.broadcast(df) if count <= limit else df
 
-    Each node looks at its LIST best neighbours either way, so one of high degree stays small here.
-    """
-    links = near.select("a", "a_cells", F.explode("near").alias("s")).select("a", "a_cells", F.col("s.b").alias("b"), F.col("s.sim").alias("sim"), F.col("s.cells").alias("b_cells"))
-    both = links.select(F.col("a").alias("centre"), F.struct(F.col("b").alias("n"), F.col("b_cells").alias("cells")).alias("e"), "sim").unionByName(
-        links.select(F.col("b").alias("centre"), F.struct(F.col("a").alias("n"), F.col("a_cells").alias("cells")).alias("e"), "sim")
-    )
-    rank = F.row_number().over(Window.partitionBy("centre").orderBy(F.desc("sim"), F.col("e.n")))
-    around = both.withColumn("rank", rank).where(F.col("rank") <= 2 * LIST).groupBy("centre").agg(F.collect_set("e").alias("es"))
-    pairs = F.flatten(F.transform("es", lambda x: F.transform(
-        F.filter("es", lambda y: (x["n"] < y["n"]) & ~F.arrays_overlap(x["cells"], y["cells"])), lambda y: F.struct(x["n"].alias("a"), y["n"].alias("c"))
-    )))
-    apart = around.select(F.explode(pairs).alias("p")).select("p.a", "p.c").distinct()
-    if tried is not None:
-        apart = apart.join(tried, ["a", "c"], "left_anti")
-    worst = near.select(F.col("a").alias("node"), F.coalesce(F.get("near", F.lit(k - 1))["sim"], F.lit(-1.0)).alias("worst"))
-    known = light.select("node", "sketch").join(worst, "node", "left").select("node", "sketch", F.coalesce("worst", F.lit(-1.0)).alias("worst"))
-    one = known.select(F.col("node").alias("a"), F.col("sketch").alias("a_sketch"), F.col("worst").alias("a_worst"))
-    two = known.select(F.col("node").alias("c"), F.col("sketch").alias("c_sketch"), F.col("worst").alias("c_worst"))
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            read = lambda i: np.frombuffer(b"".join(batch.column(i).to_pylist()), np.int8).reshape(-1, SKETCH).astype(np.float32)
-            x, y = read(2), read(3)
-            cosine = (x * y).sum(axis=1) / np.maximum(np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1), 1e-9)
-            worst = np.minimum(batch.column(4).to_numpy(), batch.column(5).to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "c"]).filter(pa.array(cosine >= worst - margin))
-
-    attached = apart.join(one, "a").join(two, "c").select("a", "c", "a_sketch", "c_sketch", "a_worst", "c_worst")
-    return attached.mapInArrow(likely, "a long, c long")
-
-
-def _score_pairs(pairs: DataFrame, encoded: DataFrame, dims: int, count: int, broadcast_limit: int = 200_000) -> DataFrame:
-    """(a, b, sim): the exact cosine of every pair. Codes travel only for the nodes that occur in a pair;
-    their ids are broadcast while there are at most ``broadcast_limit`` pairs, and joined beyond that."""
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("c").alias("id"))).distinct()
-    if count <= broadcast_limit:
-        needed = F.broadcast(needed)
-    codes = encoded.select("id", "code").join(needed, "id", "left_semi").dropDuplicates(["id"])
-    # all pairs of one a are scored in one place: its code is sent there once, and that of each partner once
-    place = F.pmod(F.xxhash64("a"), F.lit(64))
-    placed = pairs.withColumn("place", place)
-    wanted = placed.select("place", F.col("a").alias("id")).unionByName(placed.select("place", F.col("c").alias("id"))).distinct()
-    sent = wanted.join(codes, "id").select(F.col("place").alias("spot"), "id", "code")
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64())])
-        codes = dict(zip(right["id"].to_pylist(), right["code"].to_pylist()))
-        a, c = left["a"].to_pylist(), left["c"].to_pylist()
-        sims = [exact_cosine([codes[i] for i in a[at:at + 1000]], [codes[i] for i in c[at:at + 1000]], dims) for at in range(0, len(a), 1000)]
-        return pa.table([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(np.concatenate(sims) if sims else np.zeros(0))], schema=schema)
+def node_rows(encoded: DataFrame, once: DataFrame, count: int, broadcast_limit: int = 200_000) -> DataFrame:
+    """The code of each node with its cells, so copies never reach a cell. ``once``: id, hash, cells, cell.
+    The rows of ``once`` are broadcast while there are at most ``broadcast_limit`` nodes, and joined beyond that."""
+    found = encoded.join(_lend(once, count, broadcast_limit), ["id", "hash"])
+    return found.dropDuplicates(["cell", "id"])
 
-    return placed.groupBy("place").cogroup(sent.groupBy("spot")).applyInArrow(score, "a long, b long, sim double")
+
+def _round_rows(near: DataFrame, light: DataFrame, nodes: DataFrame, home: DataFrame, waiting: DataFrame | None, k: int, keep: int, broadcast_limit: int = 200_000) -> DataFrame:
+    """What a round needs in each cell, in the four kinds of ``_join_cell``.
+
+    A node looks at its 2 x ``keep`` best neighbours of either direction, so one of high degree stays small here.
+    """
+    links = near.select("a", "a_cells", F.explode("near").alias("s")).select(
+        "a", "a_cells", F.col("s.b").alias("b"), F.col("s.sim").alias("sim"), F.col("s.fresh").alias("fresh"), F.col("s.cells").alias("b_cells")
+    )
+    both = links.select(F.col("a").alias("centre"), F.col("a_cells").alias("cells"), F.col("b").alias("n"), F.col("b_cells").alias("n_cells"), "sim", "fresh").unionByName(
+        links.select(F.col("b").alias("centre"), F.col("b_cells").alias("cells"), F.col("a").alias("n"), F.col("a_cells").alias("n_cells"), "sim", "fresh")
+    )
+    rank = F.row_number().over(Window.partitionBy("centre").orderBy(F.desc("sim"), "n", "fresh"))
+    around = both.withColumn("rank", rank).where(F.col("rank") <= 2 * keep).groupBy("centre").agg(
+        F.first("cells").alias("cells"), F.collect_set(F.struct("n", "fresh", F.col("n_cells").alias("cells"))).alias("near")
+    )
+    # a pair linked both ways is new if either link is
+    once = F.filter("near", lambda e: e["fresh"] | ~F.exists("near", lambda o: (o["n"] == e["n"]) & o["fresh"]))
+    end = lambda i: F.coalesce(F.get("near", F.lit(i))["sim"], F.lit(-2.0))
+    ends = near.select(F.col("a").alias("centre"), end(k - 1).alias("worst_k"), end(keep - 1).alias("worst_l"))
+    full = around.select("centre", "cells", once.alias("near")).join(ends, "centre", "left")
+    placed = full.select(F.explode("cells").alias("cell"), "*")
+    nothing = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    listed = F.transform(F.when(F.exists("near", lambda e: e["fresh"]), F.col("near")), lambda e: F.struct(e["n"].alias("n"), e["fresh"].alias("fresh")))
+    rows = placed.select(
+        "cell", F.lit(0).alias("kind"), F.col("centre").alias("a"), nothing("b", "long"), F.coalesce("worst_k", F.lit(-2.0)).alias("worst_k"), F.coalesce("worst_l", F.lit(-2.0)).alias("worst_l"),
+        listed.alias("near"), nothing("sketch", "binary"), nothing("code", "binary"), nothing("cells", "array<bigint>"),
+    )
+    away = placed.where(F.exists("near", lambda e: e["fresh"])).select("cell", F.explode(F.filter("near", lambda e: ~F.array_contains(e["cells"], F.col("cell")))).alias("e")).select("cell", F.col("e.n").alias("node")).distinct()
+    known = light.join(ends.withColumnRenamed("centre", "node"), "node", "left")
+    rows = rows.unionByName(away.join(known, "node").select(
+        "cell", F.lit(1).alias("kind"), F.col("node").alias("a"), nothing("b", "long"), F.coalesce("worst_k", F.lit(-2.0)).alias("worst_k"), F.coalesce("worst_l", F.lit(-2.0)).alias("worst_l"),
+        nothing("near", "array<struct<n:bigint,fresh:boolean>>"), "sketch", nothing("code", "binary"), "cells",
+    ))
+    if waiting is None:
+        return rows
+    pairs = waiting.join(home.select(F.col("node").alias("x"), F.col("home").alias("cell")), "x")
+    rows = rows.unionByName(pairs.select(
+        "cell", F.lit(2).alias("kind"), F.col("x").alias("a"), F.col("y").alias("b"), nothing("worst_k", "double"), nothing("worst_l", "double"),
+        nothing("near", "array<struct<n:bigint,fresh:boolean>>"), nothing("sketch", "binary"), nothing("code", "binary"), nothing("cells", "array<bigint>"),
+    ))
+    wanted = pairs.select(F.col("cell").alias("to"), F.col("y").alias("id")).distinct()
+    count = wanted.count()
+    codes = nodes.where(F.col("cell") == F.col("cells")[0]).select("id", "code", "cells").join(_lend(wanted, count, broadcast_limit), "id")
+    return rows.unionByName(codes.select(
+        F.col("to").alias("cell"), F.lit(3).alias("kind"), F.col("id").alias("a"), nothing("b", "long"), nothing("worst_k", "double"), nothing("worst_l", "double"),
+        nothing("near", "array<struct<n:bigint,fresh:boolean>>"), nothing("sketch", "binary"), "code", "cells",
+    ))
 
 
 def nearest_ids(graph: Graph, k: int = 5, broadcast_limit: int = 100_000) -> DataFrame:
@@ -347,20 +526,21 @@ def nearest_ids(graph: Graph, k: int = 5, broadcast_limit: int = 100_000) -> Dat
         F.concat(F.coalesce(F.transform("ids", lambda i: F.struct(F.lit(-1.0).alias("far"), i.alias("other"))), none), F.coalesce("lists", none)).alias("all"),
     )
     alone = full.where("hash is null").select(F.col("node").alias("id"), "all")
-    copies = graph.encoded.select("id", "hash").distinct().join(lend(full.where("hash is not null").select("hash", "all")), "hash").select("id", "all")
+    copies = graph.members.select("id", "hash").distinct().join(lend(full.where("hash is not null").select("hash", "all")), "hash").select("id", "all")
     mine = alone.unionByName(copies).select("id", F.slice(F.filter("all", lambda s: s["other"] != F.col("id")), 1, k).alias("best"))
     return mine.select("id", F.posexplode("best").alias("place", "s")).select(
         "id", F.col("s.other").alias("other"), (-F.col("s.far")).alias("sim"), (F.col("place") + 1).alias("place")
     )
 
 
-def greedy_search(graph: Graph, queries: DataFrame, k: int = 5, beam: int = 12, starts: int = 8, steps: int = 12) -> DataFrame:
+def greedy_search(graph: Graph, queries: DataFrame, k: int = 5, beam: int = 12, starts: int = 8) -> DataFrame:
     """(q, node, sim, place): the k nearest nodes of every query (q BIGINT, code BINARY, sketch BINARY, cells ARRAY<BIGINT>), by walking the graph.
 
     Groups of similar vectors need not be linked to each other, so a walk starts at the ``starts`` nodes of
     the query's own cells that look nearest in the projection. Each step looks at the neighbours, either
-    way, of the ``beam`` best nodes seen so far and keeps the best; it ends for all queries when a step
-    brings none of them anything new, or after ``steps``. A query whose cells hold no node finds nothing.
+    way, of the ``beam`` best nodes seen so far and keeps the best; it ends when a step brings no query
+    anything new. A query whose cells hold no node finds nothing. Of the links to a node from others it
+    walks the best, as many as a list is long; the others are walked from their own end.
     """
     dims = graph.dims
 
@@ -381,34 +561,33 @@ def greedy_search(graph: Graph, queries: DataFrame, k: int = 5, beam: int = 12,
 
     places = graph.light.select("node", "sketch", F.explode("cells").alias("cell"))
     asks = queries.select("q", F.col("sketch").alias("asked_sketch"), F.explode("cells").alias("asked_cell"))
-    fresh = places.groupBy("cell").cogroup(asks.groupBy("asked_cell")).applyInArrow(enter, "q long, node long").distinct()
-    links = graph.near.select("a", F.explode("near.b").alias("b"))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    # a node is walked by at most 2 LIST of its links: lists are short, so hubs must be too
-    hubs = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b")))
-    around = cut(both.withColumn("r", hubs).where(F.col("r") <= 2 * LIST).groupBy("a").agg(F.collect_list("b").alias("near")))
+    fresh = cut(places.groupBy("cell").cogroup(asks.groupBy("asked_cell")).applyInArrow(enter, "q long, node long").distinct())
+    links = graph.near.select("a", F.explode("near").alias("s")).select("a", F.col("s.b").alias("b"), F.col("s.sim").alias("sim"))
+    best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("sim"), "a"))
+    back = links.withColumn("r", best).where(F.col("r") <= LIST).select(F.col("b").alias("a"), F.col("a").alias("b"))
+    around = cut(links.select("a", "b").unionByName(back).groupBy("a").agg(F.collect_set("b").alias("near")))
     seen = None
-    for _ in range(steps):
-        scored = _score_queries(fresh, queries, graph.encoded, dims).withColumn("walked", F.lit(False))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "node"))
+    while not fresh.isEmpty():
+        scored = _score_queries(fresh, queries, graph.codes(), dims).withColumn("walked", F.lit(False))
         seen = cut(scored if seen is None else seen.unionByName(scored))
-        rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "node"))
         best = seen.withColumn("r", rank)
         frontier = best.where((F.col("r") <= beam) & ~F.col("walked")).select("q", "node")
         step = frontier.join(around, F.col("node") == F.col("a")).select("q", F.explode("near").alias("node")).distinct()
         fresh = cut(step.join(seen.select("q", "node"), ["q", "node"], "left_anti"))
         seen = best.withColumn("walked", F.col("walked") | (F.col("r") <= beam)).drop("r")
-        if fresh.isEmpty():
-            break
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "node"))
+    if seen is None:
+        return fresh.select("q", "node", F.lit(0.0).alias("sim"), F.lit(0).alias("place"))
     return seen.withColumn("place", rank).where(F.col("place") <= k).select("q", "node", "sim", "place")
 
 
-def _score_queries(pairs: DataFrame, queries: DataFrame, encoded: DataFrame, dims: int) -> DataFrame:
-    """(q, node, sim) of (q, node) pairs; each code goes once to each of the places that score it."""
-    place = F.pmod(F.xxhash64("q"), F.lit(64))
+def _score_queries(pairs: DataFrame, queries: DataFrame, codes: DataFrame, dims: int, broadcast_limit: int = 200_000) -> DataFrame:
+    """(q, node, sim) of (q, node) pairs; each code goes once to each of the places that score it, of about 20,000 pairs each."""
+    count = pairs.count()
+    place = F.pmod(F.xxhash64("q"), F.lit(max(16, count // 20_000)))
     placed = pairs.withColumn("place", place)
     wanted = placed.select("place", F.col("node").alias("id")).distinct()
-    nodes = wanted.join(encoded.select("id", "code"), "id").dropDuplicates(["place", "id"]).select(F.col("place").alias("spot"), F.lit(False).alias("asks"), "id", "code")
+    nodes = codes.join(_lend(wanted, count, broadcast_limit), "id").select(F.col("place").alias("spot"), F.lit(False).alias("asks"), "id", "code")
     asks = queries.select(place.alias("spot"), F.lit(True).alias("asks"), F.col("q").alias("id"), "code")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:

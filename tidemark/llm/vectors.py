@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.neighbours import build_graph, greedy_search, nearest_ids
-from tidemark.session import read_table
+from tidemark.session import cut, read_table
 
 DIMS = 1536
 
@@ -30,10 +30,10 @@ def p2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     Copies of one vector are one answer, under their smallest id; the query's own vector is left out.
     """
     graph = build_graph(all_vectors(spark, sf_dir), "vec_id", "embedding", DIMS)
-    members = graph.encoded.select("id", "hash").where("id % 50 = 0").distinct()
-    cells = graph.light.select("node", "sketch", "cells")
-    codes = graph.encoded.select("id", "code").where("id % 50 = 0").dropDuplicates(["id"])
-    queries = members.join(graph.groups.select("hash", "node"), "hash").join(cells, "node").join(codes, "id").select(F.col("id").alias("q"), "code", "sketch", "cells", "node")
+    members = graph.members.select("id", "hash").where("id % 50 = 0").distinct()
+    codes = graph.codes().withColumnRenamed("id", "node")
+    # the code of a vector is that of its node
+    queries = cut(members.join(graph.light, "hash").join(codes, "node").select(F.col("id").alias("q"), "code", "sketch", "cells", "node"))
     # the query's own node is found first: one more place is asked for and itself left out
     found = greedy_search(graph, queries, 6).join(queries.select("q", F.col("node").alias("own")), "q").where("node <> own")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "node"))

@@ -1,3 +1,4 @@
+import pickle
 import random
 
 from tidemark.llm.leak import LeakIndex, find_leaks, words_of
@@ -42,6 +43,27 @@ def test_matches_brute_force(spark):
             assert sorted(map(tuple, got.collect())) == sorted(set(brute(docs, items, 8)))
 
 
+def test_several_passes(spark):
+    docs, items = corpus(4)
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    i = spark.createDataFrame(items, "item_id bigint, text string")
+    got = find_leaks(d, "doc_id", "text", i, "item_id", "text", run=8, shard_words=300, shards_a_pass=2)
+    assert sorted(map(tuple, got.collect())) == brute(docs, items, 8)
+
+
+def test_blocks_lose_nothing_and_the_index_is_small():
+    docs, items = corpus(6)
+    texts = [words_of(t) for _, t in docs]
+    for block in (1, 2, 64):
+        index = LeakIndex([(i, words_of(t)) for i, t in items], run=8, block=block)
+        encoded = [index.encode(w) for w in texts]
+        found = index.verify(index.retrieve(encoded, 20), encoded)
+        assert sorted((index.keys[j], docs[d][0]) for d, j in found) == brute(docs, items, 8)
+    rng = random.Random(2)
+    many = [(i, [f"w{int(rng.paretovariate(0.7))}" for _ in range(100)]) for i in range(300)]
+    assert len(pickle.dumps(LeakIndex(many))) < 125 * 30_000  # 2,000,000 words stay under 250 MB
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
     i = spark.createDataFrame([], "item_id bigint, text string")

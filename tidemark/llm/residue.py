@@ -30,8 +30,8 @@ PLACEHOLDERS = [
     r"(?<!\w)__[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*__(?!\w)",
     r"<<\s*[A-Za-z][\w ]*>>",
     r"\[\[\s*[A-Za-z]\w*\s*\]\]",
-    r"(?i)\[(?:your|insert|enter|add)\s[^\]\n]{1,60}\]",
-    r"(?i)\[[^\]\n]{1,60}\s(?:goes )?here\]",
+    r"(?i)\[(?:your|insert|enter|add)\s[^\]\n]+\]",
+    r"(?i)\[[^\]\n]+\s(?:goes )?here\]",
     rf"&lt;(?!/?(?:{_TAGS})\b){_NAME}&gt;",
     rf"<(?!/?(?:{_TAGS})\b)[a-z]+(?:_[a-z]+)+>",
 ]
@@ -130,61 +130,56 @@ def exclude_residue(
     with evidence; or, whatever their evidence, on ``min_lines`` different texts and ``host_share`` of the
     host's pages, which copies of one text or pages without a host do not make) or filler (six in ten words from the filler vocabulary: words of which
     ``lexicon_share`` of the pages, and two at least, announce filler). A text of one sentence
-    repeated three times or more is filler too. Null and blank texts have no evidence and stay; an id
-    comes out once, whatever rows repeat it. Counts run over all documents, in narrow passes with small
-    keys; only pages with evidence are taken apart. The ids of flagged pages and the filler words
-    are broadcast while there are at most ``broadcast_limit`` of them, and joined beyond that.
+    repeated three times or more is filler too. Evidence that stands on most pages of its host is
+    boilerplate, no evidence. Null and blank texts have no evidence and stay; an id
+    comes out once, whatever rows repeat it. Counts run over all documents, read once; only pages with
+    evidence are read again. The ids of those pages and the filler words are broadcast while there are at most ``broadcast_limit`` of them, and joined beyond that.
     """
     docs = documents.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
         F.coalesce(F.lower(F.regexp_extract(url_col, r"^\w+://([^/:?#]+)", 1)), F.lit("")).alias("host"),
     )
-    # the patterns run over every text once; later passes know the few flagged pages by id
+    # one pass over the texts: flags, and lines and words as 64-bit hashes; later steps read this narrow table.
+    # no filter here: it would be pushed down and run the patterns a second time
     segments = _segments(F.col("text"))
     repeated = F.col("text").rlike(_REPEATED)
-    # no filter before the grouping: it would be pushed down and run the patterns a second time
-    flags = docs.select(
-        "id", has_placeholder(F.col("text")).alias("placeholder"), (F.col("text").rlike(_EVIDENCE_ANYWHERE) | repeated).alias("evidence"), F.col("text").rlike(_SEED).alias("seed")
-    )
-    flagged = cut(flags.groupBy("id").agg(*(F.max(c).alias(c) for c in ("placeholder", "evidence", "seed"))).where("placeholder or evidence or seed"))
-    lend = _lender(flagged, broadcast_limit)
-    placeholder = flagged.where("placeholder").select("id", F.lit("placeholder").alias("reason"))
-    rest = docs.join(lend(flagged), "id", "left").select(
-        "id", "text", "host", F.coalesce("evidence", F.lit(False)).alias("evidence"), F.coalesce("seed", F.lit(False)).alias("seed")
-    )
-
-    # a bit for each of 64 kinds of texts: as many bits as min_lines need as many different texts at least
-    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(text), 64) as int))")
-    lines = rest.select("host", "evidence", bit.alias("bit"), F.explode(F.array_distinct(F.transform(segments, _key))).alias("key"))
-    pages = docs.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    parsed = cut(docs.select(
+        "id", "host", has_placeholder(F.col("text")).alias("placeholder"), (F.col("text").rlike(_EVIDENCE_ANYWHERE) | repeated).alias("evidence"), F.col("text").rlike(_SEED).alias("seed"),
+        F.expr("shiftleft(1L, cast(pmod(xxhash64(text), 64) as int))").alias("bit"),
+        F.array_distinct(F.transform(segments, lambda s: F.xxhash64(_key(s)))).alias("keys"), F.array_distinct(F.transform(_words(F.col("text")), lambda w: F.xxhash64(w))).alias("words"),
+    ))
+    placeholder = parsed.where("placeholder").select("id").distinct().withColumn("reason", F.lit("placeholder"))
+
+    # lines by host over all documents; a bit for each of 64 kinds of texts: as many bits as min_lines need as many different texts at least
+    lines = parsed.select("host", "evidence", "bit", F.explode("keys").alias("key"))
+    pages = parsed.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     recurrent = lines.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"), F.count_if("evidence").alias("bad"), F.bit_count(F.bit_or("bit")).alias("texts")).where(F.col("n") >= min_lines)
-    on_host = (F.col("texts") >= min_lines) & (F.col("n") >= host_share * F.col("pages"))
-    boilerplate = recurrent.join(pages, "host", "left").where(
-        (F.col("bad") >= boilerplate_share * F.col("n")) | F.coalesce(on_host, F.lit(False))
-    ).select("host", "key", F.lit(True).alias("boilerplate"))
-    seeded = rest.select("id", "seed", F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
+    on_host = F.coalesce((F.col("texts") >= min_lines) & (F.col("n") >= host_share * F.col("pages")), F.lit(False))
+    boilerplate = recurrent.join(pages, "host", "left").where((F.col("bad") >= boilerplate_share * F.col("n")) | on_host).select("host", "key", F.lit(True).alias("boilerplate"), on_host.alias("on_host"))
+    seeded = parsed.select("id", "seed", F.explode("words").alias("word"))
     lexicon = cut(
         seeded.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if("seed").alias("seeds"))
         .where((F.col("seeds") >= 2) & (F.col("seeds") >= lexicon_share * F.col("n"))).select("word", F.lit(True).alias("filler"))
     )
     fillers = seeded.join(_lender(lexicon, broadcast_limit)(lexicon), "word").groupBy("id").agg(F.count(F.lit(1)).alias("hits")).where("hits >= 5")
 
-    # whole texts are shuffled for suspects only: the pages with evidence, and those with filler words
-    wanted = cut(flagged.where("evidence and not placeholder").select("id").unionByName(fillers.join(placeholder, "id", "left_anti").select("id")).distinct())
+    # whole texts are read again for suspects only: the pages with evidence, and those with filler words
+    wanted = cut(parsed.where("evidence").select("id").unionByName(fillers.select("id")).distinct().join(placeholder, "id", "left_anti"))
     found = docs.join(_lender(wanted, broadcast_limit)(wanted), "id", "left_semi").dropDuplicates(["id"])
     suspects = found.select("id", "host", segments.alias("segments"), repeated.alias("repeated"))
     parts = suspects.select("id", "host", "repeated", F.posexplode("segments").alias("pos", "segment")).select(
-        "id", "host", "repeated", "pos", _key(F.col("segment")).alias("key"), F.col("segment").rlike(_EVIDENCE).alias("evidence"),
-        F.col("segment").rlike(_any(FURNITURE)).alias("furniture"), _words(F.col("segment")).alias("words"),
+        "id", "host", "repeated", "pos", F.xxhash64(_key(F.col("segment"))).alias("key"), F.col("segment").rlike(_EVIDENCE).alias("evidence"),
+        F.col("segment").rlike(_any(FURNITURE)).alias("furniture"), F.transform(_words(F.col("segment")), lambda w: F.xxhash64(w)).alias("words"),
     )
     labelled = parts.join(boilerplate, ["host", "key"], "left")
     counted = (
         labelled.select("*", F.explode_outer("words").alias("word")).join(lexicon, "word", "left")
         .groupBy("id", "pos").agg(
-            F.first("evidence").alias("evidence"), F.first("furniture").alias("furniture"), F.first("repeated").alias("repeated"),
+            (F.first("evidence") & ~F.coalesce(F.first("on_host"), F.lit(False))).alias("evidence"), F.first("furniture").alias("furniture"), F.first("repeated").alias("repeated"),
             F.coalesce(F.first("boilerplate"), F.lit(False)).alias("boilerplate"), F.count("word").alias("n"), F.count("filler").alias("fill"),
         )
     )
+    # what is left once the boilerplate is subtracted decides: evidence that stands on most pages of its host is none
     filler = (F.col("n") > 0) & (F.col("fill") >= 0.6 * F.col("n"))
     content = ~(F.col("evidence") | F.col("furniture") | F.col("boilerplate") | F.col("repeated") | filler) & (F.col("n") >= min_words)
     empty = counted.groupBy("id").agg(

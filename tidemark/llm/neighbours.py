@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from tidemark.session import cut
+from tidemark.session import cut, drop_stored, store
 
 #: Cells hold about so many nodes; one of more than four times as many is split by hyperplanes.
 CELL = 1024
@@ -36,9 +36,9 @@ SAMPLE = 20_000
 CENTRES = 2_048
 SKETCH = 128
 #: Neighbours kept a node while the graph is built.
-LIST = 16
-NEAR = "array<struct<b:bigint,sim:double,fresh:boolean,cells:array<bigint>>>"
-_NEAR = pa.list_(pa.struct([("b", pa.int64()), ("sim", pa.float64()), ("fresh", pa.bool_()), ("cells", pa.list_(pa.int64()))]))
+LIST = 12
+#: Both cells of a node as one number: the first 31 bits up, the second (the first again where there is none) below.
+_SHIFT, _LOW = 31, 2**31 - 1
 
 
 def projection(dims: int) -> np.ndarray:
@@ -117,10 +117,9 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.concatenate([(x[i:i + 4096] @ centres.T - half).argmax(axis=1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
 
 
-def _placer(centres: np.ndarray, bits: np.ndarray | None, border: float, moved: dict[int, int] | None = None):
+def _placer(centres: np.ndarray, bits: np.ndarray | None, border: float, number: dict[int, int] | None = None):
     """A UDF from sketch to one or two cells: a centre and as many hyperplane signs as its cell needs.
-    ``moved`` sends cells of too few nodes to another one of their centre."""
-    moved = moved or {}
+    ``number`` gives cells the numbers 0, 1, ...; those of too few nodes have the number of another one of their centre."""
 
     def place(sketches: pd.Series) -> pd.Series:
         if not len(sketches):
@@ -144,25 +143,25 @@ def _placer(centres: np.ndarray, bits: np.ndarray | None, border: float, moved:
                     picked = [(c << 32) | (int((((part[i] - centres[c]) @ planes[:, : bits[c]] > 0).astype(np.int64) << np.arange(bits[c])).sum()) if bits[c] else 0) for c in picked]
                 else:
                     picked = [c << 32 for c in picked]
-                cells.append([moved.get(c, c) for c in picked])
+                cells.append(picked if number is None else sorted({number[c]: None for c in picked}, key=[number[c] for c in picked].index))
         return pd.Series(cells)
 
     return F.pandas_udf(place, ArrayType(LongType()))
 
 
 class _Cell:
-    """The nodes of one cell as arrays: ids, positions, codes as numbers, squares of lengths, cells of each."""
+    """The nodes of one cell as arrays: ids, codes as numbers, squares of lengths, projections, both cells of each."""
 
     def __init__(self, nodes: pa.Table, dims: int):
         order = np.argsort(nodes["id"].to_numpy(), kind="stable")  # the same whatever order rows come in
         nodes = nodes.take(pa.array(order))
-        self.dims, self.ids = dims, nodes["id"].to_numpy()
-        self.codes, self.sketches, self.cells = nodes["code"].to_pylist(), nodes["sketch"].to_pylist(), nodes["cells"].to_pylist()
-        self.at = {int(v): i for i, v in enumerate(self.ids)}
+        self.dims, self.ids, self.home = dims, nodes["id"].to_numpy(), nodes["home"].to_numpy()
+        self.codes = nodes["code"].to_pylist()
         x = read_codes(self.codes, dims)
         self.squares = np.einsum("ij,ij->i", x, x, dtype=np.float64)
         # whole numbers whose sums stay under 2^24 are exact in single precision, in any order; others need double
         self.x = x if (self.squares < 2**24).all() else read_codes(self.codes, dims, np.float64)
+        self.sketch = _directions(nodes["sketch"].to_pylist())
 
     def cosines(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         out = np.empty(len(i))
@@ -172,29 +171,44 @@ class _Cell:
         return out
 
 
-def _lists(a: np.ndarray, b: np.ndarray, sim: np.ndarray, cells: list, schema: pa.Schema, keep: int, names: np.ndarray) -> pa.Table:
-    """One row (a, a_cells, near) a node: of the pairs (a, b) of positions, each once, the ``keep`` best, ties to the smaller id."""
-    if not len(a):
-        return schema.empty_table()
-    order = np.lexsort((names[b], -sim, a))
-    a, b, sim = a[order], b[order], sim[order]
-    same = np.concatenate(([False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])))
-    a, b, sim = a[~same], b[~same], sim[~same]
-    first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
-    rank = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
-    a, b, sim = a[rank < keep], b[rank < keep], sim[rank < keep]
-    first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
-    near = pa.StructArray.from_arrays(
-        [pa.array(names[b], pa.int64()), pa.array(sim), pa.array(np.ones(len(b), bool)), pa.array([cells[j] for j in b], pa.list_(pa.int64()))], ["b", "sim", "fresh", "cells"]
-    )
-    return pa.table([
-        pa.array(names[a[first]], pa.int64()), pa.array([cells[i] for i in a[first]], pa.list_(pa.int64())),
-        pa.ListArray.from_arrays(pa.array(np.append(first, len(a)), pa.int32()), near), pa.nulls(len(first), pa.list_(pa.int64())),
-    ], schema=schema)
+def _directions(sketches: list[bytes]) -> np.ndarray:
+    x = np.frombuffer(b"".join(sketches), np.int8).reshape(-1, SKETCH).astype(np.float32)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
+_OUT = pa.schema([
+    ("a", pa.int64()), ("own", pa.int64()), ("b", pa.list_(pa.int64())), ("sim", pa.list_(pa.float64())), ("fresh", pa.list_(pa.bool_())),
+    ("home", pa.list_(pa.int64())), ("far", pa.list_(pa.int64())),
+])
+_OUT_DDL = "a long, own long, b array<long>, sim array<double>, fresh array<boolean>, home array<long>, far array<long>"
 
 
-_OUT = pa.schema([("a", pa.int64()), ("a_cells", pa.list_(pa.int64())), ("near", _NEAR), ("far", pa.list_(pa.int64()))])
-_OUT_DDL = f"a long, a_cells array<long>, near {NEAR}, far array<long>"
+def _firsts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0))))
+
+
+def _ranks(a: np.ndarray) -> np.ndarray:
+    """0, 1, 2, ... within each run of equal values."""
+    first = _firsts(a)
+    return np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
+
+
+def _lists(a: np.ndarray, b: np.ndarray, sim: np.ndarray, fresh: np.ndarray, home: np.ndarray, keep: int, names: np.ndarray) -> pa.Table:
+    """One row a node: of the pairs (a, b) of positions, each once and old rather than new, the ``keep`` best, ties to the smaller id."""
+    order = np.lexsort((fresh, names[b], -sim, a))
+    first = order[_firsts(a[order], b[order])]
+    first = first[_ranks(a[first]) < keep]
+    a, b = a[first], b[first]
+    edge = _firsts(a)
+    offsets = pa.array(np.append(edge, len(a)), pa.int32())
+    column = lambda values, kind: pa.ListArray.from_arrays(offsets, pa.array(values, kind))
+    return pa.table([
+        pa.array(names[a[edge]], pa.int64()), pa.array(home[a[edge]], pa.int64()), column(names[b], pa.int64()), column(sim[first], pa.float64()),
+        column(fresh[first], pa.bool_()), column(home[b], pa.int64()), pa.nulls(len(edge), pa.list_(pa.int64())),
+    ], schema=_OUT)
 
 
 def _start_cell(dims: int, keep: int):
@@ -210,17 +224,17 @@ def _start_cell(dims: int, keep: int):
         drawn = rng.integers(0, n - 1, (n, keep + 2)) if n > 2 * keep else np.tile(np.arange(n - 1), (n, 1))
         a = np.repeat(np.arange(n), drawn.shape[1])
         b = drawn.ravel() + (drawn.ravel() >= a)
-        return _lists(a, b, cell.cosines(a, b), cell.cells, _OUT, keep, cell.ids)
+        return _lists(a, b, cell.cosines(a, b), np.ones(len(a), bool), cell.home, keep, cell.ids)
 
     return run
 
 
-def _join_cell(dims: int, keep: int, margin: float, ship: bool):
+def _join_cell(dims: int, k: int, keep: int, margin: float, ship: bool):
     """One round in one cell: pairs of neighbours of its nodes, and the pairs sent here to be compared.
 
-    Rows come in four kinds: 0 a node with its neighbours of either direction and what its list ends
-    with, 1 the projection of a neighbour that lies elsewhere, 2 a pair to compare, 3 a code for it.
-    Returns better neighbours by node, and as ``far`` the pairs without a common cell that may matter.
+    Rows come in four kinds: 0 the list of a node of the cell or of one that links here, 1 the projection
+    of a node that lies elsewhere, 2 a pair to compare, 3 a code for it. Returns the lists of the cell's
+    nodes with what is better, and as ``far`` of a node those it shares no cell with that may matter.
     """
 
     def run(nodes: pa.Table, rows: pa.Table) -> pa.Table:
@@ -229,82 +243,105 @@ def _join_cell(dims: int, keep: int, margin: float, ship: bool):
         cell = _Cell(nodes, dims)
         m = len(cell.ids)
         kind = rows["kind"].to_numpy()
-        part = lambda k: rows.filter(pa.array(kind == k))
-        own, other = part(0), part(1)
-        other = other.take(pa.array(np.argsort(other["a"].to_numpy(), kind="stable")))
-        names = np.concatenate([cell.ids, other["a"].to_numpy()])
-        at = {int(v): i for i, v in enumerate(names)}
-        cells = cell.cells + other["cells"].to_pylist()
+        part = lambda c: rows.filter(pa.array(kind == c)).combine_chunks()
+        lists, away, pairs, codes = (part(c) for c in range(4))
+        flat = lambda table, c: table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        count = lists["b"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+        owner, target, sims = np.repeat(lists["a"].to_numpy(), count), flat(lists, "b"), flat(lists, "sim")
+        fresh, homes = flat(lists, "fresh").astype(bool), flat(lists, "home")
+
+        # positions: the cell's own nodes first, then all others that occur
+        seen = np.concatenate([lists["a"].to_numpy(), target, away["a"].to_numpy(), codes["a"].to_numpy()])
+        where = np.concatenate([lists["own"].to_numpy(), homes, away["own"].to_numpy(), codes["own"].to_numpy()])
+        others, at = np.unique(seen, return_index=True)
+        strange = ~np.isin(others, cell.ids)
+        names, home = np.concatenate([cell.ids, others[strange]]), np.concatenate([cell.home, where[at][strange]])
+        order = np.argsort(names, kind="stable")
+        spot = lambda ids: order[np.searchsorted(names, ids, sorter=order)]
+
         ends = np.full((2, len(names)), -2.0)  # what the k-list and the whole list end with
-        for k, t in ((0, own), (1, other)):
-            spots = np.array([at[v] for v in t["a"].to_pylist()], np.int64)
-            known = spots < m if k == 0 else spots >= m
-            ends[0, spots[known]] = t["worst_k"].to_numpy()[known]
-            ends[1, spots[known]] = t["worst_l"].to_numpy()[known]
-        sketch = np.frombuffer(b"".join(cell.sketches + other["sketch"].to_pylist()), np.int8).reshape(-1, SKETCH).astype(np.float32)
-        sketch /= np.maximum(np.linalg.norm(sketch, axis=1, keepdims=True), 1e-9)
-        where = np.full((len(names), 2), -1, np.int64)
-        for i, c in enumerate(cells):
-            where[i, : len(c)] = c[:2]
-        where[where[:, 1] < 0, 1] = -2 - np.flatnonzero(where[:, 1] < 0)  # no second cell equals another's
-
-        xs, ys, sims, far = [], [], [], []
-        lists = own["near"].drop_null().to_pylist()  # a node without new neighbours has none
-        lists.sort(key=len)
+        rank = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        for row, size in ((0, k), (1, keep)):
+            last = rank == size - 1
+            ends[row, spot(owner[last])] = sims[last]
+        ends[0, spot(away["a"].to_numpy())] = away["worst"].to_numpy()
+
+        # neighbours of either direction of the cell's own nodes, the 2 x keep best of each
+        src, dst = spot(owner), spot(target)
+        centre, member = np.concatenate([src, dst]), np.concatenate([dst, src])
+        sim, new = np.concatenate([sims, sims]), np.concatenate([fresh, fresh])
+        mine = centre < m
+        centre, member, sim, new = centre[mine], member[mine], sim[mine], new[mine]
+        order_ = np.lexsort((names[member], -sim, centre))
+        centre, member, new = centre[order_], member[order_], new[order_]
+        first = _firsts(centre, member)
+        new = np.logical_or.reduceat(new, first) if len(first) else new
+        centre, member = centre[first], member[first]
+        rank = _ranks(centre)
+        near = rank < 2 * keep
+        centre, member, new, rank = centre[near], member[near], new[near], rank[near]
+        # only nodes with a new neighbour have pairs to compare
+        busy = np.unique(centre[new])
+        inside = np.isin(centre, busy)
+        centre, member, new, rank = np.searchsorted(busy, centre[inside]), member[inside], new[inside], rank[inside]
+        spots = np.full((len(busy), 2 * keep), -1, np.int64)
+        fresh_ = np.zeros((len(busy), 2 * keep), bool)
+        spots[centre, rank], fresh_[centre, rank] = member, new
+
+        sketch = None
+        if ship and len(away):
+            sketch = np.zeros((len(names), SKETCH), np.float32)
+            sketch[:m], sketch[spot(away["a"].to_numpy())] = cell.sketch, _directions(away["sketch"].to_pylist())
+            known = np.zeros(len(names), bool)
+            known[:m] = known[spot(away["a"].to_numpy())] = True
+        one, two = home >> _SHIFT, home & _LOW
+        xs, ys, cs, far = [], [], [], []
         step = max(1, 24_000_000 // (2 * keep * dims * cell.x.itemsize))
-        for lo in range(0, len(lists), step):
-            batch = lists[lo:lo + step]
-            width = len(batch[-1])
-            spot = np.full((len(batch), width), -1, np.int64)
-            fresh = np.zeros((len(batch), width), bool)
-            for r, t in enumerate(batch):
-                for c, e in enumerate(t):
-                    spot[r, c] = at.get(e["n"], -1)
-                    fresh[r, c] = e["fresh"]
-            here = (spot >= 0) & (spot < m)
-            safe = np.where(here, spot, 0)
-            x = cell.x[safe]
+        upper = np.triu(np.ones((2 * keep, 2 * keep), bool), 1)[None]
+        for lo in range(0, len(busy), step):
+            at, is_new = spots[lo:lo + step], fresh_[lo:lo + step]
+            here = (at >= 0) & (at < m)
+            x = cell.x[np.where(here, at, 0)]
             dots = np.matmul(x, x.transpose(0, 2, 1)).astype(np.float64)
-            some = (fresh[:, :, None] | fresh[:, None, :]) & np.triu(np.ones((width, width), bool), 1)[None]
+            some = (is_new[:, :, None] | is_new[:, None, :]) & upper
             r, i, j = np.nonzero(some & here[:, :, None] & here[:, None, :])
-            a, b = spot[r, i], spot[r, j]
-            sim = dots[r, i, j] / np.sqrt(cell.squares[a] * cell.squares[b])
-            good = (sim > ends[1, a]) | (sim > ends[1, b])
-            xs.append(a[good]), ys.append(b[good]), sims.append(sim[good])
-            if ship and len(names) > m:
-                both = (spot >= 0)[:, :, None] & (spot >= 0)[:, None, :] & ~(here[:, :, None] & here[:, None, :])
-                r, i, j = np.nonzero(some & both)
-                a, b = spot[r, i], spot[r, j]
-                apart = (where[a][:, :, None] != where[b][:, None, :]).all(axis=(1, 2))
+            a, b = at[r, i], at[r, j]
+            c = dots[r, i, j] / np.sqrt(cell.squares[a] * cell.squares[b])
+            good = (c > ends[1, a]) | (c > ends[1, b])
+            xs.append(a[good]), ys.append(b[good]), cs.append(c[good])
+            if sketch is not None:
+                there = at >= 0
+                r, i, j = np.nonzero(some & there[:, :, None] & there[:, None, :] & ~(here[:, :, None] & here[:, None, :]))
+                a, b = at[r, i], at[r, j]
+                apart = known[a] & known[b] & (one[a] != one[b]) & (one[a] != two[b]) & (two[a] != one[b]) & (two[a] != two[b])
                 a, b = a[apart], b[apart]
                 likely = np.einsum("ij,ij->i", sketch[a], sketch[b]) >= np.minimum(ends[0, a], ends[0, b]) - margin
                 far.append(np.stack([np.minimum(names[a[likely]], names[b[likely]]), np.maximum(names[a[likely]], names[b[likely]])], axis=1))
-        pairs, codes = part(2), part(3)
         if pairs.num_rows:
-            sent = dict(zip(codes["a"].to_pylist(), zip(codes["code"].to_pylist(), codes["cells"].to_pylist())))
-            left = np.array([cell.at.get(v, -1) for v in pairs["a"].to_pylist()], np.int64)
-            right = pairs["b"].to_pylist()
-            extra = {v: len(names) + i for i, v in enumerate(sorted({v for v in right if v in sent}))}
-            names = np.concatenate([names, np.array(list(extra), np.int64)])
-            cells = cells + [sent[v][1] for v in extra]
-            ends = np.concatenate([ends, np.full((2, len(extra)), -2.0)], axis=1)
-            good = [r for r in range(len(right)) if left[r] >= 0 and right[r] in sent]
-            for lo in range(0, len(good), 1000):
-                some = good[lo:lo + 1000]
-                sims.append(exact_cosine([cell.codes[left[r]] for r in some], [sent[right[r]][0] for r in some], dims))
-                xs.append(left[some])
-                ys.append(np.array([extra[right[r]] for r in some], np.int64))
-        out = []
-        if xs:
-            a, b, sim = np.concatenate(xs), np.concatenate(ys), np.concatenate(sims)
-            a, b, sim = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([sim, sim])
-            good = sim > ends[1, a]
-            out.append(_lists(a[good], b[good], sim[good], cells, _OUT, keep, names))
+            sent = dict(zip(codes["a"].to_pylist(), codes["code"].to_pylist()))
+            left, right = pairs["a"].to_numpy(), pairs["other"].to_numpy()
+            some = np.isin(left, cell.ids) & np.isin(right, codes["a"].to_numpy())
+            left, right = spot(left[some]), spot(right[some])
+            for lo in range(0, len(left), 1000):
+                i, j = left[lo:lo + 1000], right[lo:lo + 1000]
+                xs.append(i), ys.append(j), cs.append(exact_cosine([cell.codes[v] for v in i], [sent[int(names[v])] for v in j], dims))
+        # the lists as they were, old by now, and what is better than their end
+        a, b, c = (np.concatenate(v) if v else np.zeros(0, t) for v, t in ((xs, np.int64), (ys, np.int64), (cs, np.float64)))
+        a, b, c = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([c, c])
+        good = c > ends[1, a]
+        old = src < m
+        a, b, c = np.concatenate([src[old], a[good]]), np.concatenate([dst[old], b[good]]), np.concatenate([sims[old], c[good]])
+        out = [_lists(a, b, c, np.arange(len(a)) >= old.sum(), home, keep, names)]
         if far and sum(map(len, far)):
             apart = np.unique(np.concatenate(far), axis=0)
-            n = len(apart)
-            out.append(pa.table([pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, _NEAR), pa.array(apart.tolist(), pa.list_(pa.int64()))], schema=_OUT))
-        return pa.concat_tables(out) if out else _OUT.empty_table()
+            edge = _firsts(apart[:, 0])
+            n = len(edge)
+            empty = lambda t: pa.array([[]] * n, pa.list_(t))
+            out.append(pa.table([
+                pa.array(apart[edge, 0]), pa.array(home[spot(apart[edge, 0])]), empty(pa.int64()), empty(pa.float64()), empty(pa.bool_()), empty(pa.int64()),
+                pa.ListArray.from_arrays(pa.array(np.append(edge, len(apart)), pa.int32()), pa.array(apart[:, 1])),
+            ], schema=_OUT))
+        return pa.concat_tables(out)
 
     return run
 
@@ -316,38 +353,32 @@ def _check_cell(dims: int, keep: int, margin: float):
         if nodes.num_rows < 2:
             return _OUT.empty_table()
         cell = _Cell(nodes, dims)
-        end, listed = np.full(len(cell.ids), -2.0), set()
-        for a, worst, near in zip(*(rows[c].to_pylist() for c in ("a", "worst", "near"))):
-            end[cell.at[a]] = worst
-            listed.update((cell.at[a], cell.at[b]) for b in near if b in cell.at)
-        x = np.frombuffer(b"".join(cell.sketches), np.int8).reshape(-1, SKETCH).astype(np.float32)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        n = len(cell.ids)
+        end, listed = np.full(n, -2.0), [np.zeros(0, np.int64)]
+        for a, worst, near in zip(*(rows[c].to_pylist() for c in ("a", "worst", "b"))):
+            at = np.searchsorted(cell.ids, a)
+            end[at] = worst
+            near = np.array(near, np.int64)
+            listed.append(at * n + np.searchsorted(cell.ids, near[np.isin(near, cell.ids)]))
+        listed = np.concatenate(listed)
         parts = []
-        for lo in range(0, len(x), 512):
-            i, j = np.nonzero(x[lo:lo + 512] @ x.T >= np.minimum(end[lo:lo + 512, None], end[None]) - margin)
+        for lo in range(0, n, 512):
+            i, j = np.nonzero(cell.sketch[lo:lo + 512] @ cell.sketch.T >= np.minimum(end[lo:lo + 512, None], end[None]) - margin)
             parts.append(np.stack([i + lo, j])[:, j > i + lo])
         i, j = np.concatenate(parts, axis=1)
-        new = np.array([(a, b) not in listed or (b, a) not in listed for a, b in zip(i.tolist(), j.tolist())], bool)
+        new = ~(np.isin(i * n + j, listed) & np.isin(j * n + i, listed))
         i, j = i[new], j[new]
-        sim = cell.cosines(i, j)
-        a, b, sim = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([sim, sim])
-        good = sim >= end[a]
-        return _lists(a[good], b[good], sim[good], cell.cells, _OUT, keep, cell.ids)
+        c = cell.cosines(i, j)
+        a, b, c = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([c, c])
+        good = (c >= end[a]) & ~np.isin(a * n + b, listed)
+        return _lists(a[good], b[good], c[good], np.ones(good.sum(), bool), cell.home, keep, cell.ids)
 
     return run
 
 
-def _trim(near, keep: int):
-    """The ``keep`` best of a list, ties to the smaller id, each once."""
-    keyed = F.array_distinct(F.transform(near, lambda s: F.struct((-s["sim"]).alias("far"), s["b"].alias("b"), s["fresh"].alias("fresh"), s["cells"].alias("cells"))))
-    return F.transform(
-        F.slice(F.array_sort(keyed), 1, keep), lambda s: F.struct(s["b"].alias("b"), (-s["far"]).alias("sim"), s["fresh"].alias("fresh"), s["cells"].alias("cells"))
-    )
-
-
 class Graph:
-    """near(a, a_cells, near), light(node, sketch, cells), groups(node, hash, ids, copies), members(id, hash),
-    nodes(cell, id, code, sketch, cells: a row for each cell of a node) and how it was built:
+    """near(a, own, b, sim, fresh, home), light(node, hash, sketch, cells), groups(node, hash, ids, copies), members(id, hash),
+    nodes(cell, id, code, sketch, home: a row for each cell of a node) and how it was built:
     rounds holds (pairs compared across cells, entries of k-lists changed) of each, the check last."""
 
     def __init__(self, near, light, groups, members, nodes, dims: int, rounds: list[tuple[int, int]]):
@@ -355,7 +386,11 @@ class Graph:
 
     def codes(self) -> DataFrame:
         """(id, code) of every node once."""
-        return self.nodes.where(F.col("cell") == F.col("cells")[0]).select("id", "code")
+        return self.nodes.where(_first_cell(F.col("home")) == F.col("cell")).select("id", "code")
+
+    def links(self) -> DataFrame:
+        """(a, b, sim): one row a link, best first within a node."""
+        return self.near.select("a", F.explode(F.arrays_zip("b", "sim")).alias("s")).select("a", F.col("s.b").alias("b"), F.col("s.sim").alias("sim"))
 
 
 def build_graph(
@@ -369,7 +404,7 @@ def build_graph(
     out, for measurements. An empty input gives empty tables.
     """
     encoded = encode_vectors(vectors, id_col, vector_col, dims)
-    members = cut(encoded.select("id", "hash", "sketch"))
+    members = store(encoded.select("id", "hash", "sketch"))
     part = F.pmod(F.xxhash64("id"), F.lit(32))
     some = members.groupBy("hash", part.alias("part")).agg(
         F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"), F.count_distinct("id").alias("copies"), F.first("sketch").alias("sketch")
@@ -377,7 +412,7 @@ def build_graph(
     groups = some.groupBy("hash").agg(
         F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"), F.sum("copies").alias("copies"), F.first("sketch").alias("sketch")
     )
-    groups = cut(groups.select(F.col("ids")[0].alias("node"), "hash", "ids", "copies", "sketch"))
+    groups = store(groups.select(F.col("ids")[0].alias("node"), "hash", "ids", "copies", "sketch"))
     total = groups.count()
     count = max(1, min(CENTRES, total // cell))
     sample = groups.select("sketch")
@@ -399,50 +434,46 @@ def build_graph(
     if bits.any():
         placer = _placer(centres, bits, border)
         sizes = counts()  # one row for every few thousand nodes
-        largest: dict[int, int] = {}
-        for at, n in sizes.items():
-            if n > sizes.get(largest.get(at >> 32, -1), 0):
-                largest[at >> 32] = at
-        placer = _placer(centres, bits, border, {at: largest[at >> 32] for at, n in sizes.items() if n < LEAST})
-    light = cut(groups.select("node", "hash", "sketch", F.array_distinct(placer("sketch")).alias("cells")))
+    largest: dict[int, int] = {}
+    for at in sorted(sizes):
+        if sizes[at] > sizes.get(largest.get(at >> 32, -1), 0):
+            largest[at >> 32] = at
+    kept = {at: i for i, at in enumerate(at for at in sorted(sizes) if sizes[at] >= LEAST or largest[at >> 32] == at)}
+    placer = _placer(centres, bits, border, {at: kept.get(at, kept[largest[at >> 32]]) for at in sizes})
+    light = store(groups.select("node", "hash", "sketch", placer("sketch").alias("cells")))
     # one row a node and cell, written once in order of cells: no round moves the codes again
     parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // 20_000))
-    once = light.select(F.col("node").alias("id"), "hash", "cells", F.explode("cells").alias("cell"))
-    nodes = cut(node_rows(encoded, once, total).select("cell", "id", "code", "sketch", "cells").repartition(parts, "cell").sortWithinPartitions("cell"))
-    home = light.select("node", F.col("cells")[0].alias("home"))
+    nodes = cut(node_rows(encoded, light, total).repartition(parts, "cell").dropDuplicates(["cell", "id"]).sortWithinPartitions("cell"))
 
-    start = nodes.groupBy("cell").applyInArrow(_start_cell(dims, keep), _OUT_DDL)
-    near = cut(start.groupBy("a").agg(F.first("a_cells").alias("a_cells"), F.flatten(F.collect_list("near")).alias("near")).select("a", "a_cells", _trim(F.col("near"), keep).alias("near")))
+    near = _merged(nodes.groupBy("cell").applyInArrow(_start_cell(dims, keep), _OUT_DDL), keep)
     log: list[tuple[int, int]] = []
-    waiting: DataFrame | None = None
+    sent = 0
     while rounds is None or len(log) < rounds:
-        rows = _round_rows(near, light, nodes, home, waiting, k, keep)
+        rows = _round_rows(near, light, nodes, sent, k)
         # the first lists are random: pairs across cells are looked at once they tell something
-        worked = cut(nodes.groupBy("cell").cogroup(rows.groupBy("cell")).applyInArrow(_join_cell(dims, keep, margin, bool(log)), _OUT_DDL))
-        near, changed = _merge(near, worked, k, keep)
-        sent = 0
-        if log:
-            waiting = worked.where("far is not null").select(F.col("far")[0].alias("x"), F.col("far")[1].alias("y")).distinct()
-            waiting = cut(waiting)
-            sent = waiting.count()
+        worked = nodes.groupBy("cell").cogroup(rows.groupBy("cell")).applyInArrow(_join_cell(dims, k, keep, margin, bool(log)), _OUT_DDL)
+        last, near = near, _merged(worked, keep)
+        drop_stored(last)
+        changed, sent = _news(near, k)
         log.append((sent, changed))
-        if len(log) > 1 and changed < max(1, least * k * total) and sent < max(1, least * k * total):
+        if len(log) > 1 and changed + sent < max(1, least * k * total):
             break
     if check:
-        lists = near.select(F.explode("a_cells").alias("cell"), "a", F.coalesce(F.get("near", F.lit(k - 1))["sim"], F.lit(-2.0)).alias("worst"), F.col("near.b").alias("near"))
-        near, changed = _merge(near, nodes.groupBy("cell").cogroup(lists.groupBy("cell")).applyInArrow(_check_cell(dims, keep, margin), _OUT_DDL), k, keep)
-        log.append((0, changed))
+        lists = near.select(F.explode(_cells(F.col("own"))).alias("cell"), "a", F.coalesce(F.get("sim", F.lit(k - 1)), F.lit(-2.0)).alias("worst"), "b")
+        found = nodes.groupBy("cell").cogroup(lists.groupBy("cell")).applyInArrow(_check_cell(dims, keep, margin), _OUT_DDL)
+        aged = near.withColumn("fresh", F.transform("b", lambda _: F.lit(False))).withColumn("far", F.lit(None).cast("array<bigint>"))
+        near = _merged(aged.unionByName(found), keep)
+        log.append((0, _news(near, k)[0]))
     return Graph(near, light, groups, members, nodes, dims, log)
 
 
-def _merge(near: DataFrame, worked: DataFrame, k: int, keep: int) -> tuple[DataFrame, int]:
-    """The lists with the new entries of a round, which are marked fresh, and how many of them the k-lists got."""
-    new = worked.where("a is not null").groupBy("a").agg(F.first("a_cells").alias("new_cells"), F.flatten(F.collect_list("near")).alias("new"))
-    none = F.array().cast(NEAR)
-    aged = F.transform(F.coalesce("near", none), lambda s: F.struct(s["b"].alias("b"), s["sim"].alias("sim"), F.lit(False).alias("fresh"), s["cells"].alias("cells")))
-    better = F.filter(F.coalesce("new", none), lambda s: ~F.exists(F.coalesce("near", none), lambda t: t["b"] == s["b"]))
-    near = cut(near.join(new, "a", "full").select("a", F.coalesce("a_cells", "new_cells").alias("a_cells"), _trim(F.concat(aged, better), keep).alias("near")))
-    return near, near.select(F.sum(F.size(F.filter(F.slice("near", 1, k), lambda s: s["fresh"])))).first()[0] or 0
+def _first_cell(home):
+    return F.shiftright(home, _SHIFT)
+
+
+def _cells(home):
+    """The one or two cells of a node."""
+    return F.array_distinct(F.array(_first_cell(home), home.bitwiseAND(F.lit(_LOW))))
 
 
 def _lend(df: DataFrame, count: int, limit: int) -> DataFrame:
@@ -450,60 +481,53 @@ def _lend(df: DataFrame, count: int, limit: int) -> DataFrame:
     return F.broadcast(df) if count <= limit else df
 
 
-def node_rows(encoded: DataFrame, once: DataFrame, count: int, broadcast_limit: int = 200_000) -> DataFrame:
-    """The code of each node with its cells, so copies never reach a cell. ``once``: id, hash, cells, cell.
-    The rows of ``once`` are broadcast while there are at most ``broadcast_limit`` nodes, and joined beyond that."""
-    found = encoded.join(_lend(once, count, broadcast_limit), ["id", "hash"])
-    return found.dropDuplicates(["cell", "id"])
+def _merged(worked: DataFrame, keep: int) -> DataFrame:
+    """One row a node of what the cells return: each neighbour once, old rather than new, the ``keep`` best, ties to the smaller id."""
+    entries = F.transform(F.arrays_zip("b", "sim", "fresh", "home"), lambda s: F.struct((-s["sim"]).alias("far"), s["b"].alias("b"), s["fresh"].alias("fresh"), s["home"].alias("home")))
+    whole = worked.groupBy("a").agg(F.first("own").alias("own"), F.array_sort(F.flatten(F.collect_list(entries))).alias("s"), F.array_distinct(F.flatten(F.collect_list("far"))).alias("far"))
+    best = F.slice(F.filter("s", lambda s, i: (i == 0) | (F.get("s", i - 1)["b"] != s["b"])), 1, keep)
+    rows = whole.withColumn("s", best)
+    return store(rows.select(
+        "a", "own", F.col("s.b").alias("b"), F.transform("s.far", lambda v: -v).alias("sim"), F.col("s.fresh").alias("fresh"), F.col("s.home").alias("home"), "far"
+    ))
 
 
-def _round_rows(near: DataFrame, light: DataFrame, nodes: DataFrame, home: DataFrame, waiting: DataFrame | None, k: int, keep: int, broadcast_limit: int = 200_000) -> DataFrame:
-    """What a round needs in each cell, in the four kinds of ``_join_cell``.
+def _news(near: DataFrame, k: int) -> tuple[int, int]:
+    """(new entries of the k-lists, pairs without a common cell that wait)."""
+    new = F.size(F.filter(F.slice("fresh", 1, k), lambda f: f))
+    row = near.select(F.sum(new).alias("new"), F.sum(F.coalesce(F.array_size("far"), F.lit(0))).alias("far")).first()
+    return row["new"] or 0, row["far"] or 0
 
-    A node looks at its 2 x ``keep`` best neighbours of either direction, so one of high degree stays small here.
-    """
-    links = near.select("a", "a_cells", F.explode("near").alias("s")).select(
-        "a", "a_cells", F.col("s.b").alias("b"), F.col("s.sim").alias("sim"), F.col("s.fresh").alias("fresh"), F.col("s.cells").alias("b_cells")
-    )
-    both = links.select(F.col("a").alias("centre"), F.col("a_cells").alias("cells"), F.col("b").alias("n"), F.col("b_cells").alias("n_cells"), "sim", "fresh").unionByName(
-        links.select(F.col("b").alias("centre"), F.col("b_cells").alias("cells"), F.col("a").alias("n"), F.col("a_cells").alias("n_cells"), "sim", "fresh")
-    )
-    rank = F.row_number().over(Window.partitionBy("centre").orderBy(F.desc("sim"), "n", "fresh"))
-    around = both.withColumn("rank", rank).where(F.col("rank") <= 2 * keep).groupBy("centre").agg(
-        F.first("cells").alias("cells"), F.collect_set(F.struct("n", "fresh", F.col("n_cells").alias("cells"))).alias("near")
-    )
-    # a pair linked both ways is new if either link is
-    once = F.filter("near", lambda e: e["fresh"] | ~F.exists("near", lambda o: (o["n"] == e["n"]) & o["fresh"]))
-    end = lambda i: F.coalesce(F.get("near", F.lit(i))["sim"], F.lit(-2.0))
-    ends = near.select(F.col("a").alias("centre"), end(k - 1).alias("worst_k"), end(keep - 1).alias("worst_l"))
-    full = around.select("centre", "cells", once.alias("near")).join(ends, "centre", "left")
-    placed = full.select(F.explode("cells").alias("cell"), "*")
+
+def node_rows(encoded: DataFrame, light: DataFrame, count: int, broadcast_limit: int = 200_000) -> DataFrame:
+    """(cell, id, code, sketch, home): the code of each node once a cell, so copies never reach one; rows delivered
+    twice still come twice. ``light`` is broadcast while there are at most ``broadcast_limit`` nodes, and joined beyond that."""
+    pair = F.shiftleft(F.col("cells")[0], _SHIFT) + F.element_at("cells", -1)
+    once = light.select(F.col("node").alias("id"), "hash", pair.alias("home"), F.explode("cells").alias("cell"))
+    return encoded.join(_lend(once, count, broadcast_limit), ["id", "hash"]).select("cell", "id", "code", "sketch", "home")
+
+
+def _round_rows(near: DataFrame, light: DataFrame, nodes: DataFrame, sent: int, k: int, broadcast_limit: int = 200_000) -> DataFrame:
+    """What a round needs in each cell, in the four kinds of ``_join_cell``: lists go to the cells of their node
+    and to the first cell of every neighbour."""
     nothing = lambda name, kind: F.lit(None).cast(kind).alias(name)
-    listed = F.transform(F.when(F.exists("near", lambda e: e["fresh"]), F.col("near")), lambda e: F.struct(e["n"].alias("n"), e["fresh"].alias("fresh")))
-    rows = placed.select(
-        "cell", F.lit(0).alias("kind"), F.col("centre").alias("a"), nothing("b", "long"), F.coalesce("worst_k", F.lit(-2.0)).alias("worst_k"), F.coalesce("worst_l", F.lit(-2.0)).alias("worst_l"),
-        listed.alias("near"), nothing("sketch", "binary"), nothing("code", "binary"), nothing("cells", "array<bigint>"),
-    )
-    away = placed.where(F.exists("near", lambda e: e["fresh"])).select("cell", F.explode(F.filter("near", lambda e: ~F.array_contains(e["cells"], F.col("cell")))).alias("e")).select("cell", F.col("e.n").alias("node")).distinct()
-    known = light.join(ends.withColumnRenamed("centre", "node"), "node", "left")
-    rows = rows.unionByName(away.join(known, "node").select(
-        "cell", F.lit(1).alias("kind"), F.col("node").alias("a"), nothing("b", "long"), F.coalesce("worst_k", F.lit(-2.0)).alias("worst_k"), F.coalesce("worst_l", F.lit(-2.0)).alias("worst_l"),
-        nothing("near", "array<struct<n:bigint,fresh:boolean>>"), "sketch", nothing("code", "binary"), "cells",
-    ))
-    if waiting is None:
+    columns = {"a": "long", "own": "long", "b": "array<long>", "sim": "array<double>", "fresh": "array<boolean>", "home": "array<long>", "worst": "double", "sketch": "binary", "other": "long", "code": "binary"}
+    shape = lambda df, kind, *given: df.select("cell", F.lit(kind).alias("kind"), *(F.col(c) if c in given else nothing(c, t) for c, t in columns.items()))
+    targets = F.array_distinct(F.concat(_cells(F.col("own")), F.transform("home", _first_cell)))
+    placed = near.select(F.explode(targets).alias("cell"), "a", "own", "b", "sim", "fresh", "home")
+    rows = shape(placed, 0, "a", "own", "b", "sim", "fresh", "home")
+    both = F.concat(F.array(F.struct(F.col("a").alias("n"), F.col("own").alias("home"))), F.transform(F.arrays_zip("b", "home"), lambda s: F.struct(s["b"].alias("n"), s["home"].alias("home"))))
+    away = placed.select("cell", F.explode(F.filter(both, lambda e: ~F.array_contains(_cells(e["home"]), F.col("cell")))).alias("e")).select("cell", F.col("e.n").alias("node"), F.col("e.home").alias("own")).distinct()
+    worst = near.select(F.col("a").alias("node"), F.coalesce(F.get("sim", F.lit(k - 1)), F.lit(-2.0)).alias("worst"))
+    known = away.join(light.select("node", "sketch"), "node").join(worst, "node")
+    rows = rows.unionByName(shape(known.withColumnRenamed("node", "a"), 1, "a", "own", "worst", "sketch"))
+    if not sent:
         return rows
-    pairs = waiting.join(home.select(F.col("node").alias("x"), F.col("home").alias("cell")), "x")
-    rows = rows.unionByName(pairs.select(
-        "cell", F.lit(2).alias("kind"), F.col("x").alias("a"), F.col("y").alias("b"), nothing("worst_k", "double"), nothing("worst_l", "double"),
-        nothing("near", "array<struct<n:bigint,fresh:boolean>>"), nothing("sketch", "binary"), nothing("code", "binary"), nothing("cells", "array<bigint>"),
-    ))
-    wanted = pairs.select(F.col("cell").alias("to"), F.col("y").alias("id")).distinct()
-    count = wanted.count()
-    codes = nodes.where(F.col("cell") == F.col("cells")[0]).select("id", "code", "cells").join(_lend(wanted, count, broadcast_limit), "id")
-    return rows.unionByName(codes.select(
-        F.col("to").alias("cell"), F.lit(3).alias("kind"), F.col("id").alias("a"), nothing("b", "long"), nothing("worst_k", "double"), nothing("worst_l", "double"),
-        nothing("near", "array<struct<n:bigint,fresh:boolean>>"), nothing("sketch", "binary"), "code", "cells",
-    ))
+    pairs = near.where(F.array_size("far") > 0).select(_first_cell(F.col("own")).alias("cell"), "a", F.explode("far").alias("other"))
+    rows = rows.unionByName(shape(pairs, 2, "a", "other"))
+    wanted = pairs.select(F.col("cell").alias("to"), F.col("other").alias("id")).distinct()
+    codes = nodes.where(_first_cell(F.col("home")) == F.col("cell")).select("id", "code", F.col("home").alias("own")).join(_lend(wanted, sent, broadcast_limit), "id")
+    return rows.unionByName(shape(codes.select(F.col("to").alias("cell"), F.col("id").alias("a"), "own", "code"), 3, "a", "own", "code"))
 
 
 def nearest_ids(graph: Graph, k: int = 5, broadcast_limit: int = 100_000) -> DataFrame:
@@ -515,7 +539,7 @@ def nearest_ids(graph: Graph, k: int = 5, broadcast_limit: int = 100_000) -> Dat
     many = cut(graph.groups.where("copies > 1").select("node", "hash", "ids"))
     small = many.count() <= broadcast_limit
     lend = F.broadcast if small else (lambda df: df)
-    far = graph.near.select("a", F.explode(F.slice("near", 1, LIST)).alias("s")).select("a", F.col("s.b").alias("b"), (-F.col("s.sim")).alias("far"))
+    far = graph.links().select("a", "b", (-F.col("sim")).alias("far"))
     spelled = far.join(lend(many.select(F.col("node").alias("b"), F.col("ids").alias("b_ids"))), "b", "left").select(
         "a", "far", F.explode(F.coalesce("b_ids", F.array("b"))).alias("other")
     )
@@ -562,7 +586,7 @@ def greedy_search(graph: Graph, queries: DataFrame, k: int = 5, beam: int = 12,
     places = graph.light.select("node", "sketch", F.explode("cells").alias("cell"))
     asks = queries.select("q", F.col("sketch").alias("asked_sketch"), F.explode("cells").alias("asked_cell"))
     fresh = cut(places.groupBy("cell").cogroup(asks.groupBy("asked_cell")).applyInArrow(enter, "q long, node long").distinct())
-    links = graph.near.select("a", F.explode("near").alias("s")).select("a", F.col("s.b").alias("b"), F.col("s.sim").alias("sim"))
+    links = graph.links()
     best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("sim"), "a"))
     back = links.withColumn("r", best).where(F.col("r") <= LIST).select(F.col("b").alias("a"), F.col("a").alias("b"))
     around = cut(links.select("a", "b").unionByName(back).groupBy("a").agg(F.collect_set("b").alias("near")))

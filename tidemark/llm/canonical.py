@@ -62,14 +62,20 @@ def fingerprint_records(records: DataFrame, id_col: str, name_col: str, lines_co
         F.col(id_col).alias("id"), F.concat(F.array(F.col(name_col)), F.col(lines_col)).alias("fields")
     )
     composed = fields.select("id", _composed(F.col("fields")).alias("fields"))
-    keys = composed.select("id", F.transform("fields", canonical_text).alias("keys"))
+    keys = _once(composed, "id", F.transform("fields", canonical_text).alias("keys"))
     name = F.element_at("keys", 1)
     lines = F.array_sort(F.filter(F.slice("keys", 2, F.greatest(F.size("keys"), F.lit(1))), lambda k: k.isNotNull() & (k != "")))
-    usable = keys.select("id", name.alias("name"), lines.alias("lines")).where((F.col("name") != "") & (F.size("lines") > 0))
+    usable = _once(keys, "id", name.alias("name"), lines.alias("lines")).where((F.col("name") != "") & (F.size("lines") > 0))
     text = F.concat_ws("\n", F.array("name"), "lines")
     return usable.select("id", F.unhex(F.md5(text.cast("binary"))).alias("h1"), F.xxhash64(text).alias("h2"))
 
 
+def _once(df: DataFrame, key: str, *columns: Column) -> DataFrame:
+    """``df.select(key, *columns)`` whose columns are computed once a row: later filters and projections use
+    the result of a generator, below which the optimizer can neither push nor repeat the expressions."""
+    return df.select(key, F.inline(F.array(F.struct(*columns))))
+
+
 def collapse(prints: DataFrame) -> DataFrame:
     """(h1, h2, keep_id, copies): one row per distinct record with its smallest id and number of ids.
 

@@ -29,11 +29,17 @@ GREEK = "αβγικνορτυχωϲϳηΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ"
 GRK_LATIN = "abyikvoptuxwcjnABEZHIKMNOPTYXCJ"
 ARMENIAN = "աճհյոսցօՍՏՕ"
 ARM_LATIN = "wghjnugoUSO"
+CHEROKEE = "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏔᏙᏞᏟᏢᏦᏴ"
+CHR_LATIN = "DRTAJEWMHGZWVLCPKB"
+COPTIC = "ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲥⲣ"
+COP_LATIN = "HIKMNOPCTYXocp"
+LISU = "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ"
+LIS_LATIN = "BPDTGKJCZFMNLSRVHWXYAEIOU"
 #: Signs that stand for an ordinary one without a compatibility mapping of their own.
 SIGNS = {"⁄": "/", "∕": "/", "․": ".", "∶": ":", "꞉": ":", "∗": "*"}
 
 _TO_LATIN: dict[str, set[str]] = {}
-for _theirs, _ours in ((CYRILLIC, CYR_LATIN), (GREEK, GRK_LATIN), (ARMENIAN, ARM_LATIN)):
+for _theirs, _ours in ((CYRILLIC, CYR_LATIN), (GREEK, GRK_LATIN), (ARMENIAN, ARM_LATIN), (CHEROKEE, CHR_LATIN), (COPTIC, COP_LATIN), (LISU, LIS_LATIN)):
     for _a, _b in zip(_theirs, _ours, strict=True):
         _TO_LATIN.setdefault(_a, set()).add(_b)
 _FROM_LATIN: dict[str, set[str]] = {}
@@ -42,7 +48,7 @@ for _a, _bs in _TO_LATIN.items():
         _FROM_LATIN.setdefault(_b, set()).add(_a)
 
 ALPHABETS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN")
-_MIXABLE = {*ALPHABETS, "COPTIC", "CHEROKEE", "LISU", "OSAGE", "DESERET"}
+_MIXABLE = {*ALPHABETS, "COPTIC", "CHEROKEE", "LISU"}
 _EAST_ASIAN = {"CJK", "HIRAGANA", "KATAKANA", "HANGUL", "BOPOMOFO", "KATAKANA-HIRAGANA", "IDEOGRAPHIC"}
 _JOINING = {
     "ARABIC", "SYRIAC", "MONGOLIAN", "DEVANAGARI", "BENGALI", "GURMUKHI", "GUJARATI", "ORIYA", "TAMIL", "TELUGU",
@@ -186,8 +192,10 @@ def normalise(text: str, speller: Speller) -> tuple[str, bool]:
         scripts = {script(c) for c in w} & _MIXABLE
         if len(scripts) < 2:
             return w
-        changed = True
-        return speller.best(w)
+        # only what the search spells otherwise stands for another letter
+        best = speller.best(w)
+        changed = changed or best != w
+        return best
 
     return _WORD.sub(word, text), changed
 

@@ -40,7 +40,7 @@ def normalise_links(df: DataFrame) -> DataFrame:
     return joined.select("src", "owner", "node_id", F.col("k_id").alias("parent_id"))
 
 
-def resolve_hierarchy(links: DataFrame, with_path: bool = False) -> DataFrame:
+def resolve_hierarchy(links: DataFrame, with_path: bool = False, broadcast_limit: int = 200_000) -> DataFrame:
     """Root, depth and (with ``with_path``) the ids from the root down to each node.
 
     Input: the output of :func:`normalise_links`. Output: src, owner, node_id, root_id, depth,
@@ -50,8 +50,11 @@ def resolve_hierarchy(links: DataFrame, with_path: bool = False) -> DataFrame:
 
     After k rounds exactly the nodes of depth <= 2^k have reached their root, so while some
     unresolved node is outside every circle each round resolves at least one: the first round that
-    resolves none proves that all the rest hang on circles. Children of one hot parent only skew
-    the probe side of the join, which adaptive execution splits; the other side is unique by key.
+    resolves none proves that all the rest hang on circles. Only pending nodes are joined; what is
+    resolved is written once and lends its pointers to those that ask for them: the keys asked for
+    are broadcast while at most ``broadcast_limit`` nodes are pending, and joined beyond that. Children
+    of one hot parent only skew the side of the pending nodes, which adaptive execution splits; the
+    other side is unique by key.
     """
     has_parent = F.col("parent_id").isNotNull()
     columns: list[Column] = [
@@ -63,33 +66,35 @@ def resolve_hierarchy(links: DataFrame, with_path: bool = False) -> DataFrame:
     if with_path:
         # ids strictly below the pointer's target, top to bottom
         columns.append(F.when(has_parent, F.array("node_id")).otherwise(F.array().cast("array<string>")).alias("tail"))
-    state = cut(links.select(*columns))
-    pending = state.where(~F.col("done")).count()
-    while pending:
-        jump = state.select(
+    start = cut(links.select(*columns))
+    resolved = start.where("done")
+    pending = start.where(~F.col("done"))
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = pending.count()
+    while count:
+        jump = resolved.unionByName(pending).select(
             F.col("src").alias("j_src"), F.col("owner").alias("j_owner"), F.col("node_id").alias("j_id"),
             F.col("anc").alias("j_anc"), F.col("dist").alias("j_dist"), F.col("done").alias("j_done"),
             *([F.col("tail").alias("j_tail")] if with_path else []),
         )
-        moved = (
-            state.where(~F.col("done"))
-            .join(
-                jump,
-                F.col("src").eqNullSafe(F.col("j_src"))
-                & F.col("owner").eqNullSafe(F.col("j_owner"))
-                & (F.col("anc") == F.col("j_id")),
-            )
-            .select(
+        same = F.col("src").eqNullSafe(F.col("j_src")) & F.col("owner").eqNullSafe(F.col("j_owner")) & (F.col("anc") == F.col("j_id"))
+        if count <= broadcast_limit:
+            asked = pending.select("src", "owner", "anc").distinct()
+            # as many partitions as any shuffle has: those of all rounds would add up
+            jump = jump.join(F.broadcast(asked), same, "left_semi").coalesce(parts)
+        moved = cut(
+            pending.join(jump, same).select(
                 "src", "owner", "node_id", F.col("j_anc").alias("anc"),
                 (F.col("dist") + F.col("j_dist")).alias("dist"), F.col("j_done").alias("done"),
                 *([F.concat("j_tail", "tail").alias("tail")] if with_path else []),
             )
         )
-        state = cut(state.where("done").unionByName(moved))
-        left = state.where(~F.col("done")).count()
-        if left == pending:
+        resolved, pending = resolved.unionByName(moved.where("done")), moved.where(~F.col("done"))
+        left = pending.count()
+        if left == count:
             break
-        pending = left
+        count = left
+    state = resolved.unionByName(pending)
     out = state.select(
         "src", "owner", "node_id",
         F.when(F.col("done"), F.col("anc")).otherwise(F.lit(CYCLE)).alias("root_id"),

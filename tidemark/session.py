@@ -88,6 +88,17 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store_buckets(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """Like :func:`store`, in ``buckets`` by the hash of ``column``: groupings and joins by it read the table
+    without a shuffle, as often as they like. Each bucket is one file, sorted by ``column``."""
+    spark = df.sparkSession
+    ship(spark)
+    name = f"table_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/{name.replace('_', '-')}"
+    df.repartition(buckets, column).write.format("parquet").bucketBy(buckets, column).sortBy(column).option("compression", "zstd").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Deletes the files of a table that :func:`store` wrote; nothing may read it any more."""
     for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:

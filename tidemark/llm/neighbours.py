@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from tidemark.session import cut, drop_stored, store
+from tidemark.session import cut, drop_stored, store, store_buckets
 
 #: Cells hold about so many nodes; one of more than four times as many is split by hyperplanes.
 CELL = 1024
@@ -153,8 +153,8 @@ class _Cell:
     """The nodes of one cell as arrays: ids, codes as numbers, squares of lengths, projections, both cells of each."""
 
     def __init__(self, nodes: pa.Table, dims: int):
-        order = np.argsort(nodes["id"].to_numpy(), kind="stable")  # the same whatever order rows come in
-        nodes = nodes.take(pa.array(order))
+        # the same whatever order rows come in; a row delivered twice counts once
+        nodes = nodes.take(pa.array(np.unique(nodes["id"].to_numpy(), return_index=True)[1]))
         self.dims, self.ids, self.home = dims, nodes["id"].to_numpy(), nodes["home"].to_numpy()
         self.codes = nodes["code"].to_pylist()
         x = read_codes(self.codes, dims)
@@ -386,7 +386,7 @@ class Graph:
 
     def codes(self) -> DataFrame:
         """(id, code) of every node once."""
-        return self.nodes.where(_first_cell(F.col("home")) == F.col("cell")).select("id", "code")
+        return self.nodes.where(_first_cell(F.col("home")) == F.col("cell")).select("id", "code").dropDuplicates(["id"])
 
     def links(self) -> DataFrame:
         """(a, b, sim): one row a link, best first within a node."""
@@ -395,7 +395,7 @@ class Graph:
 
 def build_graph(
     vectors: DataFrame, id_col: str, vector_col: str, dims: int, k: int = 5, cell: int = CELL, border: float = BORDER,
-    margin: float = 0.1, least: float = 0.0005, rounds: int | None = None, keep: int = LIST, check: bool = True,
+    margin: float = 0.1, least: float = 0.002, rounds: int | None = None, keep: int = LIST, check: bool = True,
 ) -> Graph:
     """The neighbour graph of all usable vectors.
 
@@ -443,7 +443,7 @@ def build_graph(
     light = store(groups.select("node", "hash", "sketch", placer("sketch").alias("cells")))
     # one row a node and cell, written once in order of cells: no round moves the codes again
     parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // 20_000))
-    nodes = cut(node_rows(encoded, light, total).repartition(parts, "cell").dropDuplicates(["cell", "id"]).sortWithinPartitions("cell"))
+    nodes = store_buckets(node_rows(encoded, light, total), "cell", parts)
 
     near = _merged(nodes.groupBy("cell").applyInArrow(_start_cell(dims, keep), _OUT_DDL), keep)
     log: list[tuple[int, int]] = []

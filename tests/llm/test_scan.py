@@ -1,6 +1,6 @@
 import pytest
 
-from tidemark.llm.scan import candidates, find_noise, page_value, read_number, rebuild_text, repair, roman, title_key
+from tidemark.llm.scan import confusion_key, find_noise, may_be_misread, page_value, read_number, rebuild_text, repair, roman, title_key
 
 CHUNKS = "chunk_id bigint, source_id string, chunk_no int, text string, input_type string, label string, word string"
 CLEAN = " ".join(["Add the flour and the butter to a cast-iron pan, then season with salt. Melt one part of the self-raising flour before serving."] * 30)
@@ -47,7 +47,8 @@ def test_small_parts():
     assert title_key("20   My Hollow Sp0on")[2] == "20" and title_key("MY TABLE | xii")[2] == "xii"
     assert title_key("Add the flour to the pan") is None and title_key("2 cups flour") is None and title_key("[IMAGE: a.png]") is None
     for wrong, right in (("rnore", "more"), ("vvith", "with"), ("s@lt", "salt"), ("uritil", "until"), ("garhc", "garlic"), ("moclerate", "moderate"), ("fhree", "three"), ("h0ur5", "hours")):
-        assert right in candidates(wrong)
+        assert may_be_misread(wrong, right) and confusion_key(wrong) == confusion_key(right)
+    assert not may_be_misread("more", "more") and not may_be_misread("rnore", "mare") and may_be_misread("rn" * 30 + "ab", "m" + "rn" * 29 + "ab")
     assert rebuild_text("a\n\nb", set(), {}) == "a\n\nb"
 
 

@@ -13,6 +13,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -170,25 +171,40 @@ def _number_score(line: str, page_no: int | None, outer: bool) -> float:
     return -3.0 if bare or not outer else 1.0
 
 
-def candidates(word: str) -> set[str]:
-    """Words that one or two confusions may have turned into ``word``; ``word`` itself is not among them."""
-    found: set[str] = set()
-    layer = {word}
-    for _ in range(2):
-        grown: set[str] = set()
-        for w in layer:
-            for seen, printed in CONFUSIONS.items():
-                at = w.find(seen)
-                while at >= 0:
-                    for p in printed if isinstance(printed, tuple) or len(printed) < 2 or seen in ("1", "9", "|") else (printed,):
-                        grown.add(w[:at] + p + w[at + len(seen):])
-                    at = w.find(seen, at + 1)
-        found |= grown
-        layer = grown
-        if len(layer) > 400:
-            break
-    found.discard(word)
-    return found
+# Under this key a word and whatever confusions make of it agree: each confusion above keeps it.
+_KEY_PARTS = str.maketrans({**dict.fromkeys("il1|hb86unrm", ""), "d": "e", "c": "e", "w": "vv", "y": "v", "t": "f", "q": "g", "9": "g", "0": "o", "5": "s", "$": "s", "@": "a", "2": "z"})
+
+
+def confusion_key(word: str) -> str:
+    return word.translate(_KEY_PARTS)
+
+
+_RULES = [(seen, p) for seen, printed in CONFUSIONS.items() for p in (printed if isinstance(printed, tuple) or len(printed) < 2 or seen in ("1", "9", "|") else (printed,))]
+_STARTS: dict[str, list[tuple[str, str]]] = {}
+for _seen, _printed in _RULES:
+    _STARTS.setdefault(_seen[0], []).append((_seen, _printed))
+
+
+def may_be_misread(seen: str, printed: str, most: int = 2) -> bool:
+    """Whether at most ``most`` confusions, one after the other along the word, turn ``printed`` into ``seen``."""
+    states = {(0, 0, 0)}
+    while states:
+        grown = set()
+        for i, j, n in states:
+            while i < len(seen) and j < len(printed) and seen[i] == printed[j]:
+                if n < most:
+                    for a, b in _STARTS.get(seen[i], ()):
+                        if seen.startswith(a, i) and printed.startswith(b, j):
+                            grown.add((i + len(a), j + len(b), n + 1))
+                i, j = i + 1, j + 1
+            if i == len(seen) and j == len(printed):
+                return seen != printed
+            if n < most and i < len(seen):
+                for a, b in _STARTS.get(seen[i], ()):
+                    if seen.startswith(a, i) and printed.startswith(b, j):
+                        grown.add((i + len(a), j + len(b), n + 1))
+        states = grown
+    return False
 
 
 def read_number(token: str) -> str:
@@ -354,25 +370,26 @@ def correct_words(wanted: DataFrame, counts: DataFrame, ratio: int = 8, trusted:
     sound = known.where(F.col("n_clean") >= trusted).select("word", F.col("word").alias("right"), F.col("n").alias("n_right"))
     doubtful = known.where(F.col("n_clean") < trusted)
 
-    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    likely = counts.where(((F.col("n_clean") >= trusted) | (F.col("n") >= 20)) & F.col("word").rlike(r"\p{L}{2}")).select(F.col("word").alias("other"), F.col("n").alias("n_other"))
+
+    def keys(column: str):
+        @F.pandas_udf("string")
+        def key(words: pd.Series) -> pd.Series:
+            return words.map(confusion_key)
+
+        return key(column)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                words, ns, out, uses = part.column(0).to_pylist(), part.column(1).to_pylist(), [], []
-                rows = []
-                for w, n in zip(words, ns):
-                    for c in candidates(w) if len(w) <= 40 else ():
-                        rows.append(w)
-                        out.append(c)
-                        uses.append(n)
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array(out, pa.string()), pa.array(uses, pa.int64())], ["word", "other", "n"])
-
-    tried = doubtful.select("word", "n").mapInArrow(grow, "word string, other string, n long")
-    likely = counts.where((F.col("n_clean") >= trusted) | (F.col("n") >= 20)).select(F.col("word").alias("other"), F.col("n").alias("n_other"))
-    better = (
-        tried.join(likely, "other").where((F.col("n_other") >= ratio * F.greatest(F.col("n"), F.lit(1))) & F.col("other").rlike(r"\p{L}{2}"))
-        .groupBy("word").agg(F.max(F.struct("n_other", "other")).alias("b")).select("word", F.col("b.other").alias("right"), F.col("b.n_other").alias("n_right"))
+            yes = [may_be_misread(w, o) for w, o in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield batch.filter(pa.array(yes, pa.bool_()))
+
+    # words that share a key, and are about as long and as unlike as two confusions allow, are looked at closely
+    met = doubtful.withColumn("key", keys("word")).join(likely.withColumn("key", keys("other")), "key").where(
+        (F.col("word") != F.col("other")) & (F.col("n_other") >= ratio * F.greatest(F.col("n"), F.lit(1))) & (F.abs(F.length("word") - F.length("other")) <= 2) & (F.levenshtein("word", "other", 4) >= 0)
     )
+    told = met.select("word", "other", "n_other").mapInArrow(tell, "word string, other string, n_other long")
+    better = cut(told.groupBy("word").agg(F.max(F.struct("n_other", "other")).alias("b")).select("word", F.col("b.other").alias("right"), F.col("b.n_other").alias("n_right")))
     itself = doubtful.where("n >= 3").join(better, "word", "left_anti").select("word", F.col("word").alias("right"), F.col("n").alias("n_right"))
     return sound.unionByName(better).unionByName(itself)
 

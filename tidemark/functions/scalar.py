@@ -35,7 +35,7 @@ def embedding_input(title: Column, shown: Column) -> Column:
 
 def total_time(prep: Column, cook: Column) -> Column:
     """'n mins' from the first whole number of each time when both are given; '' when that is 0 or one is missing."""
-    first = lambda c: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(c, r"(\d{1,9})", 1), F.lit("")), F.lit("999999999")).cast("long"), F.lit(0))
+    first = lambda c: F.coalesce(F.nullif(F.regexp_extract(c, r"(\d+)", 1), F.lit("")).try_cast("decimal(37,0)"), F.lit(0))
     total = first(prep) + first(cook)
     given = (F.coalesce(prep, F.lit("")) != "") & (F.coalesce(cook, F.lit("")) != "")
     return F.when(given & (total > 0), F.concat(total.cast("string"), F.lit(" mins"))).otherwise("")

@@ -63,10 +63,11 @@ def preflight(pages: DataFrame, first: int = 5, least_chars: int = 100, most_pag
 
 
 def select_reader(name: Column, mime: Column) -> Column:
-    """pdf, epub or archive by extension or MIME type, in this order; null for anything else."""
+    """pdf, epub or archive by extension or MIME type, in this order; null for anything else. Archives go by
+    their extension alone: other ZIP files are none."""
     extension, kind = F.lower(F.regexp_extract(name, r"(\.[^./]*)$", 1)), F.coalesce(F.lower(mime), F.lit(""))
     return (
         F.when((extension == ".pdf") | (kind == "application/pdf"), "pdf")
         .when((extension == ".epub") | (kind == "application/epub+zip"), "epub")
-        .when(extension.isin(".paprikarecipes", ".zip") | (kind == "application/zip"), "archive")
+        .when(extension == ".paprikarecipes", "archive")
     )

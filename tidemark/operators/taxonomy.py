@@ -69,3 +69,23 @@ def ids_by_name(categories: DataFrame) -> DataFrame:
     return categories.where(F.col("name").isNotNull()).groupBy("owner", "name").agg(
         F.max_by("id", F.struct(F.coalesce(F.col("created_at").cast("string"), F.lit("")), "id")).alias("id")
     )
+
+
+def sync_summary(parents: DataFrame) -> DataFrame:
+    """(owner, parents, children) from (owner, name, pos, children): what a category sync reports."""
+    return parents.groupBy("owner").agg(F.count(F.lit(1)).alias("parents"), F.sum(F.size("children")).cast("bigint").alias("children"))
+
+
+def owner_categories(categories: DataFrame, user: str) -> DataFrame:
+    """(id, name, parent_id) of one user in order of name; ties by id."""
+    return categories.where(F.col("user_id") == user).select("id", "name", "parent_id").orderBy("name", "id")
+
+
+def sorted_axes(axes: DataFrame) -> DataFrame:
+    """(owner, axis, tags): the tags of each axis in code-point order, repeats included."""
+    return axes.groupBy("owner", "axis").agg(F.sort_array(F.collect_list("tag")).alias("tags"))
+
+
+def axes_text(axes: dict[str, list[str]]) -> str:
+    """One line an axis: its name and its tags."""
+    return "\n".join(f"{axis}: {', '.join(tags)}" for axis, tags in axes.items())

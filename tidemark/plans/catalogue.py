@@ -9,6 +9,7 @@ from tidemark.functions import scalar, text
 from tidemark.operators import chunking, control, dedupe, filters, records, taxonomy
 from tidemark.plans.pipeline import run_pipeline
 from tidemark.session import read_table
+from tidemark.sources.archives import ARCHIVE_SUFFIX
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -88,12 +89,13 @@ def preflight(spark: SparkSession, d: str) -> DataFrame:
     return filters.preflight(pages).withColumn("avg_chars", F.round("avg_chars", 6))
 
 
-@query("""WITH n AS (SELECT doc_id, source || CASE doc_id % 5 WHEN 0 THEN '.PDF' WHEN 1 THEN '.epub' WHEN 2 THEN '.zip' WHEN 3 THEN '.txt' ELSE '' END AS name,
-  CASE WHEN doc_id % 7 = 0 THEN 'application/pdf' END AS mime FROM documents)
-SELECT doc_id, CASE WHEN lower(name) LIKE '%.pdf' OR mime = 'application/pdf' THEN 'pdf' WHEN lower(name) LIKE '%.epub' THEN 'epub' WHEN lower(name) LIKE '%.zip' THEN 'archive' END AS reader FROM n""")
+@query(f"""WITH n AS (SELECT doc_id, source || CASE doc_id % 6 WHEN 0 THEN '.PDF' WHEN 1 THEN '.epub' WHEN 2 THEN '.zip' WHEN 3 THEN '.txt' WHEN 4 THEN '{ARCHIVE_SUFFIX.upper()}' ELSE '' END AS name,
+  CASE WHEN doc_id % 7 = 0 THEN 'application/pdf' WHEN doc_id % 7 = 1 THEN 'application/zip' WHEN doc_id % 7 = 2 THEN 'application/epub+zip' END AS mime FROM documents)
+SELECT doc_id, CASE WHEN lower(name) LIKE '%.pdf' OR mime = 'application/pdf' THEN 'pdf' WHEN lower(name) LIKE '%.epub' OR mime = 'application/epub+zip' THEN 'epub' WHEN lower(name) LIKE '%{ARCHIVE_SUFFIX}' THEN 'archive' END AS reader FROM n""")
 def reader_select(spark: SparkSession, d: str) -> DataFrame:
-    suffix = F.element_at(F.array(*(F.lit(s) for s in (".PDF", ".epub", ".zip", ".txt", ""))), (F.col("doc_id") % 5 + 1).cast("int"))
-    name, mime = F.concat("source", suffix), F.when(F.col("doc_id") % 7 == 0, "application/pdf")
+    suffix = F.element_at(F.array(*(F.lit(s) for s in (".PDF", ".epub", ".zip", ".txt", ARCHIVE_SUFFIX.upper(), ""))), (F.col("doc_id") % 6 + 1).cast("int"))
+    kind = F.col("doc_id") % 7
+    name, mime = F.concat("source", suffix), F.when(kind == 0, "application/pdf").when(kind == 1, "application/zip").when(kind == 2, "application/epub+zip")
     return read_table(spark, d, "documents").select("doc_id", filters.select_reader(name, mime).alias("reader"))
 
 
@@ -171,9 +173,9 @@ def dedupe_unicode(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT archive_no, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY archive_no, doc_id) AS r FROM
-  (SELECT CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 END AS archive_no, doc_id, lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) AS k FROM documents WHERE lang IN ('en', 'de', 'fr') AND title IS NOT NULL)) WHERE r = 1""")
+  (SELECT CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 ELSE 3 END AS archive_no, doc_id, lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) AS k FROM documents WHERE title IS NOT NULL)) WHERE r = 1""")
 def merge_archives(spark: SparkSession, d: str) -> DataFrame:
-    """English, German, French and, last, all other documents as archives; the SQL knows only the first three."""
+    """English, German, French and, last, all other documents as archives."""
     docs = read_table(spark, d, "documents").where("title is not null").select(F.col("doc_id").alias("member_no"), "title", "lang")
     archives = [docs.where(F.col("lang") == x) for x in ("en", "de", "fr")] + [docs.where("lang is null or lang not in ('en', 'de', 'fr')")]
     merged = dedupe.merge_archives(archives, text.match_key(F.col("title")))
@@ -197,9 +199,9 @@ def checkpoint_resume(spark: SparkSession, d: str) -> DataFrame:
     return control.resume(hashed, hashed.where("chunk_no % 2 = 0"), "h").select("chunk_id")
 
 
-@query(f"""SELECT chunk_id, 'sha256:' || sha256(text) AS content_hash, substr(sha256(text), 1, 16) AS file_id FROM {_CHUNKS} WHERE text IS NOT NULL AND strlen(text) <= 65536""")
+@query(f"""SELECT chunk_id, 'sha256:' || h AS content_hash, substr(h, 1, 16) AS file_id FROM (SELECT chunk_id, sha256(encode(text)[1:65536]) AS h FROM {_CHUNKS} WHERE text IS NOT NULL)""")
 def content_hashes(spark: SparkSession, d: str) -> DataFrame:
-    """Every text; the SQL knows only those that the limit of 65,536 bytes leaves whole."""
+    """The hash of every text's first 65,536 bytes."""
     rows = chunks_once(spark, d).where("text is not null")
     return rows.select("chunk_id", scalar.content_hash(F.col("text")).alias("content_hash"), scalar.file_id(F.col("text")).alias("file_id"))
 
@@ -245,12 +247,16 @@ def image_urls(spark: SparkSession, d: str) -> DataFrame:
     return md.select("doc_id", text.image_url(F.col("md")).alias("url"))
 
 
-@query("""SELECT doc_id, coalesce(regexp_replace(title, '^\\s+|\\s+$', '', 'g') || chr(10), '') || 'Category: ' || lang AS plain FROM documents WHERE lang IS NOT NULL AND (title IS NULL OR trim(title) <> '')""")
+@query(r"""SELECT doc_id, array_to_string(list_filter([trim(coalesce(title, ''), E' \t\r\n'), trim(text, E' \t\r\n'), 'Category: ' || coalesce(lang, 'none')], lambda x: x <> ''), chr(10)) AS plain
+FROM (SELECT doc_id, title, lang, text FROM documents)""")
 def html_text(spark: SparkSession, d: str) -> DataFrame:
-    escaped = F.replace(F.replace(F.replace("title", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    html = F.concat(F.lit("<html><head><style>p {}</style><script>var x = 1 < 2;</script></head><body>"), F.coalesce(F.concat(F.lit("<h1> "), escaped, F.lit(" </h1>\n")), F.lit("")), F.lit("<p>Category: "), "lang", F.lit("</p></body></html>"))
-    docs = read_table(spark, d, "documents").where("lang is not null and (title is null or trim(title) <> '')")
-    return docs.select("doc_id", text.html_text(html).alias("plain"))
+    """The whole text of every document as a web page, read back."""
+    escaped = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    html = F.concat(
+        F.lit("<html><head><style>p {}</style><script>var x = 1 < 2;</script></head><body><h1> "), escaped("title"), F.lit(" </h1>\n<div>"), escaped("text"),
+        F.lit("</div><p>Category: "), F.coalesce("lang", F.lit("none")), F.lit("</p></body></html>"),
+    )
+    return read_table(spark, d, "documents").select("doc_id", text.html_text(html).alias("plain"))
 
 
 @query("""SELECT extraction_id, len(list_filter(string_split(array_to_string(list_filter(directions, lambda x: x IS NOT NULL), chr(10)), chr(10)), lambda s: trim(s, E' \\t\\r\\n') <> '')) AS n
@@ -295,15 +301,15 @@ def ingredients_text(spark: SparkSession, d: str) -> DataFrame:
     return _recipe_arrays(spark, d).select("recipe_id", F.array_join(F.transform("ingredients", lambda s: s["fallback_string"]), "\n").alias("ingredients"))
 
 
-@query(f"""SELECT r.recipe_id, r.title || chr(10) || string_agg(coalesce(i.fallback_string, ''), ' ' ORDER BY i.ing_id) AS embed_text FROM {_RECIPES} r JOIN {_INGREDIENTS} i USING (recipe_id) WHERE r.title IS NOT NULL AND trim(r.title) <> '' GROUP BY r.recipe_id, r.title""")
+@query(f"""SELECT r.recipe_id, trim(coalesce(r.title, '') || chr(10) || string_agg(coalesce(i.fallback_string, ''), ' ' ORDER BY i.ing_id), E' \t\r\n') AS embed_text FROM (SELECT DISTINCT recipe_id, title FROM cayenne_recipes) r JOIN {_INGREDIENTS} i USING (recipe_id) GROUP BY r.recipe_id, r.title""")
 def embed_text(spark: SparkSession, d: str) -> DataFrame:
-    titles = recipes_once(spark, d).where("title is not null and trim(title) <> ''").select("recipe_id", "title").distinct()
+    titles = recipes_once(spark, d).select("recipe_id", "title").distinct()
     joined = titles.join(_recipe_arrays(spark, d), "recipe_id")
     return joined.select("recipe_id", scalar.embedding_input(F.col("title"), F.transform("ingredients", lambda s: s["fallback_string"])).alias("embed_text"))
 
 
 @query("""WITH t AS (SELECT extraction_id, any_value(prep_time) AS p, any_value(cook_time) AS c FROM recipe_extractions GROUP BY extraction_id),
-n AS (SELECT *, coalesce(TRY_CAST(nullif(regexp_extract(p, '(\\d{1,9})', 1), '') AS BIGINT), 0) + coalesce(TRY_CAST(nullif(regexp_extract(c, '(\\d{1,9})', 1), '') AS BIGINT), 0) AS total FROM t)
+n AS (SELECT *, coalesce(TRY_CAST(nullif(regexp_extract(p, '(\\d+)', 1), '') AS DECIMAL(37,0)), 0) + coalesce(TRY_CAST(nullif(regexp_extract(c, '(\\d+)', 1), '') AS DECIMAL(37,0)), 0) AS total FROM t)
 SELECT extraction_id, CASE WHEN coalesce(p, '') <> '' AND coalesce(c, '') <> '' AND total > 0 THEN total || ' mins' ELSE '' END AS total_time FROM n""")
 def total_time(spark: SparkSession, d: str) -> DataFrame:
     return extractions_once(spark, d).select("extraction_id", scalar.total_time(F.col("prep_time"), F.col("cook_time")).alias("total_time"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import TOKEN
 from tidemark.operators.records import DIMENSIONS, flat_tags, keep_allowed_tags, route
 from tidemark.plans.providers import Provider, RuleProvider
+from tidemark.session import store
 
 _INGREDIENT = pa.struct([
     ("id", pa.string()), ("amount", pa.float64()), ("unit", pa.string()), ("name", pa.string()), ("fallback_string", pa.string()),
@@ -83,7 +84,8 @@ def run_pipeline(chunks: DataFrame, axes: dict[str, list[str]] | None = None, pr
                 )
 
     rows = chunks.select(F.col("source_id").cast("string"), F.col("chunk_no").cast("int"), F.col("text"), F.col("input_type"))
-    worked = rows.mapInArrow(work, f"source_id string, chunk_no int, recipe_no int, record {_DDL}, error string")
+    # written once: records and errors both read it, and no provider is called twice for a chunk
+    worked = store(rows.mapInArrow(work, f"source_id string, chunk_no int, recipe_no int, record {_DDL}, error string"))
     grid = keep_allowed_tags(F.col("record.grid_categories"), taxonomy)
     records = worked.where("error is null").select(
         "source_id", "chunk_no", "recipe_no", "record.title", "record.base_servings", "record.prep_time", "record.cook_time",

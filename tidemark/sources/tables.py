@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,15 +31,21 @@ def save_checkpoint(spark: SparkSession, path: str, book_path: str, book_hash: s
 
 def load_checkpoint(spark: SparkSession, path: str, book_path: str, book_hash: str, version: int = 1) -> dict | None:
     """The latest state of a book if its version and hash still hold; None without one."""
-    if not glob.glob(os.path.join(path, "*.parquet")):
+    try:
+        table = spark.read.parquet(path)
+    except AnalysisException:  # nothing there, or no table yet
         return None
-    table = spark.read.parquet(path)
     if missing := {"version", "book_path", "book_hash", "stage", "completed_segments"} - set(table.columns):
         raise CheckpointError(f"no columns {sorted(missing)}")
     last = table.where(F.col("book_path") == book_path).orderBy(F.desc("saved_at")).first()
     return last.asDict() if last and last["version"] == version and last["book_hash"] == book_hash else None
 
 
+def delete_checkpoint(spark: SparkSession, path: str, book_path: str) -> None:
+    """Forgets a book: a last state without a hash, which no run matches; what others saved stays."""
+    save_checkpoint(spark, path, book_path, "", "DELETED", [])
+
+
 def newest_file(patterns: list[str]) -> str | None:
     """The most recently changed file that matches; the smallest name of equals; None without any."""
     found = {p for pattern in patterns for p in glob.glob(os.path.expanduser(pattern))}

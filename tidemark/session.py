@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -53,14 +54,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder is used.
+    A cluster names it in ``spark.checkpoint.dir``; only where that is unset on one machine (tests)
+    a temporary folder is used. On a cluster no such folder would be shared: ValueError.
     """
     context = spark.sparkContext
     known = context.getCheckpointDir()
     if known:
         return known
     wanted = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not wanted and not re.match(r"local($|\[)", context.master):
+        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
     context.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
     return context.getCheckpointDir()
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.canonical import collapse, find_copies, fingerprint_records
@@ -34,6 +34,20 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(F.col("id").alias("chunk_id"), "piece_no", "start", "end", "cut", "piece")
 
 
+def p4_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the pieces of every oversized text: they reach from its first to its last character that is no
+    whitespace, none is over the limit, and each is the text between its ends and begins inside the one before."""
+    texts = read_table(spark, sf_dir, "chunks").select("chunk_id", "text").dropDuplicates(["chunk_id"])
+    pieces = p4_pieces(spark, sf_dir).join(texts, "chunk_id")
+    before = F.lag("end").over(Window.partitionBy("chunk_id").orderBy("piece_no"))
+    checked = pieces.withColumn("joined", F.coalesce((F.col("start") < before) & (F.col("start") >= before - 500), F.lit(True))).withColumn(
+        "same", F.col("piece") == F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start"))
+    )
+    return checked.groupBy("chunk_id").agg(
+        F.min("start").cast("bigint").alias("first"), F.max("end").cast("bigint").alias("last"), F.every(F.length("piece") <= 30_000).alias("fits"), F.every("joined").alias("joined"), F.every("same").alias("same")
+    )
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test items and the documents that share at least 12 consecutive words with them."""
     return find_leaks(
@@ -41,7 +55,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p4_found": p4_found, "p4_pieces": p4_pieces, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_cover": p4_cover, "p8_found": p8_found}
 
 _GRAMS = """
   SELECT {id} AS id, w[i:i + 11] AS gram
@@ -74,6 +88,9 @@ longest AS (
   FROM big)
 SELECT chunk_id, CASE WHEN paragraph <= 30000 THEN 'paragraph' WHEN line <= 30000 THEN 'line'
   WHEN sentence <= 30000 THEN 'sentence' WHEN word <= 30000 THEN 'word' ELSE 'none' END AS cut_at FROM longest""",
+    "p4_cover": r"""
+SELECT chunk_id, length(text) - length(ltrim(text, E' \t\r\n')) AS first, length(rtrim(text, E' \t\r\n')) AS last, true AS fits, true AS joined, true AS same
+FROM (SELECT chunk_id, any_value(text) AS text FROM chunks WHERE length(text) > 30000 GROUP BY chunk_id)""",
     "p8_found": f"""
 WITH item AS ({_GRAMS.format(id='item_id', table='eval_items')}),
 doc AS ({_GRAMS.format(id='doc_id', table='documents')})

@@ -67,15 +67,13 @@ def segment_by_titles(books: DataFrame, limit: int = 30_000) -> DataFrame:
     """
     found = books.withColumn("starts", find_titles(F.col("text"), F.col("titles")))
     ratio = F.when(F.size("titles") > 0, F.size("starts") / F.size("titles")).otherwise(0.0)
-    pairs = F.transform(
+    # cut inside the row: each piece of the text leaves it once, not the whole text once a title
+    cuts = F.transform(
         "starts",
-        lambda s, i: F.struct(s.alias("start"), F.coalesce(F.get("starts", i + 1), F.length("text")).alias("end")),
+        lambda s, i: F.struct(s.alias("start"), strip_space(F.substring("text", s + 1, F.coalesce(F.get("starts", i + 1), F.length("text")) - s)).alias("segment")),
     )
-    rows = found.select("source_id", "text", ratio.alias("match_ratio"), F.posexplode(pairs).alias("title_no", "p"))
-    whole = rows.select(
-        "source_id", "match_ratio", "title_no", F.col("p.start").alias("start"),
-        strip_space(F.col("text").substr(F.col("p.start") + 1, F.col("p.end") - F.col("p.start"))).alias("segment"),
-    ).where(F.col("segment") != "")
+    rows = found.select("source_id", ratio.alias("match_ratio"), F.posexplode(cuts).alias("title_no", "p"))
+    whole = rows.select("source_id", "match_ratio", "title_no", F.col("p.start").alias("start"), F.col("p.segment").alias("segment")).where(F.col("segment") != "")
     parts = whole.select("source_id", "match_ratio", "title_no", "start", F.posexplode(pack_paragraphs(F.col("segment"), limit)).alias("part_no", "segment"))
     order = F.row_number().over(Window.partitionBy("source_id").orderBy("title_no", "part_no")) - 1
     return parts.select("source_id", order.alias("segment_no"), "start", "segment", "match_ratio")
@@ -94,5 +92,10 @@ def carry_hero_images(chunks: DataFrame, short: int = 120) -> DataFrame:
     name = F.regexp_extract("text", r"\[IMAGE: ([^\]]+)\]", 1)
     rest = F.length(strip_space(F.regexp_replace("text", r"\[IMAGE: [^\]]+\]", "")))
     hero = F.when((name != "") & (rest < short), name)
-    before = F.lag(hero).over(Window.partitionBy("source_id").orderBy("chunk_no"))
-    return chunks.withColumn("text", F.when(before.isNotNull(), F.concat(F.lit("[HERO IMAGE: "), before, F.lit("]\n"), F.col("text"))).otherwise(F.col("text")))
+    # the window sees names only; whole texts meet the few names that head them
+    marks = chunks.select(F.col("source_id").alias("_source"), F.col("chunk_no").alias("_no"), hero.alias("_hero"))
+    before = F.lag("_hero").over(Window.partitionBy("_source").orderBy("_no"))
+    heads = marks.withColumn("_before", before).where("_before is not null").groupBy("_source", "_no").agg(F.min("_before").alias("_before"))
+    joined = chunks.join(heads, F.col("source_id").eqNullSafe(F.col("_source")) & (F.col("chunk_no") == F.col("_no")), "left")
+    text = F.when(F.col("_before").isNotNull(), F.concat(F.lit("[HERO IMAGE: "), "_before", F.lit("]\n"), "text")).otherwise(F.col("text"))
+    return joined.withColumn("text", text).select(*chunks.columns)

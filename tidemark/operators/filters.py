@@ -47,14 +47,13 @@ def preflight(pages: DataFrame, first: int = 5, least_chars: int = 100, most_pag
 
     The average runs over the pages among the first ``first`` by page number.
     """
-    position = F.row_number().over(Window.partitionBy("source_id").orderBy("page_no"))
-    ranked = pages.withColumn("_place", position)
-    encrypted = F.max(F.col("encrypted").cast("int")) if "encrypted" in pages.columns else F.lit(0)
-    stats = ranked.groupBy("source_id").agg(
-        F.count(F.lit(1)).alias("pages"),
-        F.avg(F.when(F.col("_place") <= first, F.length(F.coalesce("text", F.lit(""))))).alias("avg_chars"),
-        encrypted.alias("_locked"),
-    )
+    # lengths instead of texts: what is ranked and shuffled is narrow, and only the first pages of a book reach its task
+    encrypted = F.col("encrypted").cast("int") if "encrypted" in pages.columns else F.lit(0)
+    sizes = pages.select("source_id", "page_no", F.length(F.coalesce("text", F.lit(""))).alias("_chars"), encrypted.alias("_locked"))
+    position = F.row_number().over(Window.partitionBy("source_id").orderBy("page_no", "_chars"))
+    early = sizes.withColumn("_place", position).where(F.col("_place") <= first).groupBy(F.col("source_id").alias("_source")).agg(F.avg("_chars").alias("avg_chars"))
+    whole = sizes.groupBy("source_id").agg(F.count(F.lit(1)).alias("pages"), F.max("_locked").alias("_locked"))
+    stats = whole.join(early, F.col("source_id").eqNullSafe(F.col("_source")))
     verdict = (
         F.when(F.col("_locked") == 1, "encrypted").when(F.col("pages") > most_pages, "too long")
         .when(F.col("avg_chars") < least_chars, "scanned").otherwise("ok")

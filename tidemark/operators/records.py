@@ -103,8 +103,9 @@ def ordered_directions(directions: Column) -> Column:
     return F.transform(F.array_sort(placed), lambda d: d["text"])
 
 
-def export_rows(recipes: DataFrame, created: str) -> DataFrame:
-    """Archive entries of final records: plain ingredients and directions, tokens shown as text, ids from the keys."""
+def export_rows(recipes: DataFrame, created: str, *carried: str) -> DataFrame:
+    """Archive entries of final records: plain ingredients and directions, tokens shown as text, ids from the keys;
+    ``carried`` columns of the records stand before them."""
     uid = stable_uid(F.col("recipe_id"))
     values = {
         "uid": uid, "name": F.col("title"),
@@ -116,7 +117,7 @@ def export_rows(recipes: DataFrame, created: str) -> DataFrame:
         "categories": F.coalesce("categories", F.array().cast("array<string>")), "created": F.lit(created),
         "hash": F.sha2(uid, 256), "photo_large": F.lit(None).cast("string"),
     }
-    return recipes.select(*(values.get(k, F.lit("")).alias(k) for k in ENTRY_KEYS))
+    return recipes.select(*carried, *(values.get(k, F.lit("")).alias(k) for k in ENTRY_KEYS))
 
 
 def book_title(title: Column, author: Column, fallback: Column, author_alone: bool = False) -> Column:

@@ -324,11 +324,8 @@ def assemble(spark: SparkSession, d: str) -> DataFrame:
         F.min("title").alias("title"), F.min("prep_time").alias("prep_time"), F.min("cook_time").alias("cook_time"), F.min("base_servings").alias("base_servings"),
         F.min("source_url").alias("source_url"), F.min("image_url").alias("image_url"), F.min("categories").alias("categories"),
     )
-    whole = heads.join(_recipe_arrays(spark, d), "recipe_id")
-    exported = records.export_rows(whole, "2026-01-01 00:00:00")
-    return exported.join(whole.select(scalar.stable_uid(F.col("recipe_id")).alias("uid"), "recipe_id", F.size("ingredients").cast("bigint").alias("n")), "uid").select(
-        "recipe_id", F.col("n").alias("ingredients"), "uid", "directions", "servings"
-    )
+    whole = heads.join(_recipe_arrays(spark, d), "recipe_id").withColumn("n", F.size("ingredients").cast("bigint"))
+    return records.export_rows(whole, "2026-01-01 00:00:00", "recipe_id", "n").select("recipe_id", F.col("n").alias("ingredients"), "uid", "directions", "servings")
 
 
 _GRIDS = "(SELECT vec_id, any_value(recipe_id) AS recipe_id, any_value(grid_categories) AS grid FROM cayenne_recipes GROUP BY vec_id)"

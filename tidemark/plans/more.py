@@ -150,8 +150,7 @@ def _written(spark: SparkSession, d: str) -> str:
         F.lit(None).cast("double").alias("converted_amount"), F.lit(None).cast("string").alias("converted_unit"), F.lit(False).alias("is_ai_converted"),
     ))
     stored = archives.record_json(whole.withColumn("ingredients", wide))
-    exported = records.export_rows(stored, "2026-01-01 00:00:00")
-    rows = exported.join(stored.select(scalar.stable_uid(F.col("recipe_id")).alias("uid"), "meta"), "uid")
+    rows = records.export_rows(stored, "2026-01-01 00:00:00", "meta")
     folder = ensure_checkpoint_dir(spark).removeprefix("file://").replace("file:", "")
     path = str(Path(folder) / f"whole{archives.ARCHIVE_SUFFIX}")
     archives.write_archive(rows, path, meta_col="meta", order=["uid"])

@@ -13,12 +13,14 @@ they might belong into one, are compared. ``greedy_search`` answers queries by w
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
@@ -81,6 +83,7 @@ def encode_vectors(vectors: DataFrame, id_col: str, vector_col: str, dims: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            part = flat = x = None
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 flat = part.column(1).flatten()
@@ -94,10 +97,21 @@ def encode_vectors(vectors: DataFrame, id_col: str, vector_col: str, dims: int)
                     pa.array([hashlib.blake2b(c, digest_size=16).digest() for c in codes], pa.binary()),
                     pa.array([s.tobytes() for s in sketches], pa.binary()), pa.array(codes, pa.binary()),
                 ], ["id", "hash", "sketch", "code"])
+            del batch, part, flat, x
+            give_back()
 
     return rows.mapInArrow(run, "id long, hash binary, sketch binary, code binary")
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker that has read large batches waits for the next task as small as before."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another system
+        pass
+
+
 def fit_centres(sketches: np.ndarray, count: int, seed: int, rounds: int = 6) -> np.ndarray:
     """k-means centres in the projected space; empty ones keep their place."""
     rng = np.random.default_rng(seed)
@@ -161,7 +175,8 @@ class _Cell:
         self.squares = np.einsum("ij,ij->i", x, x, dtype=np.float64)
         # whole numbers whose sums stay under 2^24 are exact in single precision, in any order; others need double
         self.x = x if (self.squares < 2**24).all() else read_codes(self.codes, dims, np.float64)
-        self.sketch = _directions(nodes["sketch"].to_pylist())
+        self.sketches = nodes["sketch"].to_pylist()
+        self.sketch = _directions(self.sketches)
 
     def cosines(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         out = np.empty(len(i))
@@ -178,9 +193,9 @@ def _directions(sketches: list[bytes]) -> np.ndarray:
 
 _OUT = pa.schema([
     ("a", pa.int64()), ("own", pa.int64()), ("b", pa.list_(pa.int64())), ("sim", pa.list_(pa.float64())), ("fresh", pa.list_(pa.bool_())),
-    ("home", pa.list_(pa.int64())), ("far", pa.list_(pa.int64())),
+    ("home", pa.list_(pa.int64())), ("far", pa.list_(pa.int64())), ("sketch", pa.binary()),
 ])
-_OUT_DDL = "a long, own long, b array<long>, sim array<double>, fresh array<boolean>, home array<long>, far array<long>"
+_OUT_DDL = "a long, own long, b array<long>, sim array<double>, fresh array<boolean>, home array<long>, far array<long>, sketch binary"
 
 
 def _firsts(*columns: np.ndarray) -> np.ndarray:
@@ -196,7 +211,7 @@ def _ranks(a: np.ndarray) -> np.ndarray:
     return np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
 
 
-def _lists(a: np.ndarray, b: np.ndarray, sim: np.ndarray, fresh: np.ndarray, home: np.ndarray, keep: int, names: np.ndarray) -> pa.Table:
+def _lists(a: np.ndarray, b: np.ndarray, sim: np.ndarray, fresh: np.ndarray, home: np.ndarray, keep: int, names: np.ndarray, sketches: list[bytes]) -> pa.Table:
     """One row a node: of the pairs (a, b) of positions, each once and old rather than new, the ``keep`` best, ties to the smaller id."""
     order = np.lexsort((fresh, names[b], -sim, a))
     first = order[_firsts(a[order], b[order])]
@@ -208,6 +223,7 @@ def _lists(a: np.ndarray, b: np.ndarray, sim: np.ndarray, fresh: np.ndarray, hom
     return pa.table([
         pa.array(names[a[edge]], pa.int64()), pa.array(home[a[edge]], pa.int64()), column(names[b], pa.int64()), column(sim[first], pa.float64()),
         column(fresh[first], pa.bool_()), column(home[b], pa.int64()), pa.nulls(len(edge), pa.list_(pa.int64())),
+        pa.array([sketches[i] if i < len(sketches) else None for i in a[edge]], pa.binary()),
     ], schema=_OUT)
 
 
@@ -224,7 +240,7 @@ def _start_cell(dims: int, keep: int):
         drawn = rng.integers(0, n - 1, (n, keep + 2)) if n > 2 * keep else np.tile(np.arange(n - 1), (n, 1))
         a = np.repeat(np.arange(n), drawn.shape[1])
         b = drawn.ravel() + (drawn.ravel() >= a)
-        return _lists(a, b, cell.cosines(a, b), np.ones(len(a), bool), cell.home, keep, cell.ids)
+        return _lists(a, b, cell.cosines(a, b), np.ones(len(a), bool), cell.home, keep, cell.ids, cell.sketches)
 
     return run
 
@@ -232,8 +248,8 @@ def _start_cell(dims: int, keep: int):
 def _join_cell(dims: int, k: int, keep: int, margin: float, ship: bool):
     """One round in one cell: pairs of neighbours of its nodes, and the pairs sent here to be compared.
 
-    Rows come in four kinds: 0 the list of a node of the cell or of one that links here, 1 the projection
-    of a node that lies elsewhere, 2 a pair to compare, 3 a code for it. Returns the lists of the cell's
+    Rows come in three kinds: 0 the list of a node of the cell or, with its projection, of one that links
+    here, 1 a pair to compare, 2 a code for it. Returns the lists of the cell's
     nodes with what is better, and as ``far`` of a node those it shares no cell with that may matter.
     """
 
@@ -244,15 +260,15 @@ def _join_cell(dims: int, k: int, keep: int, margin: float, ship: bool):
         m = len(cell.ids)
         kind = rows["kind"].to_numpy()
         part = lambda c: rows.filter(pa.array(kind == c)).combine_chunks()
-        lists, away, pairs, codes = (part(c) for c in range(4))
+        lists, pairs, codes = (part(c) for c in range(3))
         flat = lambda table, c: table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
         count = lists["b"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
         owner, target, sims = np.repeat(lists["a"].to_numpy(), count), flat(lists, "b"), flat(lists, "sim")
         fresh, homes = flat(lists, "fresh").astype(bool), flat(lists, "home")
 
         # positions: the cell's own nodes first, then all others that occur
-        seen = np.concatenate([lists["a"].to_numpy(), target, away["a"].to_numpy(), codes["a"].to_numpy()])
-        where = np.concatenate([lists["own"].to_numpy(), homes, away["own"].to_numpy(), codes["own"].to_numpy()])
+        seen = np.concatenate([lists["a"].to_numpy(), target, codes["a"].to_numpy()])
+        where = np.concatenate([lists["own"].to_numpy(), homes, codes["own"].to_numpy()])
         others, at = np.unique(seen, return_index=True)
         strange = ~np.isin(others, cell.ids)
         names, home = np.concatenate([cell.ids, others[strange]]), np.concatenate([cell.home, where[at][strange]])
@@ -264,7 +280,6 @@ def _join_cell(dims: int, k: int, keep: int, margin: float, ship: bool):
         for row, size in ((0, k), (1, keep)):
             last = rank == size - 1
             ends[row, spot(owner[last])] = sims[last]
-        ends[0, spot(away["a"].to_numpy())] = away["worst"].to_numpy()
 
         # neighbours of either direction of the cell's own nodes, the 2 x keep best of each
         src, dst = spot(owner), spot(target)
@@ -289,14 +304,16 @@ def _join_cell(dims: int, k: int, keep: int, margin: float, ship: bool):
         spots[centre, rank], fresh_[centre, rank] = member, new
 
         sketch = None
-        if ship and len(away):
+        guests = lists.filter(pa.compute.is_valid(lists["sketch"]))
+        if ship and guests.num_rows:
+            at = spot(guests["a"].to_numpy())
             sketch = np.zeros((len(names), SKETCH), np.float32)
-            sketch[:m], sketch[spot(away["a"].to_numpy())] = cell.sketch, _directions(away["sketch"].to_pylist())
+            sketch[:m], sketch[at] = cell.sketch, _directions(guests["sketch"].to_pylist())
             known = np.zeros(len(names), bool)
-            known[:m] = known[spot(away["a"].to_numpy())] = True
-        one, two = home >> _SHIFT, home & _LOW
+            known[:m] = known[at] = True
+        one, two, x = home >> _SHIFT, home & _LOW, None
         xs, ys, cs, far = [], [], [], []
-        step = max(1, 24_000_000 // (2 * keep * dims * cell.x.itemsize))
+        step = max(1, 12_000_000 // (2 * keep * dims * cell.x.itemsize))
         upper = np.triu(np.ones((2 * keep, 2 * keep), bool), 1)[None]
         for lo in range(0, len(busy), step):
             at, is_new = spots[lo:lo + step], fresh_[lo:lo + step]
@@ -331,7 +348,7 @@ def _join_cell(dims: int, k: int, keep: int, margin: float, ship: bool):
         good = c > ends[1, a]
         old = src < m
         a, b, c = np.concatenate([src[old], a[good]]), np.concatenate([dst[old], b[good]]), np.concatenate([sims[old], c[good]])
-        out = [_lists(a, b, c, np.arange(len(a)) >= old.sum(), home, keep, names)]
+        out = [_lists(a, b, c, np.arange(len(a)) >= old.sum(), home, keep, names, cell.sketches)]
         if far and sum(map(len, far)):
             apart = np.unique(np.concatenate(far), axis=0)
             edge = _firsts(apart[:, 0])
@@ -339,8 +356,10 @@ def _join_cell(dims: int, k: int, keep: int, margin: float, ship: bool):
             empty = lambda t: pa.array([[]] * n, pa.list_(t))
             out.append(pa.table([
                 pa.array(apart[edge, 0]), pa.array(home[spot(apart[edge, 0])]), empty(pa.int64()), empty(pa.float64()), empty(pa.bool_()), empty(pa.int64()),
-                pa.ListArray.from_arrays(pa.array(np.append(edge, len(apart)), pa.int32()), pa.array(apart[:, 1])),
+                pa.ListArray.from_arrays(pa.array(np.append(edge, len(apart)), pa.int32()), pa.array(apart[:, 1])), pa.nulls(n, pa.binary()),
             ], schema=_OUT))
+        del x, cell, rows, nodes
+        give_back()
         return pa.concat_tables(out)
 
     return run
@@ -371,7 +390,7 @@ def _check_cell(dims: int, keep: int, margin: float):
         c = cell.cosines(i, j)
         a, b, c = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([c, c])
         good = (c >= end[a]) & ~np.isin(a * n + b, listed)
-        return _lists(a[good], b[good], c[good], np.ones(good.sum(), bool), cell.home, keep, cell.ids)
+        return _lists(a[good], b[good], c[good], np.ones(good.sum(), bool), cell.home, keep, cell.ids, cell.sketches)
 
     return run
 
@@ -449,7 +468,7 @@ def build_graph(
     log: list[tuple[int, int]] = []
     sent = 0
     while rounds is None or len(log) < rounds:
-        rows = _round_rows(near, light, nodes, sent, k)
+        rows = _round_rows(near, nodes, sent)
         # the first lists are random: pairs across cells are looked at once they tell something
         worked = nodes.groupBy("cell").cogroup(rows.groupBy("cell")).applyInArrow(_join_cell(dims, k, keep, margin, bool(log)), _OUT_DDL)
         last, near = near, _merged(worked, keep)
@@ -484,11 +503,11 @@ def _lend(df: DataFrame, count: int, limit: int) -> DataFrame:
 def _merged(worked: DataFrame, keep: int) -> DataFrame:
     """One row a node of what the cells return: each neighbour once, old rather than new, the ``keep`` best, ties to the smaller id."""
     entries = F.transform(F.arrays_zip("b", "sim", "fresh", "home"), lambda s: F.struct((-s["sim"]).alias("far"), s["b"].alias("b"), s["fresh"].alias("fresh"), s["home"].alias("home")))
-    whole = worked.groupBy("a").agg(F.first("own").alias("own"), F.array_sort(F.flatten(F.collect_list(entries))).alias("s"), F.array_distinct(F.flatten(F.collect_list("far"))).alias("far"))
+    whole = worked.groupBy("a").agg(F.first("own").alias("own"), F.array_sort(F.flatten(F.collect_list(entries))).alias("s"), F.array_distinct(F.flatten(F.collect_list("far"))).alias("far"), F.max("sketch").alias("sketch"))
     best = F.slice(F.filter("s", lambda s, i: (i == 0) | (F.get("s", i - 1)["b"] != s["b"])), 1, keep)
     rows = whole.withColumn("s", best)
     return store(rows.select(
-        "a", "own", F.col("s.b").alias("b"), F.transform("s.far", lambda v: -v).alias("sim"), F.col("s.fresh").alias("fresh"), F.col("s.home").alias("home"), "far"
+        "a", "own", F.col("s.b").alias("b"), F.transform("s.far", lambda v: -v).alias("sim"), F.col("s.fresh").alias("fresh"), F.col("s.home").alias("home"), "far", "sketch"
     ))
 
 
@@ -507,27 +526,23 @@ def node_rows(encoded: DataFrame, light: DataFrame, count: int, broadcast_limit:
     return encoded.join(_lend(once, count, broadcast_limit), ["id", "hash"]).select("cell", "id", "code", "sketch", "home")
 
 
-def _round_rows(near: DataFrame, light: DataFrame, nodes: DataFrame, sent: int, k: int, broadcast_limit: int = 200_000) -> DataFrame:
-    """What a round needs in each cell, in the four kinds of ``_join_cell``: lists go to the cells of their node
+def _round_rows(near: DataFrame, nodes: DataFrame, sent: int, broadcast_limit: int = 200_000) -> DataFrame:
+    """What a round needs in each cell, in the three kinds of ``_join_cell``: lists go to the cells of their node
     and to the first cell of every neighbour."""
     nothing = lambda name, kind: F.lit(None).cast(kind).alias(name)
-    columns = {"a": "long", "own": "long", "b": "array<long>", "sim": "array<double>", "fresh": "array<boolean>", "home": "array<long>", "worst": "double", "sketch": "binary", "other": "long", "code": "binary"}
+    columns = {"a": "long", "own": "long", "b": "array<long>", "sim": "array<double>", "fresh": "array<boolean>", "home": "array<long>", "sketch": "binary", "other": "long", "code": "binary"}
     shape = lambda df, kind, *given: df.select("cell", F.lit(kind).alias("kind"), *(F.col(c) if c in given else nothing(c, t) for c, t in columns.items()))
     targets = F.array_distinct(F.concat(_cells(F.col("own")), F.transform("home", _first_cell)))
-    placed = near.select(F.explode(targets).alias("cell"), "a", "own", "b", "sim", "fresh", "home")
-    rows = shape(placed, 0, "a", "own", "b", "sim", "fresh", "home")
-    both = F.concat(F.array(F.struct(F.col("a").alias("n"), F.col("own").alias("home"))), F.transform(F.arrays_zip("b", "home"), lambda s: F.struct(s["b"].alias("n"), s["home"].alias("home"))))
-    away = placed.select("cell", F.explode(F.filter(both, lambda e: ~F.array_contains(_cells(e["home"]), F.col("cell")))).alias("e")).select("cell", F.col("e.n").alias("node"), F.col("e.home").alias("own")).distinct()
-    worst = near.select(F.col("a").alias("node"), F.coalesce(F.get("sim", F.lit(k - 1)), F.lit(-2.0)).alias("worst"))
-    known = away.join(light.select("node", "sketch"), "node").join(worst, "node")
-    rows = rows.unionByName(shape(known.withColumnRenamed("node", "a"), 1, "a", "own", "worst", "sketch"))
+    placed = near.select(F.explode(targets).alias("cell"), "a", "own", "b", "sim", "fresh", "home", "sketch")
+    guest = F.when(~F.array_contains(_cells(F.col("own")), F.col("cell")), F.col("sketch"))
+    rows = shape(placed.withColumn("sketch", guest), 0, "a", "own", "b", "sim", "fresh", "home", "sketch")
     if not sent:
         return rows
     pairs = near.where(F.array_size("far") > 0).select(_first_cell(F.col("own")).alias("cell"), "a", F.explode("far").alias("other"))
-    rows = rows.unionByName(shape(pairs, 2, "a", "other"))
+    rows = rows.unionByName(shape(pairs, 1, "a", "other"))
     wanted = pairs.select(F.col("cell").alias("to"), F.col("other").alias("id")).distinct()
     codes = nodes.where(_first_cell(F.col("home")) == F.col("cell")).select("id", "code", F.col("home").alias("own")).join(_lend(wanted, sent, broadcast_limit), "id")
-    return rows.unionByName(shape(codes.select(F.col("to").alias("cell"), F.col("id").alias("a"), "own", "code"), 3, "a", "own", "code"))
+    return rows.unionByName(shape(codes.select(F.col("to").alias("cell"), F.col("id").alias("a"), "own", "code"), 2, "a", "own", "code"))
 
 
 def nearest_ids(graph: Graph, k: int = 5, broadcast_limit: int = 100_000) -> DataFrame:

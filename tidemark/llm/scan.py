@@ -79,7 +79,7 @@ def fold(text: str) -> str:
 def title_key(line: str) -> tuple[str, list[str], str | None] | None:
     """(key, folded words, number at either end or None) of a line set like a title; else None."""
     t = line.strip()
-    if not t or len(t) > 90 or _IMAGE.match(t):
+    if not t or _IMAGE.match(t):
         return None
     if (m := _PAGE.fullmatch(t)) and page_value(m[1]):
         return None
@@ -90,7 +90,7 @@ def title_key(line: str) -> tuple[str, list[str], str | None] | None:
             t = (t[m.end():] if pattern is _LEADING else t[: m.start()]).strip()
             break
     words = re.findall(r"[\w@$|'’]+", t)
-    if not words or len(words) > 10 or not any(c.isalpha() for c in t) or t[-1] in ".,;:?!-¬\xad":
+    if not words or not any(c.isalpha() for c in t) or t[-1] in ".,;:?!-¬\xad":
         return None
     long = [w for w in words if w.lower() not in _SMALL and fold(w) not in {fold(s) for s in _SMALL}]
     if not long or sum(w[0].isupper() or not w[0].isalpha() for w in long) < 0.75 * len(long) or not words[0][0].isupper() and words[0][0].isalpha():

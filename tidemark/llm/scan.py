@@ -76,10 +76,14 @@ def fold(text: str) -> str:
     return t.translate(_FOLD)
 
 
+_SMALL_FOLDED = {fold(s) for s in _SMALL}
+
+
 def title_key(line: str) -> tuple[str, list[str], str | None] | None:
     """(key, folded words, number at either end or None) of a line set like a title; else None."""
     t = line.strip()
-    if not t or _IMAGE.match(t):
+    # most lines end here: no capital letter, or an end that no title has and no page number before it
+    if not t or t == t.lower() or _IMAGE.match(t) or (t[-1] in ".,;:?!-¬\xad" and not _TRAILING.search(t)):
         return None
     if (m := _PAGE.fullmatch(t)) and page_value(m[1]):
         return None
@@ -92,7 +96,7 @@ def title_key(line: str) -> tuple[str, list[str], str | None] | None:
     words = re.findall(r"[\w@$|'’]+", t)
     if not words or not any(c.isalpha() for c in t) or t[-1] in ".,;:?!-¬\xad":
         return None
-    long = [w for w in words if w.lower() not in _SMALL and fold(w) not in {fold(s) for s in _SMALL}]
+    long = [w for w in words if w.lower() not in _SMALL and fold(w) not in _SMALL_FOLDED]
     if not long or sum(w[0].isupper() or not w[0].isalpha() for w in long) < 0.75 * len(long) or not words[0][0].isupper() and words[0][0].isalpha():
         return None
     if all(not any(c.isalpha() for c in w) for w in long) or sum(w[0].isupper() for w in long) == 0:

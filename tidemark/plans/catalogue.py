@@ -13,8 +13,7 @@ from tidemark.sources.archives import ARCHIVE_SUFFIX
 
 QUERIES, ORACLE_SQL = {}, {}
 
-_Q = "tbsp tablespoon tsp teaspoon cup ounce oz gram lb pound ml litre liter".split()
-_S = "ingredients directions instructions method preheat bake simmer sauté saute stir whisk fold roast boil".split()
+_Q, _S = filters.QUANTITY_WORDS, filters.STRUCTURE_WORDS
 _HITS = lambda col, words: " + ".join(f"(CASE WHEN contains(lower({col}), '{w}') THEN 1 ELSE 0 END)" for w in words)
 #: A chunk delivered twice counts once.
 _CHUNKS = "(SELECT chunk_id, any_value(source_id) AS source_id, any_value(chunk_no) AS chunk_no, any_value(text) AS text, any_value(input_type) AS input_type FROM chunks GROUP BY chunk_id)"
@@ -212,7 +211,7 @@ _SMALL = "', '".join(text.SMALL_WORDS)
 
 
 @query(f"""SELECT p_partkey, array_to_string(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i > 1 AND i < len(w) AND list_contains(['{_SMALL}'], lower(w[i])) AND NOT contains(w[i], '-') THEN lower(w[i])
-  ELSE array_to_string(list_transform(string_split(w[i], '-'), lambda p: CASE WHEN list_contains(['BBQ','MSG','OJ','NYC','LA','SF','DC','UK','US','EU','TV'], upper(p)) THEN upper(p) ELSE upper(substr(p, 1, 1)) || lower(substr(p, 2)) END), '-') END), ' ') AS title
+  ELSE array_to_string(list_transform(string_split(w[i], '-'), lambda p: CASE WHEN list_contains(['{"', '".join(text.ACRONYMS)}'], upper(p)) THEN upper(p) ELSE upper(substr(p, 1, 1)) || lower(substr(p, 2)) END), '-') END), ' ') AS title
 FROM (SELECT p_partkey, string_split(trim(regexp_replace(p_name || ' of the bbq pan-fried ' || p_brand, '\\s+', ' ', 'g')), ' ') AS w FROM part)""")
 def title_case_names(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "part").select("p_partkey", text.title_case(F.concat("p_name", F.lit(" of the bbq pan-fried "), "p_brand")).alias("title"))
@@ -235,8 +234,12 @@ def _markdown(df: DataFrame) -> DataFrame:
     return df.select("doc_id", body.alias("md"))
 
 
-@query(f"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_MARKDOWN_SQL}, '(?:og|twitter):\\S+:.*\\n?', '', 'g'), '!\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'),
-  '\\[([^\\]]+)\\]\\([^)]*\\)', '\\1', 'g'), '(?m)^#{{1,6}}\\s+', '', 'g'), '[*_]{{1,2}}', '', 'g'), '^\\s+|\\s+$', '', 'g') AS plain FROM documents""")
+_PLAIN_SQL = _MARKDOWN_SQL
+for _pattern, _to in text.MARKDOWN_MARKS:
+    _PLAIN_SQL = f"regexp_replace({_PLAIN_SQL}, '{_pattern}', '{_to.replace('$', chr(92))}', 'g')"
+
+
+@query(rf"""SELECT doc_id, regexp_replace({_PLAIN_SQL}, '^\s+|\s+$', '', 'g') AS plain FROM documents""")
 def markdown_strip(spark: SparkSession, d: str) -> DataFrame:
     return _markdown(read_table(spark, d, "documents")).select("doc_id", text.markdown_text(F.col("md")).alias("plain"))
 

@@ -117,12 +117,6 @@ def sorted_axes(spark: SparkSession, d: str) -> DataFrame:
     return taxonomy.sorted_axes(axes).select("owner", "axis", F.array_join("tags", "|").alias("tags"))
 
 
-_SQL_TITLE = """array_to_string(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i > 1 AND i < len(w) AND list_contains(['{small}'], lower(w[i])) AND NOT contains(w[i], '-') THEN lower(w[i])
-  ELSE array_to_string(list_transform(string_split(w[i], '-'), lambda p: CASE WHEN list_contains(['{caps}'], upper(p)) THEN upper(p) ELSE upper(substr(p, 1, 1)) || lower(substr(p, 2)) END), '-') END), ' ')""".format(
-    small="','".join(text.SMALL_WORDS), caps="','".join(("BBQ", "MSG", "OJ", "NYC", "LA", "SF", "DC", "UK", "US", "EU", "TV"))
-)
-
-
 @query(f"""SELECT extraction_id, coalesce(array_to_string(directions, chr(10)), '') AS directions, coalesce(array_to_string(ingredients, chr(10)), '') AS ingredients, coalesce(servings, '') AS servings, coalesce(notes, '') AS notes,
   CASE WHEN extraction_id % 2 = 0 THEN photo END AS photo, CASE WHEN extraction_id % 2 = 0 AND photo IS NOT NULL THEN to_base64(encode('img ' || photo)) END AS photo_data,
   array_to_string(coalesce(categories, []), ',') AS categories, 'Kitchen Notes' AS source, len(uid_length) AS uid_length FROM (SELECT *, range(36) AS uid_length FROM {_EXTRACTIONS})""")

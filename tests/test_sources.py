@@ -3,9 +3,11 @@ import json
 import sqlite3
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.plans import pipeline
 from tidemark.plans.pipeline import restore, run_pipeline
 from tidemark.plans.providers import RuleProvider
 from tidemark.sources import archives, books, taxonomy
@@ -89,6 +91,37 @@ def test_a_chunk_is_atomic(spark):
     assert made.count() == 0 and "ing_99" in errors.first()["error"]
 
 
+def test_large_numbers_of_chunks_and_small_batches(spark):
+    text = "Soup\nIngredients\n1 egg\nMethod\n1. Beat."
+    chunks = spark.range(300).selectExpr("'s' as source_id", "id + 5000000000 as chunk_no", f"concat({text!r}, id % 2) as text", "'URL' as input_type").coalesce(1)
+    made, errors = run_pipeline(chunks)
+    assert made.agg(F.count("title"), F.min("chunk_no"), F.max("chunk_no"), F.min(F.size("embedding"))).first()[:] == (300, 5_000_000_000, 5_000_000_299, 1536)
+    assert errors.count() == 0 and dict(made.dtypes)["chunk_no"] == "bigint"
+
+
+def test_workers_hand_on_few_records_at_once(spark):
+    sizes = []
+    real = pa.RecordBatch.from_arrays
+
+    class Frame:
+        """Runs what ``mapInArrow`` is given here, on one batch of 1,000 chunks."""
+
+        schema = spark.createDataFrame([], "source_id string, chunk_no int, text string, input_type string").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, work, _):  # noqa: N802
+            text = "Soup\nIngredients\n1 egg\nMethod\n1. Beat."
+            batch = real([pa.array(["s"] * 1000), pa.array(range(1000), pa.int32()), pa.array([text] * 1000), pa.array(["URL"] * 1000)], ["source_id", "chunk_no", "text", "input_type"])
+            sizes.extend(b.num_rows for b in work(iter([batch])))
+            return spark.createDataFrame([], pipeline_schema)
+
+    pipeline_schema = f"source_id string, chunk_no int, recipe_no int, record {pipeline._DDL}, error string"
+    run_pipeline(Frame())
+    assert sum(sizes) == 1000 and max(sizes) <= 200
+
+
 def test_conversion_to_weights():
     raw = {"name": "A", "ingredients": ["2 cups flour", "salt"], "directions": []}
     got = RuleProvider().refine(raw, weights=True)["ingredients"]

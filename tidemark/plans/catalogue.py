@@ -508,7 +508,7 @@ def backoff(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def pipeline_records(spark: SparkSession, d: str) -> DataFrame:
     """Final records of all documents by the offline provider."""
-    docs = read_table(spark, d, "documents").select(F.col("source_id"), F.col("doc_id").cast("int").alias("chunk_no"), "text", F.lit("URL").alias("input_type"))
+    docs = read_table(spark, d, "documents").select(F.col("source_id"), F.col("doc_id").alias("chunk_no"), "text", F.lit("URL").alias("input_type"))
     axes = {"Meal": ["Soup", "Salad", "Cake", "Curry"], "Main": ["Chicken", "Tofu", "Beef", "Lentil"]}
     made, _ = run_pipeline(docs, axes)
     return made.select("source_id", "chunk_no", "recipe_no", "title", F.size("ingredients").alias("ingredients"), F.size("directions").alias("directions"), F.array_join("categories", ",").alias("categories"))

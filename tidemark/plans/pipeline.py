@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tidemark.functions.scalar import TOKEN
 from tidemark.operators.records import DIMENSIONS, flat_tags, keep_allowed_tags, route
@@ -32,6 +33,9 @@ _DDL = (
     "directions:array<struct<step:int,text:string>>,grid_categories:map<string,array<string>>,embedding:array<float>>"
 )
 
+#: Rows that a worker hands on at once: as Python values a record's vector takes some 50 kB.
+_SLICE = 128
+
 
 def _check_references(record: dict) -> None:
     import re
@@ -48,13 +52,21 @@ def run_pipeline(chunks: DataFrame, axes: dict[str, list[str]] | None = None, pr
 
     records: source_id, chunk_no, recipe_no, the record's fields, grid_categories limited to ``axes``,
     categories, embedding. errors: source_id, chunk_no, error. Blank chunks are errors; a chunk without
-    recipes gives neither.
+    recipes gives neither. chunk_no stays a BIGINT where it is one, else it is an INT.
     """
     provider, taxonomy = provider or RuleProvider(), axes or {}
+    number, number_type = ("bigint", pa.int64()) if isinstance(chunks.schema["chunk_no"].dataType, LongType) else ("int", pa.int32())
+
+    def rows_of(out: list[tuple]) -> pa.RecordBatch:
+        s, n, i, r, e = zip(*out)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(s, pa.string()), pa.array(n, number_type), pa.array(i, pa.int32()), pa.array(r, _RECORD), pa.array(e, pa.string())],
+            ["source_id", "chunk_no", "recipe_no", "record", "error"],
+        )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
         for batch in batches:
-            out: list[tuple] = []
             for source, no, text, kind in zip(*(c.to_pylist() for c in batch.columns)):
                 try:
                     if not (text or "").strip():
@@ -76,16 +88,15 @@ def run_pipeline(chunks: DataFrame, axes: dict[str, list[str]] | None = None, pr
                     out += [(source, no, i, r, None) for i, r in enumerate(done)]
                 except Exception as e:  # noqa: BLE001 - the chunk fails, not the task
                     out.append((source, no, -1, None, f"{type(e).__name__}: {e}"))
-            if out:
-                s, n, i, r, e = zip(*out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(s, pa.string()), pa.array(n, pa.int32()), pa.array(i, pa.int32()), pa.array(r, _RECORD), pa.array(e, pa.string())],
-                    ["source_id", "chunk_no", "recipe_no", "record", "error"],
-                )
-
-    rows = chunks.select(F.col("source_id").cast("string"), F.col("chunk_no").cast("int"), F.col("text"), F.col("input_type"))
+                if len(out) >= _SLICE:
+                    yield rows_of(out)
+                    out = []
+        if out:
+            yield rows_of(out)
+
+    rows = chunks.select(F.col("source_id").cast("string"), F.col("chunk_no").cast(number), F.col("text"), F.col("input_type"))
     # written once: records and errors both read it, and no provider is called twice for a chunk
-    worked = store(rows.mapInArrow(work, f"source_id string, chunk_no int, recipe_no int, record {_DDL}, error string"))
+    worked = store(rows.mapInArrow(work, f"source_id string, chunk_no {number}, recipe_no int, record {_DDL}, error string"))
     grid = keep_allowed_tags(F.col("record.grid_categories"), taxonomy)
     records = worked.where("error is null").select(
         "source_id", "chunk_no", "recipe_no", "record.title", "record.base_servings", "record.prep_time", "record.cook_time",

@@ -44,6 +44,32 @@ def test_reading_archives(spark, tmp_path):
     assert whole.count() == 2 and rest.count() == 3 and whole.first()["categories"] == ["Soup"]
 
 
+def test_members_of_one_archive_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    path = archive(tmp_path / "a.zip", [(f"{i}.paprikarecipe", {"name": str(i), "notes": "x" * i}) for i in range(300)], [("7.paprikarecipe", b'{"name": "again"}'), ("p.jpg", b"image")])
+    monkeypatch.setattr(archives, "TASK_BYTES", 4000)
+    monkeypatch.setattr(archives, "SLICE_MEMBERS", 20)
+    rows = archives.read_entries(spark, path)
+    assert rows.rdd.getNumPartitions() > 4 and max(rows.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()) < 150
+    got = {r["member_no"]: json.loads(r["entry"]) for r in rows.collect()}
+    # of two members of one name each has its own content
+    assert len(got) == 301 and all(got[i]["name"] == str(i) for i in range(300)) and got[300] == {"name": "again"}
+
+
+def test_written_members_are_packed_by_tasks_and_listed_in_order(spark, tmp_path, monkeypatch):
+    rows = spark.range(50, numPartitions=5).selectExpr("lpad(50 - id, 3, '0') as uid", "if(id % 2 = 0, 'Crème', concat('N', id)) as name", "0 as rating", "'{\"title\": 1}' as meta")
+    seen = []
+    real = archives._append
+    monkeypatch.setattr(archives, "_append", lambda *a: seen.append(type(a[2])) or real(*a))
+    path = str(tmp_path / "o.paprikarecipes")
+    assert archives.write_archive(rows, path, meta_col="meta", order=["uid"]) == 50
+    with zipfile.ZipFile(path) as z:
+        assert z.testzip() is None
+        entries = [json.loads(gzip.decompress(z.read(n))) for n in z.namelist()]
+        assert [e["uid"] for e in entries] == sorted(e["uid"] for e in entries) and entries[0][archives.META_KEY] == {"title": 1}
+        assert [n for n in z.namelist() if n.startswith("C")] == [f"Crème{f' {i}' if i > 1 else ''}.paprikarecipe" for i in range(1, 26)]
+    assert len(seen) == 50 and set(seen) <= {bytes, bytearray}
+
+
 def test_not_an_archive(spark, tmp_path):
     (tmp_path / "x.zip").write_bytes(b"no zip")
     assert archives.read_entries(spark, str(tmp_path / "x.zip")).first()["member_no"] == -1

@@ -285,7 +285,9 @@ def tokens_strip(spark: SparkSession, d: str) -> DataFrame:
 
 def _recipe_arrays(spark: SparkSession, d: str) -> DataFrame:
     """recipe_id, ingredients in order of id, and a direction for each; every seventh recipe by hash refers to ing_99."""
-    lists = ingredients_once(spark, d).groupBy("recipe_id").agg(
+    # one shuffle: rows of a recipe, repeated ones too, come together before they are compared
+    rows = read_table(spark, d, "structured_ingredients").select("recipe_id", "ing_id", "amount", "unit", "name", "fallback_string").repartition("recipe_id")
+    lists = rows.dropDuplicates(["recipe_id", "ing_id"]).groupBy("recipe_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col("ing_id").alias("id"), F.coalesce("amount", F.lit(0.0)).alias("amount"), "unit", "name", F.coalesce("fallback_string", F.lit("")).alias("fallback_string")))).alias("ingredients")
     )
     extra = F.when(F.conv(F.substring(F.md5("recipe_id"), 1, 2), 16, 10).cast("int") % 7 == 0, F.array(F.struct(F.lit(99).alias("step"), F.lit("Serve with {{ing_99|more}}.").alias("text")))).otherwise(F.array().cast("array<struct<step:int,text:string>>"))

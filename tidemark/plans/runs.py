@@ -132,10 +132,10 @@ def merge_to_file(spark: SparkSession, paths: list[str], folder: str, now: datet
             if row["archive_no"] != number:
                 number = row["archive_no"]
                 source = zipfile.ZipFile(paths[number].removeprefix("file://"))
-            member = source.namelist()[row["member_no"]]
-            name, at = member, 2
+            member = source.infolist()[row["member_no"]]
+            name, at = member.filename, 2
             while name in used:
-                name, at = f"{member.removesuffix(archives.MEMBER_SUFFIX)} {at}{archives.MEMBER_SUFFIX}", at + 1
+                name, at = f"{member.filename.removesuffix(archives.MEMBER_SUFFIX)} {at}{archives.MEMBER_SUFFIX}", at + 1
             used.add(name)
             out.writestr(name, source.read(member))
     return target

@@ -102,10 +102,15 @@ def store_buckets(df: DataFrame, column: str, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
+def delete_file(spark: SparkSession, name: str) -> None:
+    """Deletes a file or folder of any shared storage."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Deletes the files of a table that :func:`store` wrote; nothing may read it any more."""
     for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
         if not folder.rsplit("/", 1)[-1].startswith("table-"):
             raise ValueError(f"{folder} is no stored table")
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        delete_file(df.sparkSession, folder)

@@ -5,16 +5,23 @@ from __future__ import annotations
 import gzip
 import io
 import json
+import pickle
+import re
+import struct
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import IO
 
 import pyarrow as pa
+import pyarrow.fs  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from tidemark.functions.text import normal_name, safe_file_name
 from tidemark.operators.dedupe import first_wins
 from tidemark.operators.records import DIMENSIONS, ENTRY_KEYS
+from tidemark.session import delete_file, drop_stored, store
 
 # What the file format names things.
 MEMBER_SUFFIX = ".paprikarecipe"
@@ -30,51 +37,104 @@ RECORD = (
 ENTRY_SCHEMA = "archive string, member_no int, member string, entry string, error string"
 
 
-def _entries(content: bytes, any_member: bool, plain_json: bool) -> Iterator[tuple[int, str, str | None, str | None]]:
-    """(member number, name, JSON text or None, error or None) of the members of one archive."""
-    try:
-        archive = zipfile.ZipFile(io.BytesIO(content))
-    except zipfile.BadZipFile as e:
-        yield -1, "", None, f"not an archive: {e}"
-        return
-    for no, name in enumerate(archive.namelist()):
-        if not any_member and not name.lower().endswith(MEMBER_SUFFIX):
-            continue
-        try:
-            raw = archive.read(name)
-            try:
-                text = gzip.decompress(raw).decode("utf-8")
-            except (gzip.BadGzipFile, EOFError):
-                if not plain_json:
-                    raise
-                text = raw.decode("utf-8")
-            if not isinstance(json.loads(text), dict):
-                raise ValueError("not an object")
-            yield no, name, text, None
-        except Exception as e:  # noqa: BLE001 - one bad member must not lose the archive
-            yield no, name, None, f"{type(e).__name__}: {e}"
+#: A task reads about so many bytes of archives, members are handed to it in slices of at most so many bytes and members.
+TASK_BYTES, SLICE_BYTES, SLICE_MEMBERS = 8_000_000, 1_000_000, 256
+#: Bytes of text or images that a worker collects before it hands them on.
+OUT_BYTES = 4_000_000
+_EMPTY_ZIP = b"PK\5\6" + bytes(18)
+
+
+def _open(path: str) -> IO[bytes]:
+    """A file of any shared storage, to be read at any place of it."""
+    if re.match(r"file:|/", path):
+        return open(re.sub(r"^file:(//)?", "", path), "rb")
+    system, name = pa.fs.FileSystem.from_uri(path)
+    return system.open_input_file(name)
+
+
+def _member_slices(spark: SparkSession, path: str, wanted: Callable[[str], bool]) -> DataFrame:
+    """(archive, members, error): the wanted members of every archive under ``path`` in slices, spread over tasks.
+
+    Only the directory of an archive is read here, in one task: about 1 kB of memory a member.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(source: str, members: list, error: str | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([source]), pa.array([pickle.dumps(members)], pa.binary()), pa.array([error], pa.string())], ["archive", "members", "error"])
+
+        for batch in batches:
+            for source in batch.column(0).to_pylist():
+                with _open(source) as file:
+                    try:
+                        infos = zipfile.ZipFile(file).infolist()
+                    except zipfile.BadZipFile as e:
+                        yield row(source, [], f"not an archive: {e}")
+                        continue
+                members, size = [], 0
+                for no, info in enumerate(infos):
+                    if wanted(info.filename):
+                        members.append((no, info))
+                        size += info.compress_size
+                    if members and (size >= SLICE_BYTES or len(members) >= SLICE_MEMBERS):
+                        yield row(source, members, None)
+                        members, size = [], 0
+                if members:
+                    yield row(source, members, None)
+
+    tasks = -(-(files.agg(F.sum("length")).first()[0] or 1) // TASK_BYTES)
+    return files.select("path").mapInArrow(run, "archive string, members binary, error string").repartition(tasks)
+
+
+def _slice_rows(batches: Iterator[pa.RecordBatch], rows: Callable[[zipfile.ZipFile, list], Iterator[tuple]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """What ``rows`` makes of each slice, behind its archive; a file that is no archive has one row with its error."""
+    names = schema.names
+    for batch in batches:
+        for source, members, error in zip(*(c.to_pylist() for c in batch.columns)):
+            if error:
+                yield pa.RecordBatch.from_pylist([{"archive": source, "member_no": -1, "member": "", "error": error}], schema)
+                continue
+            with _open(source) as file:
+                # the members' places are known: no task reads the whole directory again
+                archive = zipfile.ZipFile(io.BytesIO(_EMPTY_ZIP))
+                archive.fp = file
+                out, size = [], 0
+                for row in rows(archive, pickle.loads(members)):
+                    out.append(dict(zip(names, (source, *row))))
+                    size += sum(len(v) for v in row if isinstance(v, (str, bytes)))
+                    if size >= OUT_BYTES:
+                        yield pa.RecordBatch.from_pylist(out, schema)
+                        out, size = [], 0
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema)
 
 
 def read_entries(spark: SparkSession, path: str, any_member: bool = False, plain_json: bool = True) -> DataFrame:
     """(archive, member_no, member, entry, error): one row per member of every archive under ``path``.
 
     Members that cannot be read keep their row with an error and no entry; a file that is no archive
-    has one such row with member_no -1. Archives are read one per task, members streamed.
+    has one such row with member_no -1. Members of one archive are read by many tasks, each by its place.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    schema = pa.schema([("archive", pa.string()), ("member_no", pa.int32()), ("member", pa.string()), ("entry", pa.string()), ("error", pa.string())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for source, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = [(source, *r) for r in _entries(content, any_member, plain_json)]
-                if rows:
-                    a, n, m, e, x = zip(*rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(a, pa.string()), pa.array(n, pa.int32()), pa.array(m, pa.string()), pa.array(e, pa.string()), pa.array(x, pa.string())],
-                        ["archive", "member_no", "member", "entry", "error"],
-                    )
+    def rows(archive: zipfile.ZipFile, members: list) -> Iterator[tuple]:
+        for no, info in members:
+            try:
+                raw = archive.read(info)
+                try:
+                    text = gzip.decompress(raw).decode("utf-8")
+                except (gzip.BadGzipFile, EOFError):
+                    if not plain_json:
+                        raise
+                    text = raw.decode("utf-8")
+                if not isinstance(json.loads(text), dict):
+                    raise ValueError("not an object")
+                yield no, info.filename, text, None
+            except Exception as e:  # noqa: BLE001 - one bad member must not lose the archive
+                yield no, info.filename, None, f"{type(e).__name__}: {e}"
 
-    return files.mapInArrow(run, ENTRY_SCHEMA)
+    slices = _member_slices(spark, path, lambda name: any_member or name.lower().endswith(MEMBER_SUFFIX))
+    return slices.mapInArrow(lambda batches: _slice_rows(batches, rows, schema), ENTRY_SCHEMA)
 
 
 def parse_entries(entries: DataFrame) -> DataFrame:
@@ -108,20 +168,14 @@ def entry_chunks(parsed: DataFrame) -> DataFrame:
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """(archive, member, content) of the image members of every archive under ``path``."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    schema = pa.schema([("archive", pa.string()), ("member", pa.string()), ("content", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for source, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile:
-                    continue
-                for name in archive.namelist():
-                    if name.lower().endswith(IMAGE_SUFFIXES):
-                        yield pa.RecordBatch.from_arrays([pa.array([source]), pa.array([name]), pa.array([archive.read(name)], pa.binary())], ["archive", "member", "content"])
+    def rows(archive: zipfile.ZipFile, members: list) -> Iterator[tuple]:
+        for _, info in members:
+            yield info.filename, archive.read(info)
 
-    return files.mapInArrow(run, "archive string, member string, content binary")
+    slices = _member_slices(spark, path, lambda name: name.lower().endswith(IMAGE_SUFFIXES))
+    return slices.where("error is null").mapInArrow(lambda batches: _slice_rows(batches, rows, schema), "archive string, member string, content binary")
 
 
 def with_images(parsed: DataFrame, images: DataFrame) -> DataFrame:
@@ -131,32 +185,79 @@ def with_images(parsed: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def write_archive(entries: DataFrame, path: str, name_col: str = "name", meta_col: str | None = None, order: list[str] | None = None) -> int:
-    """Writes one archive from export rows, streaming them through the driver; returns the number of entries.
+    """Writes one archive from export rows; returns the number of entries.
 
-    Only for results meant for one file: rows arrive a partition at a time and are never held all at
-    once. No rows, no file. With ``meta_col`` (JSON text) the full record is embedded.
+    Members are packed on the executors into files of the shared folder; the driver appends and deletes one
+    after the other, so there is no second copy of the archive. The directory lists the members by ``order``;
+    it stays in the driver's memory until the end, about 1 kB a member. No rows, no file. With ``meta_col``
+    (JSON text) the full record is embedded.
     """
     values = [c for c in ENTRY_KEYS if c in entries.columns]
-    rows = entries.select(safe_file_name(F.col(name_col)).alias("_member"), F.to_json(F.struct(*values), {"ignoreNullFields": "false"}).alias("_entry"), *([F.col(meta_col).alias("_meta")] if meta_col else []), *(order or []))
-    if order:
-        rows = rows.orderBy(*order)
-    written, archive, used = 0, None, {}
+    keys = order or []
+    meta = F.col(meta_col) if meta_col else F.lit(None).cast("string")
+    rows = entries.select(safe_file_name(F.col(name_col)).alias("_member"), F.to_json(F.struct(*values), {"ignoreNullFields": "false"}).alias("_entry"), meta.alias("_meta"), *keys)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_MEMBERS):
+                batch = whole.slice(at, SLICE_MEMBERS)
+                packed = [_packed(e, m, bool(meta_col)) for e, m in zip(batch["_entry"].to_pylist(), batch["_meta"].to_pylist())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(3 + i) for i in range(len(keys))), batch["_member"], pa.array(packed, pa.binary())], [*keys, "_member", "_packed"])
+
+    ready = store(rows.mapInArrow(pack, StructType([*(rows.schema[c] for c in keys), StructField("_member", StringType()), StructField("_packed", BinaryType())])))
+    archive, written = None, []
     try:
-        for row in rows.toLocalIterator():
-            archive = archive or zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED)
-            entry = json.loads(row["_entry"])
-            if "rating" in entry and entry["rating"] is not None:
-                entry["rating"] = int(entry["rating"])
-            if meta_col:
-                entry[META_KEY] = json.loads(row["_meta"]) if row["_meta"] else None
-            count = used[row["_member"]] = used.get(row["_member"], 0) + 1
-            member = row["_member"] + (f" {count}" if count > 1 else "") + MEMBER_SUFFIX
-            archive.writestr(member, gzip.compress(json.dumps(entry, ensure_ascii=False).encode("utf-8")))
-            written += 1
+        for file in sorted(ready.inputFiles()):
+            for row in ready.sparkSession.read.schema(ready.schema).parquet(file).toLocalIterator():
+                archive = archive or zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED)
+                written.append((tuple((row[c] is not None, row[c]) for c in keys), row["_member"], _append(archive, row["_member"], row["_packed"], len(written))))
+            delete_file(ready.sparkSession, file)
+        if archive:
+            _name_members(archive, sorted(written, key=lambda w: w[0]))
     finally:
         if archive:
             archive.close()
-    return written
+        drop_stored(ready)
+    return len(written)
+
+
+#: Bytes of a member's header that are left for the number behind its name.
+_ROOM = 16
+
+
+def _append(archive: zipfile.ZipFile, name: str, content: bytes, no: int) -> zipfile.ZipInfo:
+    """Appends a member whose name is given later: its header has room for it."""
+    info = zipfile.ZipInfo(f"{no:010d}".ljust(len((name + MEMBER_SUFFIX).encode("utf-8")) + _ROOM, "_"))
+    archive.writestr(info, content, zipfile.ZIP_DEFLATED)
+    return info
+
+
+def _name_members(archive: zipfile.ZipFile, members: list[tuple[tuple, str, zipfile.ZipInfo]]) -> None:
+    """Names the members (key, name, info) in this order, repeated names with a number, and lists them so."""
+    used: dict[str, int] = {}
+    for _, name, info in members:
+        count = used[name] = used.get(name, 0) + 1
+        size = len(info.filename)
+        info.filename = name + (f" {count}" if count > 1 else "") + MEMBER_SUFFIX
+        spare = size - len(info.filename.encode("utf-8"))
+        info.extra = struct.pack("<HH", 0xFFFF, spare - 4) + bytes(spare - 4)  # the rest of the room
+        archive.fp.seek(info.header_offset)
+        archive.fp.write(info.FileHeader(False))
+        info.extra = b""
+    archive.filelist[:] = [info for *_, info in members]
+
+
+def _packed(entry: str, meta: str | None, with_meta: bool) -> bytes:
+    """A member's bytes from the JSON texts of its entry and of its full record."""
+    values = json.loads(entry)
+    if "rating" in values and values["rating"] is not None:
+        values["rating"] = int(values["rating"])
+    text = json.dumps(values, ensure_ascii=False)
+    if with_meta:
+        if meta:
+            json.loads(meta)  # put in as it is, so it must be JSON
+        text = f"{text[:-1]}{', ' if values else ''}{json.dumps(META_KEY)}: {meta or 'null'}}}"
+    return gzip.compress(text.encode("utf-8"), 6)
 
 
 def record_json(recipes: DataFrame) -> DataFrame:

@@ -70,6 +70,14 @@ def test_written_members_are_packed_by_tasks_and_listed_in_order(spark, tmp_path
     assert len(seen) == 50 and set(seen) <= {bytes, bytearray}
 
 
+def test_a_full_record_is_parsed_once_an_entry(spark, tmp_path):
+    path = archive(tmp_path / "a.zip", [("1.paprikarecipe", {"name": "Soup", archives.META_KEY: META}), ("2.paprikarecipe", {"name": "x", archives.META_KEY: {"title": "no lists"}})])
+    parsed = archives.parse_entries(archives.read_entries(spark, path)).select("name", "meta")
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+    assert {r["name"]: r["meta"] and r["meta"]["title"] for r in parsed.collect()} == {"Soup": "Soup", "x": None}
+
+
 def test_not_an_archive(spark, tmp_path):
     (tmp_path / "x.zip").write_bytes(b"no zip")
     assert archives.read_entries(spark, str(tmp_path / "x.zip")).first()["member_no"] == -1

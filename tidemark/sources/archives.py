@@ -146,11 +146,12 @@ def parse_entries(entries: DataFrame) -> DataFrame:
     get = lambda k: F.get_json_object("entry", f"$.{k}")
     fields = [get(k).alias(k) for k in ENTRY_KEYS if k != "categories"]
     embedded = F.get_json_object("entry", f"$.{META_KEY}")
-    meta = F.from_json(embedded, RECORD)
-    valid = meta["title"].isNotNull() & meta["structured_ingredients"].isNotNull() & meta["tokenized_directions"].isNotNull()
+    # as an element of an array the record is parsed once; fields asked of from_json itself would parse it once each
+    valid = lambda m: m["title"].isNotNull() & m["structured_ingredients"].isNotNull() & m["tokenized_directions"].isNotNull()
+    meta = F.get(F.filter(F.array(F.from_json(embedded, RECORD)), valid), F.lit(0))
     return entries.select(
         "archive", "member_no", "member", *fields, F.from_json(get("categories"), "array<string>").alias("categories"),
-        get("photo").alias("photo"), F.when(valid, meta).alias("meta"),
+        get("photo").alias("photo"), meta.alias("meta"),
     )
 
 

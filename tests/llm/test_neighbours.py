@@ -1,5 +1,7 @@
 import numpy as np
+import pyarrow as pa
 
+from tidemark.llm import neighbours
 from tidemark.llm.neighbours import build_graph, encode, encode_vectors, exact_cosine, greedy_search, nearest_ids, node_rows
 
 DIMS = 32
@@ -100,3 +102,56 @@ def test_joins_raise_the_recall_from_a_random_graph(spark):
         lists = {r["a"]: r["b"][:5] for r in graph.near.collect()}
         recall.append(np.mean([len(set(want[i]) & set(lists.get(i, []))) / 5 for i in range(600)]))
     assert recall[0] < 0.2 and recall[1] >= 0.95 and recall[2] >= 0.99
+
+
+def settled(x, k=5, ids=None, **kw):
+    """The lists of one cell, made in one pass over its codes."""
+    codes, sketches = encode(x.astype(np.float32))
+    n = len(x)
+    nodes = pa.table({"cell": [0] * n, "id": np.arange(n) if ids is None else ids, "code": codes, "sketch": [s.tobytes() for s in sketches], "home": [0] * n})
+    out = neighbours._settle_cell(x.shape[1], k, 12, 0.002, kw.get("rounds"), kw.get("check", True))(nodes)
+    return {a: b[:k] for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist())}
+
+
+def test_a_cell_settles_in_one_pass(monkeypatch):
+    rows = vectors(700, 30)
+    want = brute(rows, 5)
+    whole = np.array([v for _, v in rows])
+    rng = np.random.default_rng(1)
+    broken = whole + 0.3 * rng.standard_normal(whole.shape)  # on no grid of integers
+    for x in (whole, broken):
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        sims = unit @ unit.T
+        joined, checked = settled(x, check=False), settled(x)
+        if x is whole:
+            assert checked == want
+        assert np.mean([sims[i, j] >= np.sort(np.delete(sims[i], i))[-5] - 1e-4 for i, near in checked.items() for j in near]) == 1
+        same = lambda other: np.mean([len(set(other[i]) & set(checked[i])) / 5 for i in checked])
+        assert same(settled(x, rounds=0, check=False)) < 0.2 and same(joined) >= 0.95
+        with monkeypatch.context() as m:  # a cell too large for its table
+            m.setattr(neighbours, "TABLE", 0)
+            assert settled(x) == checked
+    assert settled(whole[:1]) == {} and settled(whole[:3]) == brute(rows[:3], 5)
+    twice = np.concatenate([np.arange(700), np.arange(5)])  # rows delivered twice
+    assert settled(np.concatenate([whole, whole[:5]]), ids=twice) == want
+
+
+def test_ties_in_a_cell_go_to_the_smaller_ids():
+    x = np.ones((40, DIMS))
+    x[np.arange(1, 33), np.arange(32)] = 2  # all of them as far from each other and from the first
+    x = x[:33]
+    near = settled(x)
+    assert near[0] == [1, 2, 3, 4, 5] and near[9] == [0, 1, 2, 3, 4] and near == brute([(i, list(v)) for i, v in enumerate(x)], 5)
+
+
+def test_vectors_are_read_and_encoded_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(vectors(600, 20), "vec_id bigint, embedding array<float>").mapInArrow(count, "vec_id bigint, embedding array<float>")
+    assert nearest_ids(build_graph(df, "vec_id", "embedding", DIMS, cell=128), 5).count() == 3000
+    assert read.value == 600

@@ -155,3 +155,17 @@ def test_vectors_are_read_and_encoded_once(spark):
     df = spark.createDataFrame(vectors(600, 20), "vec_id bigint, embedding array<float>").mapInArrow(count, "vec_id bigint, embedding array<float>")
     assert nearest_ids(build_graph(df, "vec_id", "embedding", DIMS, cell=128), 5).count() == 3000
     assert read.value == 600
+
+
+def test_more_nodes_than_are_lent_find_their_cells_without_a_join(spark):
+    rows = vectors(600, 5)
+    rows += [(1000 + i, rows[3][1]) for i in range(20)] + [rows[7]] * 3  # copies, and a row delivered again
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    many, one = (build_graph(df, "vec_id", "embedding", DIMS, cell=c, broadcast_limit=5) for c in (64, 1024))
+    assert many.rounds and not one.rounds and sorted(r["a"] for r in many.near.select("a").collect()) == list(range(600))
+    want = brute(rows, 5)
+    for graph, least in ((many, 0.9), (one, 1)):
+        got = {}
+        for r in nearest_ids(graph, 5).collect():
+            got.setdefault(r["id"], {})[r["place"]] = r["other"]
+        assert sum(len(set(want[i]) & set(got[i].values())) for i in want) >= least * 5 * len(want)

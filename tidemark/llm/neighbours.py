@@ -41,7 +41,7 @@ SKETCH = 128
 #: Neighbours kept a node while the graph is built.
 LIST = 12
 #: Bytes that the products of all pairs of a cell may take; those of a larger cell are made block by block.
-TABLE = 160_000_000
+TABLE = 80_000_000
 #: Both cells of a node as one number: the first 31 bits up, the second (the first again where there is none) below.
 _SHIFT, _LOW = 31, 2**31 - 1
 
@@ -174,9 +174,10 @@ def _splitter(centres: np.ndarray, bits: np.ndarray):
     return F.pandas_udf(split, ArrayType(LongType()))
 
 
-def _numberer(number: dict[int, int]):
+def _numberer(number: dict[int, int], others: dict[int, int]):
     """A UDF from cells to their numbers 0, 1, ..., each once; those of too few nodes have the number of another one of their centre."""
-    return F.pandas_udf(lambda cells: pd.Series([list(dict.fromkeys(number[int(c)] for c in picked)) for picked in cells], dtype=object), ArrayType(LongType()))
+    find = lambda c: number.get(int(c), number[others[int(c) >> 32]])
+    return F.pandas_udf(lambda cells: pd.Series([list(dict.fromkeys(find(c) for c in picked)) for picked in cells], dtype=object), ArrayType(LongType()))
 
 
 class _Cell:
@@ -204,16 +205,15 @@ class _Cell:
         for lo in range(0, n, 512):
             dots = self.x[lo:lo + 512] @ self.x.T if self.table is None else self.table[lo:lo + 512]
             row = np.arange(len(dots))
-            # within a row the order does not depend on its own length; what may be equal in single precision is kept
-            score = np.multiply(dots, self.lengths, dtype=np.float32, casting="same_kind")
-            if pool is not None:
-                score[~pool[lo:lo + 512]] = -np.inf
-            score[row, row + lo] = -np.inf
-            if keep < n:
+            asked = np.ones(dots.shape, bool) if pool is None else pool[lo:lo + 512]
+            asked[row, row + lo] = False
+            if keep < n and np.count_nonzero(asked) > 4 * keep * len(dots):
+                # within a row the order does not depend on its own length; what may be equal in single precision is kept
+                score = np.multiply(dots, self.lengths, dtype=np.float32, casting="same_kind")
+                score[~asked] = -np.inf
                 least = np.partition(score, n - keep, axis=1)[:, n - keep, None]
-                i, j = np.nonzero((score >= least - 1e-6 * np.abs(np.where(np.isinf(least), 0, least))) & (score > -np.inf))
-            else:
-                i, j = np.nonzero(score > -np.inf)
+                asked = (score >= least - 1e-6 * np.abs(np.where(np.isinf(least), 0, least))) & asked
+            i, j = np.nonzero(asked)
             c = dots[i, j].astype(np.float64) / np.sqrt(self.squares[i + lo] * self.squares[j])
             order = np.lexsort((j, -c, i))
             order = order[_ranks(i[order]) < keep]
@@ -310,7 +310,7 @@ def _settle_cell(dims: int, k: int, keep: int, least: float, rounds: int | None,
     return run
 
 
-_PAIRS = pa.schema([("a", pa.int64()), ("other", pa.int64()), ("place", pa.int64())])
+_PAIRS = pa.schema([("a", pa.int64()), ("other", pa.int64()), ("place", pa.int64()), ("home", pa.int64()), ("other_home", pa.int64())])
 
 
 def _apart_cell(k: int, keep: int, margin: float):
@@ -376,7 +376,7 @@ def _apart_cell(k: int, keep: int, margin: float):
             far.append(pair[likely])
         pair = np.unique(np.concatenate(far))
         a, b = pair // len(names), pair % len(names)
-        return pa.table([pa.array(names[a]), pa.array(names[b]), pa.array(one[a])], schema=_PAIRS)
+        return pa.table([pa.array(names[a]), pa.array(names[b]), pa.array(one[a]), pa.array(home[a]), pa.array(home[b])], schema=_PAIRS)
 
     return run
 
@@ -415,7 +415,7 @@ class Graph:
 
 def build_graph(
     vectors: DataFrame, id_col: str, vector_col: str, dims: int, k: int = 5, cell: int = CELL, border: float = BORDER,
-    margin: float = 0.1, least: float = 0.002, rounds: int | None = None, keep: int = LIST, check: bool = True,
+    margin: float = 0.1, least: float = 0.002, rounds: int | None = None, keep: int = LIST, check: bool = True, broadcast_limit: int = 200_000,
 ) -> Graph:
     """The neighbour graph of all usable vectors.
 
@@ -464,22 +464,33 @@ def build_graph(
         if sizes[at] > sizes.get(largest.get(at >> 32, -1), 0):
             largest[at >> 32] = at
     kept = {at: i for i, at in enumerate(at for at in sorted(sizes) if sizes[at] >= LEAST or largest[at >> 32] == at)}
-    light = store(placed.select("node", "hash", "sketch", _numberer({at: kept.get(at, kept[largest[at >> 32]]) for at in sizes})("cells").alias("cells")))
+    numbered = _numberer(kept, largest)
+    light = store(placed.select("node", "hash", "sketch", numbered("cells").alias("cells")))
     drop_stored(placed)
     # one row a node and cell, brought together once: no round moves the codes of a cell again
     parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // 20_000))
-    nodes = node_rows(encoded, light, total).repartition(parts, "cell")
+    many = groups.where("copies > 1").select("hash", "node")
+    if total > broadcast_limit >= many.count():
+        # too many nodes to lend, but few with copies: each row finds its cells itself, and no shuffle brings it to them first
+        cells = _placer(centres, border)("sketch")
+        cells = numbered(_splitter(centres, bits)("sketch", cells) if bits.any() else cells)
+        own = encoded.join(F.broadcast(many), "hash", "left").where("node is null or id = node")
+        nodes = _by_cell(own.withColumn("cells", cells))
+    else:
+        nodes = node_rows(encoded, light, total, broadcast_limit)
+    nodes = nodes.repartition(parts, "cell")
 
     near = _merged(nodes.groupBy("cell").applyInArrow(_settle_cell(dims, k, keep, least, rounds, check), _OUT_DDL), keep)
     log: list[tuple[int, int]] = []
     while len(kept) > 1 and (rounds is None or len(log) < rounds):
-        pairs = store(_lists_by_cell(near).groupBy("cell").applyInArrow(_apart_cell(k, keep, margin), "a long, other long, place long").distinct())
+        pairs = store(_lists_by_cell(near).groupBy("cell").applyInArrow(_apart_cell(k, keep, margin), "a long, other long, place long, home long, other_home long").distinct())
         sent = pairs.count()
         if not sent:
             drop_stored(pairs)
             break
-        wanted = pairs.select(F.col("place").alias("to"), F.explode(F.array("a", "other")).alias("id")).distinct()
-        codes = _sent_codes(encoded, light, wanted, sent)
+        ends = F.array(F.struct(F.col("a").alias("id"), "home"), F.struct(F.col("other").alias("id"), F.col("other_home").alias("home")))
+        wanted = pairs.select(F.col("place").alias("to"), F.explode(ends).alias("s")).select("to", "s.id", "s.home").distinct()
+        codes = _sent_codes(encoded, light, wanted, sent, broadcast_limit)
         found = pairs.groupBy("place").cogroup(codes.groupBy("to")).applyInArrow(_score_apart(dims, keep), _OUT_DDL)
         aged = near.withColumn("fresh", F.transform("b", lambda _: F.lit(False)))
         last, near = near, _merged(aged.unionByName(found), keep)
@@ -523,9 +534,13 @@ def _news(near: DataFrame, k: int) -> int:
 def node_rows(encoded: DataFrame, light: DataFrame, count: int, broadcast_limit: int = 200_000) -> DataFrame:
     """(cell, id, code, sketch, home): the code of each node once a cell, so copies never reach one; rows delivered
     twice still come twice. ``light`` is broadcast while there are at most ``broadcast_limit`` nodes, and joined beyond that."""
+    once = light.select(F.col("node").alias("id"), "hash", "cells")
+    return _by_cell(encoded.join(_lend(once, count, broadcast_limit), ["id", "hash"]))
+
+
+def _by_cell(rows: DataFrame) -> DataFrame:
     pair = F.shiftleft(F.col("cells")[0], _SHIFT) + F.element_at("cells", -1)
-    once = light.select(F.col("node").alias("id"), "hash", pair.alias("home"), F.explode("cells").alias("cell"))
-    return encoded.join(_lend(once, count, broadcast_limit), ["id", "hash"]).select("cell", "id", "code", "sketch", "home")
+    return rows.select(F.explode("cells").alias("cell"), "id", "code", "sketch", pair.alias("home"))
 
 
 def _lists_by_cell(near: DataFrame) -> DataFrame:
@@ -534,10 +549,9 @@ def _lists_by_cell(near: DataFrame) -> DataFrame:
     return near.select(F.explode(targets).alias("cell"), "a", "own", "b", "sim", "fresh", "home", "sketch")
 
 
-def _sent_codes(encoded: DataFrame, light: DataFrame, wanted: DataFrame, sent: int, broadcast_limit: int = 200_000) -> DataFrame:
-    """(to, id, code, home) of the nodes ``wanted`` (to, id) of ``sent`` pairs; they are broadcast while narrow enough."""
-    pair = F.shiftleft(F.col("cells")[0], _SHIFT) + F.element_at("cells", -1)
-    named = light.select(F.col("node").alias("id"), "hash", pair.alias("home")).join(_lend(wanted, sent, broadcast_limit), "id")
+def _sent_codes(encoded: DataFrame, light: DataFrame, wanted: DataFrame, sent: int, broadcast_limit: int) -> DataFrame:
+    """(to, id, code, home) of the nodes ``wanted`` (to, id, home) of ``sent`` pairs; they are broadcast while there are few enough."""
+    named = light.select(F.col("node").alias("id"), "hash").join(_lend(wanted, sent, broadcast_limit), "id")
     return encoded.select("id", "hash", "code").join(_lend(named, sent, broadcast_limit), ["id", "hash"]).select("to", "id", "code", "home")
 
 
